@@ -51,6 +51,17 @@ def sha512_words(value: Column, f: int) -> list[Column]:
     ]
 
 
+def sha256_words(value: Column, f: int) -> list[Column]:
+    """Last ``f/8`` bytes of SHA-256 (f up to 256)."""
+    check_bits(f, 256)
+    digest = F.sha2(value.cast("string"), 256)
+    start = 65 - f // 4
+    return [
+        F.conv(F.substring(digest, start + 16 * i, width // 4), 16, -10).cast("long")
+        for i, width in enumerate(word_widths(f))
+    ]
+
+
 def masked_int_words(int_hash: Callable[[Column], Column]) -> HashExpr:
     """Adapt a hash returning an unsigned integer (e.g. ``F.xxhash64``) masked to f <= 64 bits."""
 
@@ -87,6 +98,33 @@ def pack_majority(sums: Sequence[Column], total: Column, f: int) -> list[Column]
     return words
 
 
+def word_spans(f: int) -> list[tuple[int, int]]:
+    """(first bit, width) of each word."""
+    return [(64 * i, w) for i, w in enumerate(word_widths(f))]
+
+
+def pack_word_sql(sums: str, total: str, start: int, width: int) -> str:
+    """SQL fold packing majority bits ``start .. start+width-1`` of an array of sums into one BIGINT.
+
+    A higher-order fold keeps generated code small whatever ``f`` is (f unrolled CASEs overflow the
+    64 KB method limit at f = 128).
+    """
+    return (
+        f"aggregate(slice({sums}, {start + 1}, {width}), CAST(0 AS BIGINT), "
+        f"(acc, s) -> shiftleft(acc, 1) | IF(2 * s > {total}, CAST(1 AS BIGINT), CAST(0 AS BIGINT)))"
+    )
+
+
+def bits_of_words_sql(words: str, f: int) -> str:
+    """SQL ARRAY<BIGINT> of the f bits (MSB first) held in an array column of words."""
+    last = word_widths(f)[-1]
+    width = f"IF(k DIV 64 = {len(word_widths(f)) - 1}, {last}, 64)"
+    return (
+        f"transform(sequence(0, {f - 1}), k -> CAST(shiftrightunsigned(element_at({words}, CAST(k DIV 64 + 1 AS INT)), "
+        f"CAST({width} - 1 - k % 64 AS INT)) & 1 AS BIGINT))"
+    )
+
+
 def words_to_sig(words: Sequence[Column], f: int) -> Column:
     return words[0] if f <= 64 else F.array(*words)
 
@@ -108,9 +146,18 @@ def sig_bits_string(sig: Column, f: int) -> Column:
 
 
 def sig_bits_array(sig: Column, f: int) -> Column:
-    """ARRAY<INT> of 0/1, MSB first: the embedding row of a node."""
-    words = sig_words(sig, f)
-    return F.array(*[bit_at(words, k, f) for k in range(f)])
+    """ARRAY<INT> of 0/1, MSB first: the embedding row of a node (one small lambda, any f)."""
+    words = F.array(*sig_words(sig, f))
+    widths = word_widths(f)
+
+    def bit(k: Column) -> Column:
+        wi = F.floor(k / 64).cast("int")
+        width = F.when(wi == len(widths) - 1, F.lit(widths[-1])).otherwise(F.lit(64))
+        shift = (width - 1 - (k % 64)).cast("int")
+        word = F.element_at(words, wi + 1)
+        return F.call_function("shiftrightunsigned", word, shift).bitwiseAND(F.lit(1)).cast("int")
+
+    return F.transform(F.sequence(F.lit(0), F.lit(f - 1)), bit)
 
 
 def signature_width(df: DataFrame, column: str = "sig") -> str:

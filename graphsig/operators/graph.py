@@ -103,6 +103,22 @@ def global_index(df: DataFrame, order_cols: list[str], out: str = "idx", partiti
     )
 
 
+def running_total(df: DataFrame, order_cols: list[str], value: str, out: str, partitions: int | None = None) -> DataFrame:
+    """Inclusive running sum of ``value`` in ``order_cols`` order (a total order), without a
+    one-partition window: range partitions, per-partition totals as broadcast offsets, then a window
+    inside each range partition only."""
+    from graphsig.session import cut_lineage
+
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tagged = cut_lineage(df.repartitionByRange(n, *order_cols).withColumn("__pid", F.spark_partition_id()))
+    totals = tagged.groupBy("__pid").agg(F.sum(value).alias("__t"))
+    before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumn("__off", F.coalesce(F.sum("__t").over(before), F.lit(0))).drop("__t")
+    inside = Window.partitionBy("__pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return tagged.join(F.broadcast(offsets), "__pid").withColumn(out, F.col("__off") + F.sum(value).over(inside)).drop("__pid", "__off")
+
+
 def dense_ids(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Relabel nodes to 0..n-1 in ``original_id`` order; returns ``(nodes(id, original_id), edges(src, dst))``."""
     node_table = global_index(nodes(edges).select(F.col("node").alias("original_id")), ["original_id"], out="id").select("id", "original_id")

@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from graphsig.functions.hashing import (
     HashExpr,
     bit_at,
+    bits_of_words_sql,
     check_bits,
     md5_words,
-    pack_majority,
+    pack_word_sql,
     sig_bits_array,
+    word_spans,
     words_to_sig,
 )
 from graphsig.functions.text import SHINGLE_WIDTH, WORD_CHARS, char_shingles
@@ -54,17 +56,15 @@ def bit_sums(
 def add_feature(state: DataFrame, key_feature: Column, f: int, hash_words: HashExpr = md5_words, weight: int = 1) -> DataFrame:
     """Add one feature per row (weight ``weight``) to a sum state, e.g. the node's own id."""
     words = hash_words(key_feature, f)
-    tagged = state.select("*", *[w.alias(f"__o{i}") for i, w in enumerate(words)])
-    ocols = [F.col(f"__o{i}") for i in range(len(words))]
-    sums = F.array(*[F.col("sums")[k] + bit_at(ocols, k, f) * F.lit(weight) for k in range(f)])
-    return tagged.withColumn("sums", sums).withColumn("cnt", F.col("cnt") + F.lit(weight)).drop(
-        *[f"__o{i}" for i in range(len(words))]
-    )
+    tagged = state.withColumn("__own", F.array(*words))
+    own_bits = bits_of_words_sql("__own", f)
+    sums = F.expr(f"zip_with(sums, {own_bits}, (s, b) -> s + b * {int(weight)})")
+    return tagged.withColumn("sums", sums).withColumn("cnt", F.col("cnt") + F.lit(weight)).drop("__own")
 
 
 def majority(state: DataFrame, f: int, out: str = "sig") -> DataFrame:
-    """K4: ``bit = 2*sum > cnt`` (ties give 0), packed MSB first."""
-    words = pack_majority([F.col("sums")[k] for k in range(f)], F.col("cnt"), f)
+    """K4: ``bit = 2*sum > cnt`` (ties give 0), packed MSB first (one fold per 64-bit word)."""
+    words = [F.expr(pack_word_sql("sums", "cnt", start, width)) for start, width in word_spans(f)]
     return state.withColumn(out, words_to_sig(words, f))
 
 
@@ -93,22 +93,31 @@ def simhash_features(
     return majority(state, f).select(key, "cnt", "sig")
 
 
-def sketch_state(edges: DataFrame, f: int = 32, hash_words: HashExpr = md5_words, canonical: bool = True) -> DataFrame:
-    """Neighbour bit-sum state of every node: closed neighbourhood, weight 1 per neighbour.
+def sketch_state(
+    edges: DataFrame, f: int = 32, hash_words: HashExpr = md5_words, canonical: bool = True, node_table: DataFrame | None = None
+) -> DataFrame:
+    """Neighbour bit-sum state ``(node, cnt, sums)`` of every node: closed neighbourhood, weight 1.
 
     The node's own id is added after aggregation, so no distinct node list (and no extra shuffle)
-    is needed for the self-loops.
+    is needed for the self-loops. ``node_table(node)`` adds nodes without edges (own id only).
     """
     e = canonical_edges(edges) if canonical else edges
     half = half_edges(e).withColumnRenamed("nb", "feature")
     state = bit_sums(half, "node", f, feature="feature", hash_words=hash_words)
+    if node_table is not None:
+        zeros = F.array(*[F.lit(0).cast("long") for _ in range(f)])
+        state = node_table.select("node").join(state, "node", "left").select(
+            "node", F.coalesce("cnt", F.lit(0).cast("long")).alias("cnt"), F.coalesce("sums", zeros).alias("sums")
+        )
     return add_feature(state, F.col("node"), f, hash_words)
 
 
-def node_sketch(edges: DataFrame, f: int = 32, hash_words: HashExpr = md5_words, canonical: bool = True) -> DataFrame:
+def node_sketch(
+    edges: DataFrame, f: int = 32, hash_words: HashExpr = md5_words, canonical: bool = True, node_table: DataFrame | None = None
+) -> DataFrame:
     """``(node, degree, sig)`` — neighbour SimHash of every node (closed neighbourhood)."""
     check_bits(f, 512)
-    state = sketch_state(edges, f, hash_words, canonical)
+    state = sketch_state(edges, f, hash_words, canonical, node_table)
     return majority(state, f).select("node", (F.col("cnt") - 1).alias("degree"), "sig")
 
 

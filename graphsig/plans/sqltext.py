@@ -43,15 +43,17 @@ def bit_expr(digest: str, f: int, k: int, hex_len: int = 32) -> str:
     return f"(((instr({HEX}, substr({digest}, {pos}, 1)) - 1) >> {3 - k % 4}) & 1)"
 
 
-def bit_sums_sql(features: str, f: int, key: str = "node", feature: str = "feature", weight: str | None = None) -> str:
-    """``(key, cnt, s0..s{f-1})`` over a feature table, hashing with MD5 like the Spark side."""
+def bit_sums_sql(
+    features: str, f: int, key: str = "node", feature: str = "feature", weight: str | None = None, digest: str = "md5", hex_len: int = 32
+) -> str:
+    """``(key, cnt, s0..s{f-1})`` over a feature table, hashing like the Spark side."""
     w = "1" if weight is None else weight
-    bits = ", ".join(f"{bit_expr('__m', f, k)} AS b{k}" for k in range(f))
+    bits = ", ".join(f"{bit_expr('__m', f, k, hex_len)} AS b{k}" for k in range(f))
     sums = ", ".join(f"CAST(sum(b{k} * __w) AS {'BIGINT' if weight is None else 'HUGEINT'}) AS s{k}" for k in range(f))
     return (
         f"SELECT {key}, CAST(sum(__w) AS HUGEINT) AS cnt, {sums} FROM ("
         f"SELECT {key}, __w, {bits} FROM ("
-        f"SELECT {key}, {w} AS __w, md5(CAST({feature} AS VARCHAR)) AS __m FROM ({features}) ft) hb0) hb "
+        f"SELECT {key}, {w} AS __w, {digest}(CAST({feature} AS VARCHAR)) AS __m FROM ({features}) ft) hb0) hb "
         f"GROUP BY {key}"
     )
 
@@ -102,3 +104,160 @@ def shingles_sql(docs: str, id_col: str = "doc_id", text_col: str = "text", widt
         f"FROM (SELECT {id_col}, {cleaned_text(text_col)} AS t FROM ({docs}) d) c, "
         f"LATERAL (SELECT unnest(range(1, greatest(length(t) - {width} + 1, 1) + 1)) AS i) g"
     )
+
+
+# ------------------------------------------------------------------ graph helpers
+
+
+def nodes_sql(edges: str) -> str:
+    return f"SELECT src AS node FROM ({edges}) e UNION SELECT dst AS node FROM ({edges}) e"
+
+
+def closed_over(edges: str, nodes: str) -> str:
+    """Closed neighbourhoods over an explicit node list (isolated nodes keep their self-loop)."""
+    return f"SELECT node, nb FROM ({half_edges(edges)}) h UNION ALL SELECT node, node AS nb FROM ({nodes}) n"
+
+
+def node_sketch_over_sql(edges: str, nodes: str, f: int, sig_as: str = "sig") -> str:
+    feats = f"SELECT node, nb AS feature FROM ({closed_over(edges, nodes)}) c"
+    return f"SELECT node, {sig_sql(f)} AS {sig_as} FROM ({bit_sums_sql(feats, f)}) s"
+
+
+def hash_order_sql(seed: int, *cols: str) -> str:
+    args = ", ".join(f"CAST({c} AS VARCHAR)" for c in cols)
+    return f"('0x' || substr(md5(concat_ws('|', '{seed}', {args})), 1, 15))::BIGINT"
+
+
+def holdout_sql(edges: str, p: float, seed: int) -> str:
+    """First floor(p*|E|) edges by (md5 order, src, dst)."""
+    return (
+        f"SELECT src, dst FROM (SELECT src, dst, row_number() OVER (ORDER BY h, src, dst) AS rn FROM "
+        f"(SELECT src, dst, {hash_order_sql(seed, 'src', 'dst')} AS h FROM ({edges}) e) x) y "
+        f"WHERE rn <= (SELECT CAST(floor(CAST({p!r} AS DOUBLE) * count(*)) AS BIGINT) FROM ({edges}) e)"
+    )
+
+
+def minus_sql(edges: str, removed: str) -> str:
+    return f"SELECT src, dst FROM ({edges}) e WHERE NOT EXISTS (SELECT 1 FROM ({removed}) r WHERE r.src = e.src AND r.dst = e.dst)"
+
+
+def negatives_sql(edges: str, n_sql: str, seed: int, nodes: str | None = None) -> str:
+    """First n non-edges by candidate index i; candidate i pairs nodes md5(seed|i|0) and md5(seed|i|1) mod N."""
+    nodes = nodes or nodes_sql(edges)
+
+    def draw(side: str) -> str:
+        return f"('0x' || substr(md5(concat_ws('|', '{seed}', CAST(i AS VARCHAR), '{side}')), 1, 15))::BIGINT"
+
+    return (
+        f"WITH numbered AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS pos FROM ({nodes}) n), "
+        f"cnt AS (SELECT count(*) AS c FROM numbered), "
+        f"want AS (SELECT ({n_sql}) AS n), "
+        f"cand AS (SELECT i, {draw('0')} % c AS pa, {draw('1')} % c AS pb FROM "
+        f"(SELECT unnest(range(4 * n + 64)) AS i FROM want) r, cnt), "
+        f"pairs AS (SELECT c.i, least(a.node, b.node) AS src, greatest(a.node, b.node) AS dst FROM cand c "
+        f"JOIN numbered a ON a.pos = c.pa JOIN numbered b ON b.pos = c.pb), "
+        f"valid AS (SELECT src, dst, min(i) AS i FROM pairs p WHERE src <> dst AND NOT EXISTS "
+        f"(SELECT 1 FROM ({edges}) e WHERE e.src = p.src AND e.dst = p.dst) GROUP BY src, dst) "
+        f"SELECT src, dst FROM (SELECT src, dst, row_number() OVER (ORDER BY i) AS rn FROM valid) v "
+        f"WHERE rn <= (SELECT n FROM want)"
+    )
+
+
+def adjacency_sql(edges: str, bucket_size: int) -> str:
+    """(node, idx, nb, nb_deg) numbered like the Spark side: by (bucket, nb) inside each node."""
+    return (
+        f"WITH nbr AS ({closed_neighbours(edges)}), "
+        f"deg AS (SELECT node, count(*) AS deg FROM nbr GROUP BY node), "
+        f"keyed AS (SELECT nbr.node, nbr.nb, {node_key_sql_ref('nbr.nb')} % CAST(ceil(deg.deg / {bucket_size}) AS BIGINT) AS bucket "
+        f"FROM nbr JOIN deg ON deg.node = nbr.node), "
+        f"local AS (SELECT node, nb, bucket, row_number() OVER (PARTITION BY node, bucket ORDER BY nb) AS li FROM keyed), "
+        f"sizes AS (SELECT node, bucket, count(*) AS n FROM keyed GROUP BY node, bucket), "
+        f"offs AS (SELECT node, bucket, coalesce(sum(n) OVER (PARTITION BY node ORDER BY bucket "
+        f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM sizes) "
+        f"SELECT l.node, o.off + l.li AS idx, l.nb, d.deg AS nb_deg FROM local l "
+        f"JOIN offs o ON o.node = l.node AND o.bucket = l.bucket JOIN deg d ON d.node = l.nb"
+    )
+
+
+def node_key_sql_ref(node: str) -> str:
+    from graphsig.functions.mixing import node_key_sql
+
+    return node_key_sql(node)
+
+
+def walk_visits_sql(edges: str, length: int, walks: int, seed: int, bucket_size: int = 1_000_000) -> str:
+    from graphsig.functions.mixing import hash_select_sql
+
+    parts = [
+        f"adj AS ({adjacency_sql(edges, bucket_size)})",
+        "deg AS (SELECT DISTINCT nb AS node, nb_deg AS deg FROM adj)",
+        f"w0 AS (SELECT n.node AS source, {node_key_sql_ref('n.node')} AS key, n.node AS cur, d.deg, r.walk "
+        f"FROM ({nodes_sql(edges)}) n JOIN deg d ON d.node = n.node, (SELECT unnest(range({walks})) AS walk) r)",
+    ]
+    for s in range(length):
+        items = ", ".join(hash_select_sql("h", str(seed), "key", "walk", str(s)))
+        parts.append(f"h{s} AS (SELECT source, key, walk, cur, deg, {items} FROM w{s})")
+        parts.append(
+            f"w{s + 1} AS (SELECT h.source, h.key, a.nb AS cur, a.nb_deg AS deg, h.walk FROM h{s} h "
+            f"JOIN adj a ON a.node = h.cur AND a.idx = h.h % h.deg + 1)"
+        )
+    union = " UNION ALL ".join(f"SELECT source, cur AS visited FROM w{s + 1}" for s in range(length))
+    return (
+        "WITH " + ", ".join(parts) + f" SELECT source, visited, CAST(count(*) AS BIGINT) AS cnt FROM ({union}) v GROUP BY source, visited"
+    )
+
+
+def ppr_sql(edges: str, iterations: int, eps: float, num: int = 85, den: int = 100, scale: int = 10**12) -> str:
+    floor_eps = int(eps * scale)
+    teleport = scale * (den - num) // den
+    parts = [
+        f"nbr AS ({closed_neighbours(edges)})",
+        "deg AS (SELECT node, count(*) AS deg FROM nbr GROUP BY node)",
+        "trans AS (SELECT nbr.node, nbr.nb, deg.deg FROM nbr JOIN deg ON deg.node = nbr.node)",
+        f"nd AS ({nodes_sql(edges)})",
+        f"m0 AS (SELECT node AS source, node, CAST({scale} AS BIGINT) AS mass FROM nd)",
+    ]
+    for t in range(iterations):
+        having = f" HAVING sum(mass) >= {floor_eps}" if floor_eps > 0 else ""
+        parts.append(
+            f"m{t + 1} AS (SELECT source, node, CAST(sum(mass) AS BIGINT) AS mass FROM ("
+            f"SELECT m.source, t.nb AS node, (m.mass * {num}) // ({den} * t.deg) AS mass FROM m{t} m JOIN trans t ON t.node = m.node "
+            f"UNION ALL SELECT node AS source, node, CAST({teleport} AS BIGINT) AS mass FROM nd) x GROUP BY source, node{having})"
+        )
+    return "WITH " + ", ".join(parts) + f" SELECT source, node, mass FROM m{iterations}"
+
+
+def sig_words_sql(f: int, prefix: str = "w") -> str:
+    return ", ".join(f"{majority_bigint(f, i)} AS {prefix}{i}" for i in range(len(word_widths(f))))
+
+
+def words_table_sql(features: str, f: int, weight: str | None = None) -> str:
+    """(node, w0, w1, ...) packed signature words of a feature table."""
+    return f"SELECT node, {sig_words_sql(f)} FROM ({bit_sums_sql(features, f, weight=weight)}) s"
+
+
+def hamming_sim_sql(f: int, a: str = "x", b: str = "y") -> str:
+    n = len(word_widths(f))
+    diff = " + ".join(f"CAST(bit_count(xor({a}.w{i}, {b}.w{i})) AS INTEGER)" for i in range(n))
+    return f"CAST({f} - ({diff}) AS INTEGER)"
+
+
+def top_pairs_sql(words: str, f: int, k: int) -> str:
+    return (
+        f"SELECT x.node AS a, y.node AS b, {hamming_sim_sql(f)} AS sim FROM ({words}) x JOIN ({words}) y ON x.node > y.node "
+        f"ORDER BY sim DESC, a, b LIMIT {k}"
+    )
+
+
+def precision_sql(ranked: str, truth: str, train: str, hits: int = 100) -> str:
+    return (
+        f"WITH c AS (SELECT r.a, r.b, r.sim, CASE WHEN EXISTS (SELECT 1 FROM ({truth}) t WHERE t.src = least(r.a, r.b) "
+        f"AND t.dst = greatest(r.a, r.b)) THEN 1 ELSE 0 END AS hit FROM ({ranked}) r WHERE NOT EXISTS "
+        f"(SELECT 1 FROM ({train}) g WHERE g.src = least(r.a, r.b) AND g.dst = greatest(r.a, r.b))), "
+        f"w AS (SELECT row_number() OVER (ORDER BY sim DESC, a, b) AS rank, sum(hit) OVER (ORDER BY sim DESC, a, b "
+        f"ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum, hit FROM c), "
+        f"s AS (SELECT min(CASE WHEN cum >= {hits} THEN rank END) AS stop, count(*) AS rows, coalesce(sum(hit), 0) AS all_hits FROM w) "
+        f"SELECT CAST(CASE WHEN stop IS NOT NULL THEN {hits} ELSE all_hits END AS BIGINT) AS tp, "
+        f"CAST(coalesce(stop, rows) AS BIGINT) AS traversed, "
+        f"round(CAST(CASE WHEN stop IS NOT NULL THEN {hits} ELSE all_hits END AS DOUBLE) / nullif(coalesce(stop, rows), 0), 6) AS precision FROM s"
+    )

@@ -20,7 +20,8 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", os.environ.get("GRAPHSIG_DRIVER_MEMORY", "16g"))
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.driver.memory", os.environ.get("GRAPHSIG_DRIVER_MEMORY", "12g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     spark = builder.getOrCreate()

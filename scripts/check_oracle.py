@@ -41,7 +41,7 @@ def normalise(columns, rows):
 
 
 def duck(sf_dir):
-    con = duckdb.connect()
+    con = duckdb.connect(config={"memory_limit": "6GB", "threads": 4})
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
     return con
