@@ -5,11 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphsig.functions.mixing import node_key, with_hash
 from graphsig.operators.graph import adjacency_index, canonical_edges, neighbours, nodes
 from graphsig.session import cut_lineage
 
 
+def step_hash(seed: int, step: int) -> F.Column:
+    """32-bit choice value of (seed, source, walk, step): first 8 hex digits of an MD5.
+
+    One expression per step (no repeated sub-expressions for the optimizer to inline into join
+    filters), and the same text in SQL, so an oracle can replay the walks exactly.
+    """
+    text = F.concat_ws("|", F.lit(str(seed)), F.col("source"), F.col("walk").cast("string"), F.lit(str(step)))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+
 def random_walk_visits(
     edges: DataFrame,
     length: int = 3,
@@ -23,7 +32,7 @@ def random_walk_visits(
 
     Walks move over closed neighbourhoods (a node may step to itself); the start is counted only when a
     step returns to it. Step ``s`` of walk ``w`` from ``source`` takes neighbour number
-    ``hash(seed, key(source), w, s) mod deg + 1``, a pure function of its coordinates, so results do
+    ``md5(seed|source|w|s) mod deg + 1``, a pure function of its coordinates, so results do
     not depend on partitioning. The join key ``(node, idx)`` spreads walkers that meet at a hub.
     """
     if length < 1:
@@ -36,15 +45,14 @@ def random_walk_visits(
     src = sources.select(F.col("node")) if sources is not None else nodes(e)
     walkers = (
         src.join(deg, "node")
-        .select(F.col("node").alias("source"), node_key(F.col("node")).alias("key"), F.col("node").alias("cur"), "deg")
+        .select(F.col("node").alias("source"), F.col("node").alias("cur"), "deg")
         .withColumn("walk", F.explode(F.sequence(F.lit(0), F.lit(walks - 1))))
     )
     steps = []
     for step in range(length):
-        hashed = with_hash(walkers, "h", F.lit(seed), F.col("key"), F.col("walk"), F.lit(step))
-        chosen = hashed.withColumn("idx", F.pmod(F.col("h"), F.col("deg")) + F.lit(1))
+        chosen = walkers.withColumn("idx", F.pmod(step_hash(seed, step), F.col("deg")) + F.lit(1))
         moved = chosen.join(adj, (chosen.cur == adj.node) & (chosen.idx == adj.idx)).select(
-            "source", "key", F.col("nb").alias("cur"), F.col("nb_deg").alias("deg"), "walk"
+            "source", F.col("nb").alias("cur"), F.col("nb_deg").alias("deg"), "walk"
         )
         walkers = cut_lineage(moved)
         steps.append(walkers.select("source", F.col("cur").alias("visited")))

@@ -535,3 +535,421 @@ def m4_top_pairs_dot_vectors(spark, sf_dir):
     """M4: top 100,000 pairs of float embeddings by dot product."""
     emb = T.load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node"), "embedding")
     return PR.top_pairs(emb, k=TOP_K, measure="dot_product", vector="embedding")
+
+
+# ---------------------------------------------------------------- splits (hash order, exact counts)
+
+
+SPLIT_CTES = ", ".join(
+    [
+        f"e AS ({CP})",
+        f"test_pos AS ({Q.holdout_sql(E, HOLDOUT_P, SEED)})",
+        f"g_test AS ({Q.minus_sql(E, 'SELECT src, dst FROM test_pos')})",
+        f"test_neg AS ({Q.negatives_sql(E, 'SELECT count(*) FROM test_pos', SEED + 1)})",
+        f"train_pos AS ({Q.holdout_sql('SELECT src, dst FROM g_test', HOLDOUT_P, SEED + 100)})",
+        f"g_train AS ({Q.minus_sql('SELECT src, dst FROM g_test', 'SELECT src, dst FROM train_pos')})",
+        f"train_neg AS ({Q.negatives_sql('SELECT src, dst FROM g_test', 'SELECT count(*) FROM train_pos', SEED + 101)})",
+        f"nd AS ({Q.nodes_sql(E)})",
+        "test_rows AS (SELECT src, dst, 1 AS label FROM test_pos UNION ALL SELECT src, dst, 0 AS label FROM test_neg)",
+        "train_rows AS (SELECT src, dst, 1 AS label FROM train_pos UNION ALL SELECT src, dst, 0 AS label FROM train_neg)",
+    ]
+)
+
+
+def split_sql(body: str, extra: str = "") -> str:
+    return f"WITH {SPLIT_CTES}{', ' + extra if extra else ''} SELECT * FROM ({body}) q"
+
+
+_SPLIT_CACHE: dict[tuple[int, str], object] = {}
+
+
+def _split(spark, sf_dir, keep_connected: bool = False):
+    """Nested split of the customer–part graph (cached per session and input)."""
+    from graphsig.plans.evaluation import make_split
+
+    key = (id(spark), f"{sf_dir}|{keep_connected}")
+    if key not in _SPLIT_CACHE:
+        _SPLIT_CACHE[key] = make_split(cp_edges(spark, sf_dir), HOLDOUT_P, SEED, keep_connected)
+    return _SPLIT_CACHE[key]
+
+
+@register("h1_holdout_edges", split_sql("SELECT src, dst FROM test_pos"))
+def h1_holdout_edges(spark, sf_dir):
+    """H1: the first int(0.1·|E|) edges in md5(seed|src|dst) order (no connectivity constraint)."""
+    held, _ = H.holdout_edges(cp_edges(spark, sf_dir), HOLDOUT_P, SEED, keep_connected=False)
+    return held
+
+
+@register("h1_holdout_connected")
+def h1_holdout_connected(spark, sf_dir):
+    """H1 with keep_connected: spanning-forest edges are never held out."""
+    held, _ = H.holdout_edges(cp_edges(spark, sf_dir), HOLDOUT_P, SEED, keep_connected=True)
+    return held
+
+
+@register("h2_negative_edges", split_sql("SELECT src, dst FROM test_neg"))
+def h2_negative_edges(spark, sf_dir):
+    """H2: as many non-edges as held-out edges, by hash-drawn candidate order."""
+    e = cp_edges(spark, sf_dir)
+    held, _ = H.holdout_edges(e, HOLDOUT_P, SEED, keep_connected=False)
+    return H.negative_edges(e, held.count(), SEED + 1)
+
+
+@register(
+    "h3_nested_split",
+    split_sql(
+        "SELECT src, dst, label, 'test' AS split FROM test_rows UNION ALL SELECT src, dst, label, 'train' AS split FROM train_rows"
+    ),
+)
+def h3_nested_split(spark, sf_dir):
+    """H3: G -> G_test -> G_train; labelled positives and negatives of both levels."""
+    sp = _split(spark, sf_dir)
+    return sp.test.unionByName(sp.train)
+
+
+@register(
+    "h4_random_split",
+    split_sql(
+        "SELECT src, dst, label, CASE WHEN rn - 1 < (SELECT CAST(floor(0.75 * count(*)) AS BIGINT) FROM train_rows) THEN 'train' ELSE 'selection' END AS part "
+        f"FROM (SELECT src, dst, label, row_number() OVER (ORDER BY h, src, dst, label) AS rn FROM "
+        f"(SELECT src, dst, label, {Q.hash_order_sql(SEED, 'src', 'dst', 'label')} AS h FROM train_rows) x) y"
+    ),
+)
+def h4_random_split(spark, sf_dir):
+    """H4: 75/25 split of the labelled train rows by hash rank."""
+    rows = _split(spark, sf_dir).train.select("src", "dst", "label")
+    return H.random_split(rows, 0.75, SEED, key_cols=["src", "dst", "label"])
+
+
+@register("h5_stream_split")
+def h5_stream_split(spark, sf_dir):
+    """H5: base graph (50%) and stream edges, spanning forest kept in the base."""
+    _, stream = H.stream_split(cp_edges(spark, sf_dir), 0.5, SEED, keep_connected=True)
+    return stream
+
+
+# ---------------------------------------------------------------- precision, AUC, features
+
+TRAIN_WORDS = f"SELECT node, {Q.sig_words_sql(F_EXPERIMENT)} FROM ({Q.bit_sums_sql(feats('SELECT src, dst FROM g_train', 'SELECT node FROM nd'), F_EXPERIMENT)}) s"
+RANKED = f"ranked AS ({Q.top_pairs_sql('SELECT * FROM tw', F_EXPERIMENT, TOP_K)})"
+TW = f"tw AS ({TRAIN_WORDS})"
+
+
+def _train_vectors(spark, sf_dir):
+    from graphsig.plans.models import SimHashSketch
+
+    sp = _split(spark, sf_dir)
+    state = SimHashSketch(dimensions=F_EXPERIMENT).fit(sp.g_train, sp.nodes)
+    return sp, state.embedding()
+
+
+def _ranked(spark, sf_dir):
+    sp, vec = _train_vectors(spark, sf_dir)
+    return sp, vec, PR.top_pairs(vec, k=TOP_K, measure="hamming", f=F_EXPERIMENT)
+
+
+@register("r2_precision_at_100", split_sql(Q.precision_sql("SELECT * FROM ranked", E, "SELECT src, dst FROM g_train"), f"{TW}, {RANKED}"))
+def r2_precision_at_100(spark, sf_dir):
+    """128-bit neighbour sketch of G_train, exact top 100,000 pairs, precision at the 100th hit of G."""
+    sp, _, ranked = _ranked(spark, sf_dir)
+    return L.precision_until_hits(ranked, sp.graph, sp.g_train, 100)
+
+
+@register("r3_precision_at_100_connected")
+def r3_precision_at_100_connected(spark, sf_dir):
+    """R3 with the reference's keep_connected splits (spanning forest kept in every split)."""
+    from graphsig.plans.evaluation import precision_at_100
+    from graphsig.plans.models import SimHashSketch
+
+    res, _ = precision_at_100(_split(spark, sf_dir, keep_connected=True), SimHashSketch(dimensions=F_EXPERIMENT))
+    return res
+
+
+_NON_EDGES = (
+    "SELECT a, b, sim FROM ranked r WHERE NOT EXISTS (SELECT 1 FROM g_train g WHERE g.src = least(r.a, r.b) AND g.dst = greatest(r.a, r.b)) "
+    "ORDER BY sim DESC, a, b LIMIT 100"
+)
+
+
+@register("r4_top_non_edges", split_sql(_NON_EDGES, f"{TW}, {RANKED}"))
+def r4_top_non_edges(spark, sf_dir):
+    """The 100 most similar pairs that are not edges of the train graph."""
+    sp, _, ranked = _ranked(spark, sf_dir)
+    return L.top_non_edges(ranked, sp.g_train, 100)
+
+
+@register(
+    "r5_top_similarity_precision",
+    split_sql(
+        "SELECT CAST(coalesce(sum(hit), 0) AS BIGINT) AS tp, round(coalesce(sum(hit), 0) / 100.0, 6) AS precision FROM "
+        f"(SELECT CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.src = least(t.a, t.b) AND e.dst = greatest(t.a, t.b)) THEN 1 ELSE 0 END AS hit FROM ({_NON_EDGES}) t) x",
+        f"{TW}, {RANKED}",
+    ),
+)
+def r5_top_similarity_precision(spark, sf_dir):
+    """Share of those 100 pairs that are edges of the full graph."""
+    sp, _, ranked = _ranked(spark, sf_dir)
+    return L.top_similarity_precision(ranked, sp.graph, sp.g_train, 100)
+
+
+_TEST_SCORED = (
+    f"SELECT t.src, t.dst, t.label, {Q.hamming_sim_sql(F_EXPERIMENT)} AS sim FROM test_rows t "
+    "JOIN tw x ON x.node = t.src JOIN tw y ON y.node = t.dst"
+)
+
+
+@register(
+    "r6_test_edge_precision",
+    split_sql(
+        "SELECT CAST(coalesce(sum(hit), 0) AS BIGINT) AS tp, round(coalesce(sum(hit), 0) / 100.0, 6) AS precision FROM "
+        "(SELECT CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.src = s.src AND e.dst = s.dst) THEN 1 ELSE 0 END AS hit FROM "
+        f"(SELECT * FROM ({_TEST_SCORED}) z WHERE src < dst ORDER BY sim DESC, src, dst LIMIT 100) s) x",
+        TW,
+    ),
+)
+def r6_test_edge_precision(spark, sf_dir):
+    """Rank the labelled test pairs by train-sketch similarity; true edges among the top 100, /100."""
+    sp, vec = _train_vectors(spark, sf_dir)
+    scored = PR.score_pairs(sp.test, vec, "hamming", F_EXPERIMENT, a="src", b="dst")
+    return L.test_edge_precision(scored, sp.graph, 100)
+
+
+@register(
+    "r1_roc_auc",
+    split_sql(
+        "SELECT round(sum(pos * (neg_upto - neg) + pos * neg * 0.5) / (sum(pos) * sum(neg)), 6) AS roc_auc, "
+        "CAST(sum(pos) AS BIGINT) AS positives, CAST(sum(neg) AS BIGINT) AS negatives FROM ("
+        "SELECT pos, neg, sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS neg_upto FROM "
+        f"(SELECT sim AS score, sum(label) AS pos, sum(1 - label) AS neg FROM ({_TEST_SCORED}) z GROUP BY sim) p) c",
+        TW,
+    ),
+)
+def r1_roc_auc(spark, sf_dir):
+    """ROC AUC (rank sums, ties one half) of sketch similarity as the link score on the test split."""
+    sp, vec = _train_vectors(spark, sf_dir)
+    scored = PR.score_pairs(sp.test, vec, "hamming", F_EXPERIMENT, a="src", b="dst").withColumnRenamed("sim", "score")
+    return L.roc_auc(scored, "label", "score")
+
+
+def _test_bits_sql() -> str:
+    gt_sums = Q.bit_sums_sql(feats("SELECT src, dst FROM g_test", "SELECT node FROM nd"), F_EXPERIMENT)
+    bits = ", ".join(f"CASE WHEN 2 * s{k} > cnt THEN 1.0 ELSE 0.0 END" for k in range(F_EXPERIMENT))
+    return f"tb AS (SELECT node, [{bits}]::DOUBLE[] AS bits FROM ({gt_sums}) s)"
+
+
+def _features_sql(expr: str) -> str:
+    return split_sql(
+        f"SELECT t.src, t.dst, t.label, {expr} AS features FROM test_rows t JOIN tb x ON x.node = t.src JOIN tb y ON y.node = t.dst",
+        _test_bits_sql(),
+    )
+
+
+def _edge_features(spark, sf_dir, op: str) -> DataFrame:
+    from graphsig.plans.models import SimHashSketch
+
+    sp = _split(spark, sf_dir)
+    emb = SimHashSketch(dimensions=F_EXPERIMENT).fit(sp.g_test, sp.nodes).embedding()
+    bits = emb.select("node", sig_bits_array(F.col("sig"), F_EXPERIMENT).alias("bits"))
+    return L.edge_features(sp.test, bits, op).select("src", "dst", "label", "features")
+
+
+@register("e1_edge_features_concat", _features_sql("list_concat(x.bits, y.bits)"))
+def e1_edge_features_concat(spark, sf_dir):
+    """Concatenated endpoint embeddings (test graph) for the labelled test pairs."""
+    return _edge_features(spark, sf_dir, "concat")
+
+
+@register("e2_edge_features_hadamard", _features_sql("list_transform(list_zip(x.bits, y.bits), lambda p: p[1] * p[2])"))
+def e2_edge_features_hadamard(spark, sf_dir):
+    """Hadamard product of the endpoint embeddings."""
+    return _edge_features(spark, sf_dir, "hadamard")
+
+
+@register("e3_edge_features_average", _features_sql("list_transform(list_zip(x.bits, y.bits), lambda p: (p[1] + p[2]) / 2)"))
+def e3_edge_features_average(spark, sf_dir):
+    """Average of the endpoint embeddings."""
+    return _edge_features(spark, sf_dir, "average")
+
+
+@register("e5_classifier_roc_auc")
+def e5_classifier_roc_auc(spark, sf_dir):
+    """Logistic regression over concat edge vectors, 10 strengths x 10 folds, ROC AUC on test."""
+    from graphsig.plans.evaluation import classifier_auc
+    from graphsig.plans.models import SimHashSketch
+
+    return classifier_auc(_split(spark, sf_dir), SimHashSketch(dimensions=F_EXPERIMENT), "concat")
+
+
+# ---------------------------------------------------------------- components
+
+
+@register("g8_connected_components")
+def g8_connected_components(spark, sf_dir):
+    """Component (smallest node id) of every node of the supplier–part graph."""
+    return C.connected_components(sp_edges(spark, sf_dir))
+
+
+@register("g7_spanning_forest")
+def g7_spanning_forest(spark, sf_dir):
+    """Minimum spanning forest of the customer–part graph under md5 edge weights."""
+    return C.spanning_forest(cp_edges(spark, sf_dir), SEED)
+
+
+@register("g6_bipartite_sides")
+def g6_bipartite_sides(spark, sf_dir):
+    """2-colouring of the customer–part graph (NULL side in a non-bipartite component)."""
+    return C.bipartite_sides(cp_edges(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- incremental maintenance
+
+STREAM_CTES = f"e AS ({CP}), held AS ({Q.holdout_sql(E, 0.5, SEED)}), rest AS ({Q.minus_sql(E, 'SELECT src, dst FROM held')})"
+
+
+def _base_and_stream(spark, sf_dir):
+    e = cp_edges(spark, sf_dir)
+    held, rest = H.holdout_edges(e, 0.5, SEED, keep_connected=False)
+    from graphsig.session import cut_lineage
+
+    return e, cut_lineage(rest), held
+
+
+@register("u1_incremental_sketch", Q.node_sketch_sql(CP, F_DEFAULT))
+def u1_incremental_sketch(spark, sf_dir):
+    """Sketch half the graph, then add the other half's edges to the stored sums and counts;
+    equals the full recompute."""
+    from graphsig.operators.incremental import apply_edges, sketch_from_state
+
+    _, rest, held = _base_and_stream(spark, sf_dir)
+    state = S.sketch_state(rest, F_DEFAULT)
+    updated = apply_edges(state, rest, held, F_DEFAULT)
+    return sketch_from_state(updated, F_DEFAULT).select("node", (F.col("cnt") - 1).alias("degree"), "sig")
+
+
+@register(
+    "u2_recompute_endpoints",
+    f"WITH sk AS ({Q.node_sketch_sql(CP, F_DEFAULT)}), {STREAM_CTES} SELECT sk.node, sk.degree, sk.sig FROM sk "
+    "WHERE sk.node IN (SELECT src FROM held UNION SELECT dst FROM held)",
+)
+def u2_recompute_endpoints(spark, sf_dir):
+    """Recompute only the endpoints of the new edges from the current graph."""
+    from graphsig.operators.incremental import endpoints, recompute_nodes, sketch_from_state
+
+    e, _, held = _base_and_stream(spark, sf_dir)
+    state = recompute_nodes(e, endpoints(held), F_DEFAULT)
+    return sketch_from_state(state, F_DEFAULT).select("node", (F.col("cnt") - 1).alias("degree"), "sig")
+
+
+@register(
+    "u3_stale_nodes",
+    f"WITH {STREAM_CTES}, v AS ({Q.walk_visits_sql('SELECT src, dst FROM rest', WALK_LENGTH, WALKS, SEED)}), "
+    "ends AS (SELECT src AS visited FROM held UNION SELECT dst FROM held) "
+    f"SELECT DISTINCT v.source AS node FROM v JOIN ends ON ends.visited = v.visited WHERE v.cnt >= {int(WALKS * 0.5)}",
+)
+def u3_stale_nodes(spark, sf_dir):
+    """Sources whose walk visits to a new edge's endpoint reach half the walks."""
+    from graphsig.operators.incremental import stale_nodes
+
+    _, rest, held = _base_and_stream(spark, sf_dir)
+    visits = W.random_walk_visits(rest, WALK_LENGTH, WALKS, SEED)
+    return stale_nodes(visits, held, WALKS)
+
+
+@register("u4_walk_refresh")
+def u4_walk_refresh(spark, sf_dir):
+    """Walk-sketch model updated with the stream half: stale sources re-walked on the new graph."""
+    from graphsig.plans.models import SimHashSketch
+
+    _, rest, held = _base_and_stream(spark, sf_dir)
+    model = SimHashSketch(dimensions=F_EXPERIMENT, random_walk_length=WALK_LENGTH, number_of_walks=WALKS)
+    state = model.update(model.fit(rest), held)
+    return state.embedding().select("node", sig_bits_string(F.col("sig"), F_EXPERIMENT).alias("bits"))
+
+
+@register("u5_ppr_update")
+def u5_ppr_update(spark, sf_dir):
+    """PageRank-sketch model; both endpoints of every new edge recomputed on the new graph."""
+    from graphsig.plans.models import SimHashSketch
+
+    _, rest, held = _base_and_stream(spark, sf_dir)
+    model = SimHashSketch(dimensions=F_EXPERIMENT, use_page_rank=True, ppr_iterations=PPR_ITERATIONS, ppr_eps=PPR_EPS)
+    state = model.update(model.fit(rest), held)
+    return state.embedding().select("node", sig_bits_string(F.col("sig"), F_EXPERIMENT).alias("bits"))
+
+
+@register("u7_fit_or_update", Q.node_sketch_sql(CP, F_DEFAULT).replace("CAST(cnt - 1 AS BIGINT) AS degree, ", ""))
+def u7_fit_or_update(spark, sf_dir):
+    """Fit on the base graph when no state exists, then update with the added edges."""
+    from graphsig.plans.models import SimHashSketch
+
+    _, rest, held = _base_and_stream(spark, sf_dir)
+    return SimHashSketch(dimensions=F_DEFAULT).fit_or_update(None, rest, held).embedding()
+
+
+# ---------------------------------------------------------------- streaming
+
+EVENT_EDGES_SQL = Q.canonical(
+    "SELECT 'user_' || CAST(user_id AS VARCHAR) AS src, 'type_' || event_type AS dst FROM events"
+)
+
+
+@register("t5_stream_sketch", Q.node_sketch_sql(EVENT_EDGES_SQL, F_DEFAULT))
+def t5_stream_sketch(spark, sf_dir):
+    """T5: events replayed as an edge stream (1,000 per file); the streaming aggregate equals the batch sketch."""
+    from graphsig.session import scratch_path
+    from graphsig.streaming.edges import run_stream_sketch, write_stream_files
+
+    src = scratch_path(spark, "event-stream")
+    write_stream_files(T.event_edges(spark, sf_dir), src, 1000, ["ts", "src", "dst"])
+    final = run_stream_sketch(spark, src, scratch_path(spark, "event-sketch"), F_DEFAULT)
+    return spark.read.parquet(final)
+
+
+@register("t1_stream_replay")
+def t1_stream_replay(spark, sf_dir):
+    """Replay the stream half of the customer–part graph in batches of 1,000 edges into the
+    neighbour model, with precision@100 (32 bits) after every batch, the last partial one included."""
+    from graphsig.plans.models import SimHashSketch
+    from graphsig.session import scratch_path
+    from graphsig.streaming.edges import run_edge_stream, write_stream_files
+
+    e = cp_edges(spark, sf_dir)
+    base, stream = H.stream_split(e, 0.5, SEED, keep_connected=True)
+    src = scratch_path(spark, "cp-stream")
+    write_stream_files(stream.withColumn("ts", F.lit(None).cast("timestamp")), src, 1000, ["src", "dst"])
+    node_table = G.nodes(e)
+
+    def evaluate(state, edges_now):
+        ranked = PR.top_pairs(state.embedding(), k=TOP_K, measure="hamming", f=F_DEFAULT)
+        return L.precision_until_hits(ranked, e, edges_now, 100).first()["precision"]
+
+    model = SimHashSketch(dimensions=F_DEFAULT)
+    result = run_edge_stream(spark, src, scratch_path(spark, "cp-replay"), model, base, evaluate)
+    del node_table
+    return spark.read.parquet(result.metrics).select("batch_id", "added", "edge_count", "precision")
+
+
+# ---------------------------------------------------------------- NodeSketch and sweep
+
+
+@register("n6_node_sketch_recursive")
+def n6_node_sketch_recursive(spark, sf_dir):
+    """NodeSketch baseline (128 dims, decay 0.2, 4 rounds) on the supplier–part graph."""
+    from graphsig.operators.nodesketch import recursive_node_sketch
+
+    return recursive_node_sketch(sp_edges(spark, sf_dir), 128, 4, 0.2, SEED)
+
+
+@register("r9_sweep")
+def r9_sweep(spark, sf_dir):
+    """Parameter sweep rows (dataset, algorithm, dims, walk length, walks, precision, run time,
+    iteration) over three configurations of the reference grid, and their averages."""
+    from graphsig.plans.evaluation import sweep
+    from graphsig.plans.models import SimHashSketch
+
+    configs = [
+        ("SimHashSketch", SimHashSketch(dimensions=F_EXPERIMENT)),
+        ("SimHashSketch", SimHashSketch(dimensions=F_EXPERIMENT, random_walk_length=2, number_of_walks=500)),
+        ("SimHashSketch", SimHashSketch(dimensions=F_EXPERIMENT, random_walk_length=3, number_of_walks=100)),
+    ]
+    return sweep(cp_edges(spark, sf_dir), configs, "customer-part", iterations=1, keep_connected=False)

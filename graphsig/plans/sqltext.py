@@ -186,20 +186,18 @@ def node_key_sql_ref(node: str) -> str:
 
 
 def walk_visits_sql(edges: str, length: int, walks: int, seed: int, bucket_size: int = 1_000_000) -> str:
-    from graphsig.functions.mixing import hash_select_sql
-
     parts = [
         f"adj AS ({adjacency_sql(edges, bucket_size)})",
         "deg AS (SELECT DISTINCT nb AS node, nb_deg AS deg FROM adj)",
-        f"w0 AS (SELECT n.node AS source, {node_key_sql_ref('n.node')} AS key, n.node AS cur, d.deg, r.walk "
+        f"w0 AS (SELECT n.node AS source, n.node AS cur, d.deg, r.walk "
         f"FROM ({nodes_sql(edges)}) n JOIN deg d ON d.node = n.node, (SELECT unnest(range({walks})) AS walk) r)",
     ]
     for s in range(length):
-        items = ", ".join(hash_select_sql("h", str(seed), "key", "walk", str(s)))
-        parts.append(f"h{s} AS (SELECT source, key, walk, cur, deg, {items} FROM w{s})")
+        h = f"('0x' || substr(md5(concat_ws('|', '{seed}', source, CAST(walk AS VARCHAR), '{s}')), 1, 8))::BIGINT"
+        parts.append(f"h{s} AS (SELECT source, walk, cur, deg, {h} % deg + 1 AS idx FROM w{s})")
         parts.append(
-            f"w{s + 1} AS (SELECT h.source, h.key, a.nb AS cur, a.nb_deg AS deg, h.walk FROM h{s} h "
-            f"JOIN adj a ON a.node = h.cur AND a.idx = h.h % h.deg + 1)"
+            f"w{s + 1} AS (SELECT h.source, a.nb AS cur, a.nb_deg AS deg, h.walk FROM h{s} h "
+            f"JOIN adj a ON a.node = h.cur AND a.idx = h.idx)"
         )
     union = " UNION ALL ".join(f"SELECT source, cur AS visited FROM w{s + 1}" for s in range(length))
     return (
