@@ -114,36 +114,88 @@ def _scores(x: np.ndarray, y: np.ndarray, kind: str, measure: str, f: int | None
     return np.round(out, 6)
 
 
+def _block_pairs(pdf: pd.DataFrame, kind: str, measure: str, f: int | None):
+    """Scores of all pairs of one block-pair: (keys a, keys b, index arrays, scores)."""
+    left = pdf[pdf["__side"] == 0]
+    same = len(pdf) > 0 and int(pdf["__bi"].iloc[0]) == int(pdf["__bj"].iloc[0])
+    right = left if same else pdf[pdf["__side"] == 1]
+    if len(left) == 0 or len(right) == 0 or (same and len(left) < 2):
+        return None
+    ka = left["__key"].to_numpy(dtype=object)
+    kb = right["__key"].to_numpy(dtype=object)
+    s = _scores(_matrix(left["__vec"], kind, f), _matrix(right["__vec"], kind, f), kind, measure, f)
+    if same:
+        ii, jj = np.triu_indices(len(ka), k=1)
+    else:
+        ii, jj = np.indices(s.shape).reshape(2, -1)
+    return ka, kb, ii, jj, s[ii, jj]
+
+
+def _ordered_frame(ka, kb, ii, jj, vals) -> pd.DataFrame:
+    x, y = ka[ii], kb[jj]
+    swap = x < y
+    return pd.DataFrame({"a": np.where(swap, y, x), "b": np.where(swap, x, y), "sim": vals})
+
+
 def _block_topk(kind: str, measure: str, f: int | None, k: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = pdf[pdf["__side"] == 0]
-        same = len(pdf) > 0 and int(pdf["__bi"].iloc[0]) == int(pdf["__bj"].iloc[0])
-        right = left if same else pdf[pdf["__side"] == 1]
-        if len(left) == 0 or len(right) == 0:
+        got = _block_pairs(pdf, kind, measure, f)
+        if got is None:
             return pd.DataFrame({"a": [], "b": [], "sim": []})
-        ka = left["__key"].to_numpy(dtype=object)
-        kb = right["__key"].to_numpy(dtype=object)
-        s = _scores(_matrix(left["__vec"], kind, f), _matrix(right["__vec"], kind, f), kind, measure, f)
-        if same:
-            ii, jj = np.triu_indices(len(ka), k=1)
-        else:
-            ii, jj = np.indices(s.shape).reshape(2, -1)
-        vals = s[ii, jj]
+        ka, kb, ii, jj, vals = got
         if len(vals) > k:
             cut = np.partition(vals, len(vals) - k)[len(vals) - k]
             keep = vals >= cut
             ii, jj, vals = ii[keep], jj[keep], vals[keep]
-        x, y = ka[ii], kb[jj]
-        swap = x < y
-        a = np.where(swap, y, x)
-        b = np.where(swap, x, y)
-        out = pd.DataFrame({"a": a, "b": b, "sim": vals})
-        out = out.sort_values(["sim", "a", "b"], ascending=[False, True, True], kind="mergesort").head(k)
-        return out
+        out = _ordered_frame(ka, kb, ii, jj, vals)
+        return out.sort_values(["sim", "a", "b"], ascending=[False, True, True], kind="mergesort").head(k)
+
+    return run
+
+
+def _block_histogram(kind: str, measure: str, f: int | None):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = _block_pairs(pdf, kind, measure, f)
+        if got is None:
+            return pd.DataFrame({"sim": np.array([], dtype=np.int32), "n": np.array([], dtype=np.int64)})
+        vals = got[4]
+        counts = np.bincount(vals.astype(np.int64), minlength=f + 1)
+        nz = np.nonzero(counts)[0]
+        return pd.DataFrame({"sim": nz.astype(np.int32), "n": counts[nz].astype(np.int64)})
 
     return run
 
 
+def _block_above(kind: str, measure: str, f: int | None, threshold: int, ties: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = _block_pairs(pdf, kind, measure, f)
+        if got is None:
+            return pd.DataFrame({"a": [], "b": [], "sim": []})
+        ka, kb, ii, jj, vals = got
+        keep = vals >= threshold
+        out = _ordered_frame(ka, kb, ii[keep], jj[keep], vals[keep])
+        above = out[out["sim"] > threshold]
+        tied = out[out["sim"] == threshold].sort_values(["a", "b"], kind="mergesort").head(ties)
+        return pd.concat([above, tied], ignore_index=True)
+
+    return run
+
+
+def _route(vectors: DataFrame, key: str, vector: str, B: int) -> DataFrame:
+    base = vectors.select(F.col(key).cast("string").alias("__key"), F.col(vector).alias("__vec")).withColumn(
+        "__blk", F.pmod(F.xxhash64("__key"), F.lit(B)).cast("int")
+    )
+    # a node in block i joins block-pairs (i, j): left side when i < j, right side when i > j, alone when i == j
+    others = base.withColumn("__j", F.explode(F.sequence(F.lit(0), F.lit(B - 1))))
+    return others.select(
+        F.least("__blk", "__j").alias("__bi"),
+        F.greatest("__blk", "__j").alias("__bj"),
+        F.when(F.col("__blk") <= F.col("__j"), 0).otherwise(1).alias("__side"),
+        "__key",
+        "__vec",
+    )
+
+
 def top_pairs(
     vectors: DataFrame,
     k: int = 100_000,
@@ -156,31 +208,44 @@ def top_pairs(
 ) -> DataFrame:
     """M7/M8: exact global top-k pairs ``(a, b, sim)`` with ``a > b``, ordered by (sim desc, a, b).
 
-    ``num_blocks`` defaults to ceil(n / block_size) from one count of the vector table.
+    Integer similarities of bit signatures (Hamming, dot) take two passes: a per-block-pair
+    histogram of the f+1 possible values gives the exact k-th value ``t`` (a few hundred rows reach
+    the driver), then block-pairs emit only pairs above ``t`` plus their first ties. Float measures
+    emit each block-pair's own top k. ``num_blocks`` defaults to ceil(n / block_size).
     """
     SIM.check_measure(measure)
     kind = _vector_kind(vectors, vector, f)
     if kind == "bits" and f is None:
         raise ValueError("f is required for bit signatures")
+    from graphsig.session import cut_lineage
+
+    # frozen once: the count and both passes read the same n rows instead of recomputing the sketch
+    vectors = cut_lineage(vectors.select(key, vector))
     if num_blocks is None:
         n = vectors.count()
         num_blocks = max(1, math.ceil(n / block_size))
     B = int(num_blocks)
-    base = vectors.select(F.col(key).cast("string").alias("__key"), F.col(vector).alias("__vec")).withColumn(
-        "__blk", F.pmod(F.xxhash64("__key"), F.lit(B)).cast("int")
-    )
-    # node in block i joins pairs (i, j): left side when i < j, right side when i > j, alone when i == j
-    others = base.withColumn("__j", F.explode(F.sequence(F.lit(0), F.lit(B - 1))))
-    routed = others.select(
-        F.least("__blk", "__j").alias("__bi"),
-        F.greatest("__blk", "__j").alias("__bj"),
-        F.when(F.col("__blk") <= F.col("__j"), 0).otherwise(1).alias("__side"),
-        "__key",
-        "__vec",
-    )
+    routed = _route(vectors, key, vector, B)
     sim_type = _sim_type(kind, measure)
     schema = PAIR_SCHEMA_DBL if sim_type == "double" else PAIR_SCHEMA_INT
-    scored = routed.groupBy("__bi", "__bj").applyInPandas(_block_topk(kind, measure, f, k), schema=schema)
+    grouped = routed.groupBy("__bi", "__bj")
+    if kind == "bits" and sim_type == "int":
+        hist = grouped.applyInPandas(_block_histogram(kind, measure, f), schema="sim int, n long")
+        counts = {r["sim"]: r["n"] for r in hist.groupBy("sim").agg(F.sum("n").alias("n")).collect()}
+        above, threshold = 0, None
+        for value in sorted(counts, reverse=True):
+            if above + counts[value] >= k:
+                threshold = value
+                break
+            above += counts[value]
+        if threshold is None:  # fewer than k pairs in total: keep them all
+            threshold = min(counts) if counts else 0
+            ties = counts.get(threshold, 0)
+        else:
+            ties = k - above
+        scored = grouped.applyInPandas(_block_above(kind, measure, f, int(threshold), int(ties)), schema=schema)
+    else:
+        scored = grouped.applyInPandas(_block_topk(kind, measure, f, k), schema=schema)
     return scored.orderBy(F.col("sim").desc(), "a", "b").limit(k)
 
 
