@@ -98,18 +98,23 @@ def labelled_split(held: DataFrame, negatives: DataFrame, split: str) -> DataFra
     )
 
 
-def link_split(edges: DataFrame, p: float = 0.1, seed: int = 42, keep_connected: bool = True, split: str = "test") -> tuple[DataFrame, DataFrame]:
-    """Hold out positives and the same number of negatives: ``(remaining_graph, labelled)``."""
+def link_split(
+    edges: DataFrame, p: float = 0.1, seed: int = 42, keep_connected: bool = True, split: str = "test", negatives: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """Hold out positives and (optionally) the same number of negatives: ``(remaining_graph, labelled)``."""
     e = canonical_edges(edges)
     held, rest = holdout_edges(e, p, seed, keep_connected)
-    neg = negative_edges(e, held.count(), seed + 1, node_table=nodes(e))
+    if negatives:
+        neg = negative_edges(e, held.count(), seed + 1, node_table=nodes(e))
+    else:
+        neg = held.limit(0)
     return cut_lineage(rest), labelled_split(held, neg, split)
 
 
-def nested_link_split(edges: DataFrame, p: float = 0.1, seed: int = 42, keep_connected: bool = True) -> dict[str, DataFrame]:
+def nested_link_split(edges: DataFrame, p: float = 0.1, seed: int = 42, keep_connected: bool = True, negatives: bool = True) -> dict[str, DataFrame]:
     """H3: G -> G_test (test edges removed) -> G_train (train edges removed from G_test)."""
-    g_test, test = link_split(edges, p, seed, keep_connected, "test")
-    g_train, train = link_split(g_test, p, seed + 100, keep_connected, "train")
+    g_test, test = link_split(edges, p, seed, keep_connected, "test", negatives)
+    g_train, train = link_split(g_test, p, seed + 100, keep_connected, "train", negatives)
     return {"G_test": g_test, "G_train": g_train, "test": test, "train": train, "labelled": test.unionByName(train)}
 
 

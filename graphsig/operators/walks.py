@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +40,13 @@ def random_walk_visits(
         raise ValueError("walk length must be at least 1")
     if walks < 1:
         raise ValueError("number of walks must be at least 1")
-    e = canonical_edges(edges)
-    adj = adjacency if adjacency is not None else cut_lineage(adjacency_index(e, closed=True, bucket_size=bucket_size))
+    e = cut_lineage(canonical_edges(edges))  # read by several stages: computed once
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if adjacency is None:
+        adjacency = adjacency_index(e, closed=True, bucket_size=bucket_size)
+    # hash-partitioned on the step join key and persisted (a cached plan keeps its partitioning, so
+    # every step shuffles only the walkers); it is static and cheap to rebuild from the edge table
+    adj = adjacency.repartition(parts, "node", "idx").persist(StorageLevel.MEMORY_AND_DISK)
     deg = adj.select(F.col("nb").alias("node"), F.col("nb_deg").alias("deg")).distinct()
     src = sources.select(F.col("node")) if sources is not None else nodes(e)
     walkers = (
@@ -50,8 +56,9 @@ def random_walk_visits(
     )
     steps = []
     for step in range(length):
-        chosen = walkers.withColumn("idx", F.pmod(step_hash(seed, step), F.col("deg")) + F.lit(1))
-        moved = chosen.join(adj, (chosen.cur == adj.node) & (chosen.idx == adj.idx)).select(
+        # non-null by construction, so no inferred null filter re-evaluates the hash
+        chosen = walkers.withColumn("idx", F.coalesce(F.pmod(step_hash(seed, step), F.col("deg")) + F.lit(1), F.lit(0)))
+        moved = chosen.join(adj.hint("shuffle_hash"), (chosen.cur == adj.node) & (chosen.idx == adj.idx)).select(
             "source", F.col("nb").alias("cur"), F.col("nb_deg").alias("deg"), "walk"
         )
         walkers = cut_lineage(moved)
@@ -59,7 +66,9 @@ def random_walk_visits(
     visits = steps[0]
     for s in steps[1:]:
         visits = visits.unionAll(s)
-    return visits.groupBy("source", "visited").agg(F.count(F.lit(1)).cast("long").alias("cnt"))
+    counted = cut_lineage(visits.groupBy("source", "visited").agg(F.count(F.lit(1)).cast("long").alias("cnt")))
+    adj.unpersist()
+    return counted
 
 
 # Fixed-point scale of PageRank mass: 1.0 == 10**12 (integer arithmetic keeps sums exact).
@@ -85,20 +94,38 @@ def personalized_pagerank(
     num, den = alpha
     if not 0 < num < den:
         raise ValueError("alpha must be a fraction in (0, 1)")
-    e = canonical_edges(edges)
-    nbrs = neighbours(e, closed=True)
+    from graphsig.operators.graph import global_index
+
+    spark = edges.sparkSession
+    e = cut_lineage(canonical_edges(edges))  # read by several stages: computed once
+    # iterate on dense BIGINT ids: every shuffled row is three longs instead of two strings and a long
+    ids = cut_lineage(global_index(nodes(e), ["node"], out="id"))
+    a = ids.select(F.col("node").alias("src"), F.col("id").alias("u"))
+    b = ids.select(F.col("node").alias("dst"), F.col("id").alias("v"))
+    ie = e.join(a, "src").join(b, "dst").select("u", "v")
+    nbrs = ie.select(F.col("u").alias("node"), F.col("v").alias("nb")).unionAll(ie.select(F.col("v").alias("node"), F.col("u").alias("nb")))
+    nbrs = nbrs.unionAll(ids.select(F.col("id").alias("node"), F.col("id").alias("nb")))
     deg = nbrs.groupBy("node").agg(F.count(F.lit(1)).cast("long").alias("deg"))
-    trans = cut_lineage(nbrs.join(deg, "node"))
-    src = sources.select("node") if sources is not None else nodes(e)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # partitioned on the join key and persisted: each round shuffles only the mass table
+    trans = nbrs.join(deg, "node").repartition(parts, "node").persist(StorageLevel.MEMORY_AND_DISK)
+    if sources is not None:
+        src = sources.select("node").join(ids, "node").select(F.col("id").alias("node"))
+    else:
+        src = ids.select(F.col("id").alias("node"))
     mass = src.select(F.col("node").alias("source"), F.col("node"), F.lit(scale).cast("long").alias("mass"))
     teleport = src.select(F.col("node").alias("source"), F.col("node"), F.lit(scale * (den - num) // den).cast("long").alias("mass"))
     floor_eps = int(eps * scale)
     for _ in range(iterations):
-        spread = mass.join(trans, "node").select(
+        spread = mass.join(trans.hint("shuffle_hash"), "node").select(
             "source", F.col("nb").alias("node"), F.expr(f"(mass * {num}) div ({den} * deg)").alias("mass")
         )
         mass = spread.unionAll(teleport).groupBy("source", "node").agg(F.sum("mass").cast("long").alias("mass"))
         if floor_eps > 0:
             mass = mass.filter(F.col("mass") >= F.lit(floor_eps))
         mass = cut_lineage(mass)
-    return mass
+    trans.unpersist()
+    sa = ids.select(F.col("id").alias("source"), F.col("node").alias("source_node"))
+    na = ids.select(F.col("id").alias("node"), F.col("node").alias("node_name"))
+    named = mass.join(sa, "source").join(na, "node")
+    return named.select(F.col("source_node").alias("source"), F.col("node_name").alias("node"), "mass")
