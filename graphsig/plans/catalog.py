@@ -900,7 +900,7 @@ def t5_stream_sketch(spark, sf_dir):
     from graphsig.streaming.edges import run_stream_sketch, write_stream_files
 
     src = scratch_path(spark, "event-stream")
-    write_stream_files(T.event_edges(spark, sf_dir), src, 1000, ["ts", "src", "dst"])
+    write_stream_files(T.event_edges(spark, sf_dir), src, 1000, ["ts", "src", "dst"], ordered=False)
     return run_stream_sketch(spark, src, scratch_path(spark, "event-sketch"), F_DEFAULT, max_files_per_trigger=10)
 
 
@@ -952,3 +952,19 @@ def r9_sweep(spark, sf_dir):
         ("SimHashSketch", SimHashSketch(dimensions=F_EXPERIMENT, random_walk_length=3, number_of_walks=100)),
     ]
     return sweep(cp_edges(spark, sf_dir), configs, "customer-part", iterations=1, keep_connected=False)
+
+
+@register("s9_state_roundtrip", Q.node_sketch_sql(CP, F_DEFAULT).replace("CAST(cnt - 1 AS BIGINT) AS degree, ", ""))
+def s9_state_roundtrip(spark, sf_dir):
+    """Save the base state (version 0), update with the stream half, save version 1, reload the latest."""
+    from graphsig.plans.models import SimHashSketch
+    from graphsig.session import scratch_path
+    from graphsig.sources.state import load_state, save_state
+
+    _, rest, held = _base_and_stream(spark, sf_dir)
+    model = SimHashSketch(dimensions=F_DEFAULT)
+    folder = scratch_path(spark, "state")
+    base = model.fit(rest)
+    save_state(base, folder, 0)
+    save_state(model.update(load_state(spark, folder), held), folder, 1)
+    return load_state(spark, folder).embedding()

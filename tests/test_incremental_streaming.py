@@ -93,3 +93,17 @@ def test_edge_stream_replay(spark):
     all_edges = {tuple(sorted(p)) for p in pairs if p[0] != p[1]}
     assert metrics[-1]["edge_count"] == len(all_edges)
     assert sum(r["added"] for r in metrics) == len(all_edges) - len({tuple(sorted(p)) for p in base if p[0] != p[1]})
+
+
+def test_state_save_load_versions(spark):
+    from graphsig.sources.state import load_state, save_state
+
+    pairs = random_graph(spark, m=50, seed=30)
+    m = SimHashSketch(dimensions=32)
+    folder = tempfile.mkdtemp(prefix="graphsig-state-")
+    st = m.fit(edges_df(spark, pairs[:30]))
+    save_state(st, folder, 0)
+    save_state(m.update(st, edges_df(spark, pairs[30:])), folder, 1)
+    latest = load_state(spark, folder)
+    assert sigs(latest.embedding()) == sigs(S.node_sketch(edges_df(spark, pairs), 32))
+    assert sigs(load_state(spark, folder, 0).embedding()) == sigs(st.embedding())
