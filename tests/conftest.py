@@ -28,6 +28,9 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     if not s.sparkContext.getCheckpointDir():
         s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="graphsig-test-ckpt-"))
+    from graphsig.session import ship_package
+
+    ship_package(s)
     yield s
 
 
