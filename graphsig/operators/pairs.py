@@ -208,10 +208,11 @@ def top_pairs(
 ) -> DataFrame:
     """M7/M8: exact global top-k pairs ``(a, b, sim)`` with ``a > b``, ordered by (sim desc, a, b).
 
-    Integer similarities of bit signatures (Hamming, dot) take two passes: a per-block-pair
-    histogram of the f+1 possible values gives the exact k-th value ``t`` (a few hundred rows reach
-    the driver), then block-pairs emit only pairs above ``t`` plus their first ties. Float measures
-    emit each block-pair's own top k. ``num_blocks`` defaults to ceil(n / block_size).
+    Integer similarities of bit signatures (Hamming, dot) over more than 8 block-pairs take two
+    passes: a per-block-pair histogram of the f+1 possible values gives the exact k-th value ``t``
+    (a few hundred rows reach the driver), then block-pairs emit only pairs above ``t`` plus their
+    first ties. Otherwise each block-pair emits its own top k (at most 8k rows for small inputs).
+    ``num_blocks`` defaults to ceil(n / block_size).
     """
     SIM.check_measure(measure)
     kind = _vector_kind(vectors, vector, f)
@@ -229,7 +230,8 @@ def top_pairs(
     sim_type = _sim_type(kind, measure)
     schema = PAIR_SCHEMA_DBL if sim_type == "double" else PAIR_SCHEMA_INT
     grouped = routed.groupBy("__bi", "__bj")
-    if kind == "bits" and sim_type == "int":
+    groups = B * (B + 1) // 2
+    if kind == "bits" and sim_type == "int" and groups > 8:
         hist = grouped.applyInPandas(_block_histogram(kind, measure, f), schema="sim int, n long")
         counts = {r["sim"]: r["n"] for r in hist.groupBy("sim").agg(F.sum("n").alias("n")).collect()}
         above, threshold = 0, None
