@@ -1,9 +1,10 @@
-"""Deterministic integer hashing for random choices (walk steps, min-hash draws).
+"""Deterministic integer hashing for random choices (NodeSketch draws, hub buckets).
 
-Python's RNG state cannot be shared across partitions, so every random choice is a pure
-function of its coordinates (seed, source, walk, step, ...). Values stay within 31 bits and every
-product within 62 bits, so no BIGINT overflow happens under ANSI mode, and the same arithmetic is
-plain SQL for the oracle. Each mixing round is its own column so expressions stay linear in size.
+Python's RNG state cannot be shared across partitions, so every random choice is a pure function of
+its coordinates. Values stay within 31 bits and every product within 62 bits, so no BIGINT overflow
+happens under ANSI mode. Each mixing round is its own column so expressions stay linear in size.
+(Walk steps use one MD5 expression instead, see ``operators.walks.step_hash``: a staged hash there
+would be inlined into the join's inferred null filters.)
 """
 
 from __future__ import annotations
@@ -41,23 +42,5 @@ def with_hash(df: DataFrame, out: str, *coords: Column | int) -> DataFrame:
     return df.withColumnRenamed(tmp, out)
 
 
-def hash_select_sql(out: str, *coords: str) -> list[str]:
-    """DuckDB select-list items computing ``out`` like :func:`with_hash` (lateral aliases).
-
-    ``xor`` is DuckDB's bitwise xor (``^`` there is power).
-    """
-    items = []
-    prev = "0::BIGINT"
-    for i, c in enumerate(coords):
-        a, b, d, e = (f"{out}_{i}{s}" for s in "abde")
-        items.append(f"(xor({prev}, (({c})::BIGINT & {MASK31})) + {OFFSET}) & {MASK31} AS {a}")
-        items.append(f"(xor({a}, {a} >> 15) * {MIX_A}) & {MASK31} AS {b}")
-        items.append(f"(xor({b}, {b} >> 13) * {MIX_B}) & {MASK31} AS {d}")
-        items.append(f"xor({d}, {d} >> 16) AS {e}")
-        prev = e
-    items.append(f"{prev} AS {out}")
-    return items
-
-
 def node_key_sql(node: str) -> str:
     return f"(('0x' || substr(md5({node}), 1, 8))::BIGINT & {MASK31})"

@@ -6,7 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphsig.operators.graph import adjacency_index, canonical_edges, neighbours, nodes
+from graphsig.operators.graph import adjacency_index, canonical_edges, nodes
 from graphsig.session import cut_lineage
 
 

@@ -916,15 +916,12 @@ def t1_stream_replay(spark, sf_dir):
     base, stream = H.stream_split(e, 0.5, SEED, keep_connected=True)
     src = scratch_path(spark, "cp-stream")
     write_stream_files(stream.withColumn("ts", F.lit(None).cast("timestamp")), src, 1000, ["src", "dst"])
-    node_table = G.nodes(e)
-
     def evaluate(state, edges_now):
         ranked = PR.top_pairs(state.embedding(), k=TOP_K, measure="hamming", f=F_DEFAULT)
         return L.precision_until_hits(ranked, e, edges_now, 100).first()["precision"]
 
     model = SimHashSketch(dimensions=F_DEFAULT)
     result = run_edge_stream(spark, src, scratch_path(spark, "cp-replay"), model, base, evaluate)
-    del node_table
     return spark.read.parquet(result.metrics).select("batch_id", "added", "edge_count", "precision")
 
 
