@@ -66,9 +66,9 @@ def random_walk_visits(
     visits = steps[0]
     for s in steps[1:]:
         visits = visits.unionAll(s)
-    counted = cut_lineage(visits.groupBy("source", "visited").agg(F.count(F.lit(1)).cast("long").alias("cnt")))
+    # the visits read only the checkpointed walker tables, so the adjacency can be released now
     adj.unpersist()
-    return counted
+    return visits.groupBy("source", "visited").agg(F.count(F.lit(1)).cast("long").alias("cnt"))
 
 
 # Fixed-point scale of PageRank mass: 1.0 == 10**12 (integer arithmetic keeps sums exact).
