@@ -86,9 +86,14 @@ class SimHashSketch:
 
     # -- updates (U6) --------------------------------------------------------------------
 
-    def update(self, state: SketchState, incoming: DataFrame) -> SketchState:
-        fresh = cut_lineage(new_edges(state.edges, incoming))
-        edges_now = cut_lineage(append_edges(state.edges, fresh))
+    def update(self, state: SketchState, incoming: DataFrame, edges_now: DataFrame | None = None) -> SketchState:
+        """Apply incoming edges. A caller that already holds the grown graph passes ``edges_now``;
+        ``incoming`` is then taken as the canonical new edges (no second anti-join)."""
+        if edges_now is None:
+            fresh = cut_lineage(new_edges(state.edges, incoming))
+            edges_now = cut_lineage(append_edges(state.edges, fresh))
+        else:
+            fresh = incoming
         f = self.dimensions
         if self.mode == "neighbours":
             sums = U.apply_edges(state.sums, state.edges, fresh, f)
@@ -132,8 +137,11 @@ class NodeSketchModel:
         return cut_lineage(recursive_node_sketch(e, self.dimensions, self.iterations, self.decay, self.seed, node_table=node_table))
 
 
-def refit_or_update(model, state, edges_now: DataFrame, incoming: DataFrame):
-    """U8: models without update support are refitted on the grown graph."""
+def refit_or_update(model, state, edges_now: DataFrame, incoming: DataFrame, grown: bool = False):
+    """U8: models without update support are refitted on the grown graph.
+
+    With ``grown`` the caller has already added ``incoming`` (canonical, new) to ``edges_now``.
+    """
     if getattr(model, "supports_update", False):
-        return model.update(state, incoming)
-    return model.fit(append_edges(canonical_edges(edges_now), incoming))
+        return model.update(state, incoming, edges_now) if grown else model.update(state, incoming)
+    return model.fit(edges_now if grown else append_edges(canonical_edges(edges_now), incoming))

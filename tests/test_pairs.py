@@ -66,3 +66,14 @@ def test_band_links_exact_within_radius(spark):
     assert ("b", "a") in linked and ("c", "a") in linked
     sims = {(r["a"], r["b"]): r["sim"] for r in links.collect()}
     assert sims[("b", "a")] == 31
+
+
+def test_pair_similarity_symmetric_and_bounded(spark):
+    rng = random.Random(23)
+    vecs = [(f"n{i}", [rng.getrandbits(63), rng.getrandbits(63)]) for i in range(12)]
+    df = spark.createDataFrame(vecs, "node string, sig array<bigint>")
+    pairs = spark.createDataFrame([(a, b) for a, _ in vecs for b, _ in vecs], "a string, b string")
+    got = {(r["a"], r["b"]): r["sim"] for r in PR.score_pairs(pairs, df, "hamming", f=128).collect()}
+    assert all(got[(a, b)] == got[(b, a)] for a, b in got)
+    assert all(0 <= v <= 128 for v in got.values())
+    assert all(got[(a, a)] == 128 for a, _ in vecs)

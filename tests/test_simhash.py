@@ -106,3 +106,14 @@ def test_from_signature_and_hamming(spark):
     df = spark.createDataFrame([(0b1011, 0b0001)], "x long, y long")
     df = S.from_signature(df, "x", 8, "a").withColumn("d", hamming_distance([F.col("a")], [F.col("y")]))
     assert df.first()["d"] == 2
+
+
+def test_sketch_independent_of_partitioning(spark):
+    import random
+
+    rng = random.Random(17)
+    pairs = [(f"n{rng.randrange(50):02d}", f"n{rng.randrange(50):02d}") for _ in range(200)]
+    a = {r["node"]: r["sig"] for r in S.node_sketch(edges_df(spark, pairs), f=64).collect()}
+    b = {r["node"]: r["sig"] for r in S.node_sketch(edges_df(spark, pairs).repartition(11), f=64).collect()}
+    c = {r["node"]: r["sig"] for r in S.node_sketch(edges_df(spark, pairs).coalesce(1), f=64).collect()}
+    assert a == b == c
