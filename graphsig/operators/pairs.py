@@ -73,11 +73,10 @@ def score_pairs(
 # ------------------------------------------------------------------ exact top-k kernel
 
 
-def _matrix(values: pd.Series, kind: str, f: int | None) -> np.ndarray:
+def _matrix(values: pd.DataFrame | pd.Series, kind: str, f: int | None) -> np.ndarray:
     if kind == "bits":
-        if f is not None and f > 64:
-            return np.array([np.asarray(v, dtype=np.int64) for v in values], dtype=np.int64).view(np.uint64)
-        return values.to_numpy(dtype=np.int64).reshape(-1, 1).view(np.uint64)
+        # signature words arrive as separate BIGINT columns: no per-row Python conversion
+        return np.ascontiguousarray(values.to_numpy(dtype=np.int64)).reshape(len(values), -1).view(np.uint64)
     dtype = np.float64 if kind == "float" else np.int64
     return np.array([np.asarray(v, dtype=dtype) for v in values])
 
@@ -123,7 +122,10 @@ def _block_pairs(pdf: pd.DataFrame, kind: str, measure: str, f: int | None):
         return None
     ka = left["__key"].to_numpy(dtype=object)
     kb = right["__key"].to_numpy(dtype=object)
-    s = _scores(_matrix(left["__vec"], kind, f), _matrix(right["__vec"], kind, f), kind, measure, f)
+    cols = [c for c in pdf.columns if c.startswith("__w")] if kind == "bits" else ["__vec"]
+    lv = left[cols] if kind == "bits" else left["__vec"]
+    rv = right[cols] if kind == "bits" else right["__vec"]
+    s = _scores(_matrix(lv, kind, f), _matrix(rv, kind, f), kind, measure, f)
     if same:
         ii, jj = np.triu_indices(len(ka), k=1)
     else:
@@ -181,8 +183,13 @@ def _block_above(kind: str, measure: str, f: int | None, threshold: int, ties: i
     return run
 
 
-def _route(vectors: DataFrame, key: str, vector: str, B: int) -> DataFrame:
-    base = vectors.select(F.col(key).cast("string").alias("__key"), F.col(vector).alias("__vec")).withColumn(
+def _route(vectors: DataFrame, key: str, vector: str, B: int, kind: str = "", f: int | None = None) -> DataFrame:
+    if kind == "bits":
+        words = sig_words(F.col(vector), f)
+        payload = [w.alias(f"__w{i}") for i, w in enumerate(words)]
+    else:
+        payload = [F.col(vector).alias("__vec")]
+    base = vectors.select(F.col(key).cast("string").alias("__key"), *payload).withColumn(
         "__blk", F.pmod(F.xxhash64("__key"), F.lit(B)).cast("int")
     )
     # a node in block i joins block-pairs (i, j): left side when i < j, right side when i > j, alone when i == j
@@ -192,7 +199,7 @@ def _route(vectors: DataFrame, key: str, vector: str, B: int) -> DataFrame:
         F.greatest("__blk", "__j").alias("__bj"),
         F.when(F.col("__blk") <= F.col("__j"), 0).otherwise(1).alias("__side"),
         "__key",
-        "__vec",
+        *[c for c in base.columns if c.startswith("__w") or c == "__vec"],
     )
 
 
@@ -226,7 +233,7 @@ def top_pairs(
         n = vectors.count()
         num_blocks = max(1, math.ceil(n / block_size))
     B = int(num_blocks)
-    routed = _route(vectors, key, vector, B)
+    routed = _route(vectors, key, vector, B, kind, f)
     sim_type = _sim_type(kind, measure)
     schema = PAIR_SCHEMA_DBL if sim_type == "double" else PAIR_SCHEMA_INT
     grouped = routed.groupBy("__bi", "__bj")

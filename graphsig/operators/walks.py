@@ -114,13 +114,15 @@ def personalized_pagerank(
     else:
         src = ids.select(F.col("id").alias("node"))
     mass = src.select(F.col("node").alias("source"), F.col("node"), F.lit(scale).cast("long").alias("mass"))
-    teleport = src.select(F.col("node").alias("source"), F.col("node"), F.lit(scale * (den - num) // den).cast("long").alias("mass"))
+    teleport_mass = scale * (den - num) // den
     floor_eps = int(eps * scale)
     for _ in range(iterations):
         spread = mass.join(trans.hint("shuffle_hash"), "node").select(
             "source", F.col("nb").alias("node"), F.expr(f"(mass * {num}) div ({den} * deg)").alias("mass")
         )
-        mass = spread.unionAll(teleport).groupBy("source", "node").agg(F.sum("mass").cast("long").alias("mass"))
+        # (s, s) always receives spread through its self-loop, so teleport is added after the aggregate
+        summed = spread.groupBy("source", "node").agg(F.sum("mass").cast("long").alias("mass"))
+        mass = summed.withColumn("mass", F.col("mass") + F.when(F.col("node") == F.col("source"), F.lit(teleport_mass)).otherwise(F.lit(0)))
         if floor_eps > 0:
             mass = mass.filter(F.col("mass") >= F.lit(floor_eps))
         mass = cut_lineage(mass)
