@@ -28,14 +28,20 @@ def canonical_edges(edges: DataFrame, src: str = "src", dst: str = "dst", orient
 
 
 def half_edges(edges: DataFrame) -> DataFrame:
-    """Both directions of each canonical edge as ``(node, nb)``; disjoint halves, so no distinct."""
-    return edges.select(F.col("src").alias("node"), F.col("dst").alias("nb")).unionAll(
-        edges.select(F.col("dst").alias("node"), F.col("src").alias("nb"))
+    """Both directions of each canonical edge as ``(node, nb)``; disjoint halves, so no distinct.
+
+    One ``explode`` over a single read of the edge table (a union of two projections would plan the
+    edge table's whole lineage twice).
+    """
+    both = F.array(
+        F.struct(F.col("src").alias("node"), F.col("dst").alias("nb")),
+        F.struct(F.col("dst").alias("node"), F.col("src").alias("nb")),
     )
+    return edges.select(F.explode(both).alias("__h")).select("__h.node", "__h.nb")
 
 
 def nodes(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("src").alias("node")).unionAll(edges.select(F.col("dst").alias("node"))).distinct()
+    return edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
 
 
 def with_self_loops(nbrs: DataFrame, node_table: DataFrame | None = None) -> DataFrame:
