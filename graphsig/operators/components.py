@@ -73,7 +73,9 @@ def spanning_forest(edges: DataFrame, seed: int = 42, max_rounds: int = 64) -> D
         cb = comp.select(F.col("node").alias("dst"), F.col("comp").alias("cb"))
         crossing = e.join(ca, "src").join(cb, "dst").filter(F.col("ca") != F.col("cb"))
         cand = F.struct("w", "src", "dst")
-        sides = crossing.select(F.col("ca").alias("c"), cand.alias("e")).unionAll(crossing.select(F.col("cb").alias("c"), cand.alias("e")))
+        sides = crossing.select(
+            F.explode(F.array(F.struct(F.col("ca").alias("c"), cand.alias("e")), F.struct(F.col("cb").alias("c"), cand.alias("e")))).alias("x")
+        ).select("x.c", "x.e")
         best = sides.groupBy("c").agg(F.min("e").alias("e"))
         chosen = cut_lineage(best.select("e.src", "e.dst", "e.w").distinct())
         if chosen.limit(1).count() == 0:
@@ -90,6 +92,18 @@ def spanning_forest(edges: DataFrame, seed: int = 42, max_rounds: int = 64) -> D
     return forest.select("src", "dst")
 
 
+def double_cover(e: DataFrame) -> DataFrame:
+    """Edges ``(v|0, w|1)`` and ``(v|1, w|0)`` of the bipartite double cover, from one explode."""
+    def tag(c: str, side: str):
+        return F.concat(F.col(c), F.lit("\u0001" + side))
+
+    both = F.array(
+        F.struct(tag("src", "0").alias("src"), tag("dst", "1").alias("dst")),
+        F.struct(tag("src", "1").alias("src"), tag("dst", "0").alias("dst")),
+    )
+    return e.select(F.explode(both).alias("x")).select("x.src", "x.dst")
+
+
 def is_bipartite(edges: DataFrame) -> bool:
     """Components of the bipartite double cover; bipartite iff no (v,0) and (v,1) meet.
 
@@ -99,9 +113,7 @@ def is_bipartite(edges: DataFrame) -> bool:
     if loops:
         return False
     e = canonical_edges(edges)
-    cover = e.select(
-        F.concat(F.col("src"), F.lit("\u00010")).alias("src"), F.concat(F.col("dst"), F.lit("\u00011")).alias("dst")
-    ).unionAll(e.select(F.concat(F.col("src"), F.lit("\u00011")).alias("src"), F.concat(F.col("dst"), F.lit("\u00010")).alias("dst")))
+    cover = double_cover(e)
     cc = connected_components(cover)
     tagged = cc.select(
         F.expr("substring(node, 1, length(node) - 2)").alias("v"), F.col("component")
@@ -123,9 +135,7 @@ def bipartite_sides(edges: DataFrame) -> DataFrame:
     :func:`is_bipartite`).
     """
     e = canonical_edges(edges)
-    cover = e.select(
-        F.concat(F.col("src"), F.lit("\u00010")).alias("src"), F.concat(F.col("dst"), F.lit("\u00011")).alias("dst")
-    ).unionAll(e.select(F.concat(F.col("src"), F.lit("\u00011")).alias("src"), F.concat(F.col("dst"), F.lit("\u00010")).alias("dst")))
+    cover = double_cover(e)
     cc = connected_components(cover).select(
         F.expr("substring(node, 1, length(node) - 2)").alias("node"),
         F.expr("substring(node, length(node), 1)").alias("copy"),
