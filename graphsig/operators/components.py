@@ -16,7 +16,8 @@ from graphsig.session import cut_lineage
 
 def _large_star(e: DataFrame) -> DataFrame:
     """e(x, y) undirected, as rows with x > y. For each u: m = min(Γ+(u)); link every v > u to m."""
-    sym = e.select(F.col("x").alias("u"), F.col("y").alias("v")).unionAll(e.select(F.col("y").alias("u"), F.col("x").alias("v")))
+    both = F.array(F.struct(F.col("x").alias("u"), F.col("y").alias("v")), F.struct(F.col("y").alias("u"), F.col("x").alias("v")))
+    sym = e.select(F.explode(both).alias("s")).select("s.u", "s.v")
     mins = sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     out = sym.filter(F.col("v") > F.col("u")).join(mins, "u").select(F.col("v").alias("x"), F.col("m").alias("y"))
     return out.filter(F.col("x") != F.col("y")).distinct()
@@ -65,7 +66,7 @@ def spanning_forest(edges: DataFrame, seed: int = 42, max_rounds: int = 64) -> D
     structs), chosen edges join the forest, and components merge through :func:`connected_components`.
     """
     e = cut_lineage(canonical_edges(edges).withColumn("w", _edge_weight(seed)))
-    comp = e.select(F.col("src").alias("node")).unionAll(e.select(F.col("dst").alias("node"))).distinct().withColumn("comp", F.col("node"))
+    comp = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("comp", F.col("node"))
     comp = cut_lineage(comp)
     forest = None
     for _ in range(max_rounds):
