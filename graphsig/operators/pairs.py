@@ -212,6 +212,7 @@ def top_pairs(
     vector: str = "sig",
     block_size: int = 2048,
     num_blocks: int | None = None,
+    freeze: bool = True,
 ) -> DataFrame:
     """M7/M8: exact global top-k pairs ``(a, b, sim)`` with ``a > b``, ordered by (sim desc, a, b).
 
@@ -228,7 +229,10 @@ def top_pairs(
     from graphsig.session import cut_lineage
 
     # frozen once: the count and both passes read the same n rows instead of recomputing the sketch
-    vectors = cut_lineage(vectors.select(key, vector))
+    # (``freeze=False`` when the caller's vectors already come from a checkpointed table)
+    vectors = vectors.select(key, vector)
+    if freeze:
+        vectors = cut_lineage(vectors)
     if num_blocks is None:
         n = vectors.count()
         num_blocks = max(1, math.ceil(n / block_size))

@@ -917,7 +917,7 @@ def t1_stream_replay(spark, sf_dir):
     src = scratch_path(spark, "cp-stream")
     write_stream_files(stream.withColumn("ts", F.lit(None).cast("timestamp")), src, 1000, ["src", "dst"])
     def evaluate(state, edges_now):
-        ranked = PR.top_pairs(state.embedding(), k=TOP_K, measure="hamming", f=F_DEFAULT)
+        ranked = PR.top_pairs(state.embedding(), k=TOP_K, measure="hamming", f=F_DEFAULT, freeze=False)
         return L.precision_until_hits(ranked, e, edges_now, 100).first()["precision"]
 
     model = SimHashSketch(dimensions=F_DEFAULT)
