@@ -82,9 +82,14 @@ def personalized_pagerank(
     eps: float = 0.0,
     sources: DataFrame | None = None,
     scale: int = PPR_SCALE,
+    tol: float | None = None,
 ) -> DataFrame:
     """``(source, node, mass)`` — personalized PageRank by power iteration, mass in fixed point.
 
+    ``iterations`` caps the rounds; with ``tol`` the loop also stops once no source's mass moved by
+    more than ``tol`` (L1, as a fraction of 1.0) in the last round — one outer join and one scalar
+    aggregate per round.
+
     ``mass_{t+1}(s, v) = (1-a)·[v = s] + a · Σ_{u ∋ v} mass_t(s, u) / deg(u)`` over closed
     neighbourhoods (every node keeps a self-loop, so nothing dangles). Each contribution is an integer
     floor division, so totals are exact and independent of summation order. Entries below ``eps`` are
@@ -117,6 +122,7 @@ def personalized_pagerank(
     teleport_mass = scale * (den - num) // den
     floor_eps = int(eps * scale)
     for _ in range(iterations):
+        mass_before = mass
         spread = mass.join(trans.hint("shuffle_hash"), "node").select(
             "source", F.col("nb").alias("node"), F.expr(f"(mass * {num}) div ({den} * deg)").alias("mass")
         )
@@ -125,7 +131,18 @@ def personalized_pagerank(
         mass = summed.withColumn("mass", F.col("mass") + F.when(F.col("node") == F.col("source"), F.lit(teleport_mass)).otherwise(F.lit(0)))
         if floor_eps > 0:
             mass = mass.filter(F.col("mass") >= F.lit(floor_eps))
-        mass = cut_lineage(mass)
+        previous, mass = mass_before, cut_lineage(mass)
+        if tol is not None:
+            change = (
+                previous.withColumnRenamed("mass", "m0")
+                .join(mass.withColumnRenamed("mass", "m1"), ["source", "node"], "full_outer")
+                .groupBy("source")
+                .agg(F.sum(F.abs(F.coalesce("m1", F.lit(0)) - F.coalesce("m0", F.lit(0)))).alias("d"))
+                .agg(F.max("d"))
+                .first()[0]
+            )
+            if (change or 0) <= tol * scale:
+                break
     trans.unpersist()
     sa = ids.select(F.col("id").alias("source"), F.col("node").alias("source_node"))
     na = ids.select(F.col("id").alias("node"), F.col("node").alias("node_name"))

@@ -62,3 +62,11 @@ def test_ppr_exact_integer_iteration(spark):
     for (s, _), m in got.items():
         per_source[s] = per_source.get(s, 0) + m
     assert all(abs(t - 10**12) < 10**6 for t in per_source.values())
+
+
+def test_ppr_tolerance_stop(spark):
+    pairs = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "a"), ("a", "e")]
+    capped = {(r["source"], r["node"]): r["mass"] for r in W.personalized_pagerank(edges_df(spark, pairs), iterations=200, tol=1e-9).collect()}
+    longer = {(r["source"], r["node"]): r["mass"] for r in W.personalized_pagerank(edges_df(spark, pairs), iterations=60).collect()}
+    assert capped.keys() == longer.keys()
+    assert max(abs(capped[k] - longer[k]) for k in capped) <= 10**4  # within 1e-8 of 1.0
