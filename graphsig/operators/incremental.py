@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphsig.functions.hashing import HashExpr, md5_words
+from graphsig.functions.hashing import HashExpr, bits_of_words_sql, md5_words
 from graphsig.operators.graph import canonical_edges, half_edges, new_edges
 from graphsig.operators.simhash import add_feature, bit_sums, majority
 
@@ -35,8 +35,14 @@ def apply_edges(state: DataFrame, graph: DataFrame, incoming: DataFrame, f: int,
         (F.coalesce("cnt", F.lit(0).cast("long")) + F.coalesce("dcnt", F.lit(0).cast("long"))).alias("cnt"),
         F.zip_with(F.coalesce("sums", zeros), F.coalesce("dsums", zeros), lambda x, y: x + y).alias("sums"),
     )
-    born = add_feature(out.filter("__new"), F.col("node"), f, hash_words)
-    return out.filter(~F.col("__new")).unionByName(born).drop("__new")
+    # nodes seen for the first time also get their own id, in the same projection (no second branch)
+    own = out.withColumn("__own", F.array(*hash_words(F.col("node"), f)))
+    added = F.expr(f"zip_with(sums, {bits_of_words_sql('__own', f)}, (s, b) -> s + b)")
+    return own.select(
+        "node",
+        (F.col("cnt") + F.when(F.col("__new"), F.lit(1)).otherwise(F.lit(0))).cast("long").alias("cnt"),
+        F.when(F.col("__new"), added).otherwise(F.col("sums")).alias("sums"),
+    )
 
 
 def recompute_nodes(graph: DataFrame, ids: DataFrame, f: int, hash_words: HashExpr = md5_words) -> DataFrame:
