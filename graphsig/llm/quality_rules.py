@@ -138,11 +138,12 @@ def group_fences(sketches: DataFrame, rules: tuple[Rule, ...] = RULES, min_docs:
     by_lang = fences(merge(sketches, "lang"), ("lang",), rules, spread).select(
         F.struct("lang").alias("l"), F.col("docs").alias("l_docs"), F.col("lo").alias("l_lo"), F.col("hi").alias("l_hi")
     )
-    overall = fences(merge(sketches.withColumn("all", F.lit(0)), "all"), ("all",), rules, spread).select(
-        F.col("all").alias("a"), F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi")
-    )
-    joined = own.withColumn("l", F.struct("lang")).withColumn("a", F.lit(0)).join(by_lang, "l").join(overall, "a")
-    pick = lambda c: F.when(F.col("docs") >= min_docs, F.col(c)).when(F.col("l_docs") >= min_docs, F.col(f"l_{c}")).otherwise(F.col(f"a_{c}"))
+    joined = own.withColumn("l", F.struct("lang")).join(by_lang, "l")
+    # one row: the fences of all documents
+    overall = fences(merge(sketches.withColumn("all", F.lit(0)), "all"), ("all",), rules, spread).first()
+    fixed = {c: F.create_map(*[F.lit(x) for k, v in (overall[c] if overall else {}).items() if v is not None for x in (k, v)]) for c in ("lo", "hi")}
+    fixed = {c: m.cast("map<string,bigint>") for c, m in fixed.items()}
+    pick = lambda c: F.when(F.col("docs") >= min_docs, F.col(c)).when(F.col("l_docs") >= min_docs, F.col(f"l_{c}")).otherwise(fixed[c])
     return joined.select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), pick("lo").alias("lo"), pick("hi").alias("hi"))
 
 
