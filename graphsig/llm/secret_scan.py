@@ -7,7 +7,7 @@ Spans of the model are added where no base span lies; base spans always stay.
 
 Spark has no function for all positions of a pattern. The pieces between matches (``split``) and the
 matches (``regexp_extract_all``) come in the same order, so running sums of their lengths give the
-positions; sums go by blocks, so many matches in one text stay cheap.
+positions.
 
 Edge cases: a null text is empty and has no span; repeated rows are scanned each; an empty table gives
 an empty result; other columns are ignored.
@@ -28,7 +28,7 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS, HEX = "AKIA[A-Z0-9]{16,}", "[0-9a-f]{24,}"
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-LEAST, LEAST_MEAN, SAMPLES, BLOCK = 15.0, 0.6, 4000, 256
+LEAST, LEAST_MEAN, SAMPLES = 15.0, 0.6, 4000
 #: Parts of ordinary identifiers for the default labelled samples, in several languages.
 PARTS = (
     "user name account number index count total value price order item customer address street city country region date time "
@@ -80,34 +80,44 @@ def train(samples: DataFrame, smooth: float = 0.5) -> list[float]:
 
 
 def running_starts(gaps: Column, matches: Column) -> Column:
-    """Start of each match: the lengths of all gaps up to it and of all matches before it. Whole
-    blocks are added up once, so the work grows with the matches times half a block."""
-    steps = F.zip_with(F.transform(gaps, lambda g: F.char_length(g)), F.transform(matches, lambda m: F.char_length(m)), lambda g, m: g + F.coalesce(m, F.lit(0)))
-    add = lambda xs: F.aggregate(xs, F.lit(0), lambda acc, x: acc + x)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(matches) / BLOCK).cast("int")), lambda b: add(F.slice(steps, b * BLOCK + 1, F.lit(BLOCK))))
-    before = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    inside = lambda i: add(F.slice(steps, i - i % BLOCK + 1, i % BLOCK))
-    return F.transform(matches, lambda m, i: F.element_at(before, F.floor(i / BLOCK).cast("int") + 1) + inside(i) + F.char_length(F.element_at(gaps, i + 1)))
+    """Start of each match: the lengths of all gaps up to it and of all matches before it, in one
+    fold over both arrays. Starts are collected as text, which appends at the speed of memory."""
+    start = lambda acc, x: acc["at"] + F.char_length(x["g"])
+    pairs = F.arrays_zip(gaps.alias("g"), matches.alias("m"))
+    folded = F.aggregate(
+        F.filter(pairs, lambda x: x["m"].isNotNull()),
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda acc, x: F.struct((start(acc, x) + F.char_length(x["m"])).alias("at"), F.concat(acc["out"], F.lit(","), start(acc, x).cast("string")).alias("out")),
+        lambda acc: acc["out"],
+    )
+    found = F.filter(F.split(folded, ","), lambda x: x != "")
+    return F.transform(found, lambda x: x.cast("int"))
 
 
 def spans(text: Column, pattern: str, kind: int, length_of: int = 0, least: int = 1) -> Column:
     """``array<struct(start, kind, end)>`` of matches whose group ``length_of`` has ``least`` characters."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    kept = matches if not length_of else F.regexp_extract_all(text, F.lit(pattern), F.lit(length_of))
-    starts = running_starts(F.split(text, pattern, -1), matches)
-    rows = F.zip_with(F.arrays_zip(starts.alias("s"), matches.alias("m")), kept, lambda x, k: F.struct(
-        x["s"].alias("start"), F.lit(kind).alias("kind"), (x["s"] + F.char_length(x["m"])).alias("end"), F.char_length(k).alias("n")
-    ))
-    return F.transform(F.filter(rows, lambda x: x["n"] >= least), lambda x: F.struct(x["start"], x["kind"], x["end"]))
+    group = matches if not length_of else F.regexp_extract_all(text, F.lit(pattern), F.lit(length_of))
+    rows = F.arrays_zip(running_starts(F.split(text, pattern, -1), matches).alias("s"), matches.alias("m"), group.alias("k"))
+    kept = F.filter(rows, lambda x: F.char_length(x["k"]) >= least)
+    return F.transform(kept, lambda x: F.struct(x["s"].alias("start"), F.lit(kind).alias("kind"), (x["s"] + F.char_length(x["m"])).alias("end")))
 
 
 def log_ratio(token: Column, ratios: list[float]) -> Column:
     """Sum over the token's transitions."""
     size = len(ALPHABET)
     table = F.split(F.lit(",".join(f"{x:.5f}" for x in ratios)), ",").cast("array<double>")
-    at = F.transform(F.sequence(F.lit(1), F.char_length(token)), lambda i: F.instr(F.lit(ALPHABET), F.substring(token, i, F.lit(1))))
-    pairs = F.zip_with(at, F.slice(at, 2, F.size(at)), lambda a, b: F.when(b.isNotNull(), F.element_at(table, (a - 1) * size + b)))
-    return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
+    at = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    folded = F.aggregate(
+        at,
+        F.struct(F.lit(0).alias("last"), F.lit(0.0).alias("sum")),
+        lambda acc, x: F.struct(
+            x.alias("last"),
+            F.when((acc["last"] > 0) & (x > 0), acc["sum"] + F.element_at(table, (acc["last"] - 1) * size + x)).otherwise(acc["sum"]).alias("sum"),
+        ),
+        lambda acc: acc["sum"],
+    )
+    return folded
 
 
 _TYPE = "array<struct<start:int,kind:int,end:int>>"
