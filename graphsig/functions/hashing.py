@@ -83,21 +83,6 @@ def bit_at(words: Sequence[Column], k: int, f: int) -> Column:
     return F.shiftrightunsigned(words[i], shift).bitwiseAND(F.lit(1)).cast("int")
 
 
-def pack_majority(sums: Sequence[Column], total: Column, f: int) -> list[Column]:
-    """Per-bit majority ``2*sum > total`` (ties give 0), packed MSB first into words."""
-    words = []
-    k = 0
-    for width in word_widths(f):
-        acc = None
-        for pos in range(width):
-            one = F.shiftleft(F.lit(1).cast("long"), width - 1 - pos)
-            bit = F.when(sums[k] * 2 > total, one).otherwise(F.lit(0).cast("long"))
-            acc = bit if acc is None else acc.bitwiseOR(bit)
-            k += 1
-        words.append(acc)
-    return words
-
-
 def word_spans(f: int) -> list[tuple[int, int]]:
     """(first bit, width) of each word."""
     return [(64 * i, w) for i, w in enumerate(word_widths(f))]
@@ -158,8 +143,3 @@ def sig_bits_array(sig: Column, f: int) -> Column:
         return F.call_function("shiftrightunsigned", word, shift).bitwiseAND(F.lit(1)).cast("int")
 
     return F.transform(F.sequence(F.lit(0), F.lit(f - 1)), bit)
-
-
-def signature_width(df: DataFrame, column: str = "sig") -> str:
-    """'array' when the signature column is an ARRAY<BIGINT>, else 'scalar'."""
-    return "array" if isinstance(df.schema[column].dataType, ArrayType) else "scalar"

@@ -88,6 +88,8 @@ def spanning_forest(edges: DataFrame, seed: int = 42, max_rounds: int = 64) -> D
         comp = cut_lineage(
             comp.join(merged, "comp", "left").select("node", F.coalesce("new_comp", "comp").alias("comp"))
         )
+    else:
+        raise RuntimeError("the spanning forest did not converge")
     if forest is None:
         return edges.sparkSession.createDataFrame([], "src string, dst string")
     return forest.select("src", "dst")
@@ -123,11 +125,6 @@ def is_bipartite(edges: DataFrame) -> bool:
     return clash == 0
 
 
-def bipartite_table(edges: DataFrame) -> DataFrame:
-    """One-row DataFrame form of :func:`is_bipartite`."""
-    return edges.sparkSession.createDataFrame([(bool(is_bipartite(edges)),)], "is_bipartite boolean")
-
-
 def bipartite_sides(edges: DataFrame) -> DataFrame:
     """``(node, side)``: a 2-colouring from the double cover; side is NULL in a non-bipartite component.
 

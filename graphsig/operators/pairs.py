@@ -262,6 +262,36 @@ def top_pairs(
     return scored.orderBy(F.col("sim").desc(), "a", "b").limit(k)
 
 
+def _block_ahead(kind: str, measure: str, f: int | None, bound: tuple):
+    """Pairs of a block-pair that rank up to ``bound = (sim, a, b)``, the bound itself included."""
+    sim, a, b = bound
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = _block_pairs(pdf, kind, measure, f)
+        if got is None:
+            return pd.DataFrame({"n": np.array([], dtype=np.int64)})
+        ka, kb, ii, jj, vals = got
+        tied = np.flatnonzero(vals == sim)
+        x, y = ka[ii[tied]], kb[jj[tied]]
+        swap = x < y
+        hi, lo = np.where(swap, y, x), np.where(swap, x, y)
+        up_to = (hi < a) | ((hi == a) & (lo <= b))
+        return pd.DataFrame({"n": np.array([int((vals > sim).sum()) + int(up_to.sum())], dtype=np.int64)})
+
+    return run
+
+
+def pairs_ahead(
+    vectors: DataFrame, bound: tuple, measure: str = "hamming", f: int | None = None, key: str = "node", vector: str = "sig", block_size: int = 2048
+) -> int:
+    """How many of all node pairs rank up to ``bound = (sim, a, b)`` by (sim desc, a, b): each
+    block-pair counts its own, so no ranking is stored and any rank can be asked for."""
+    kind = _vector_kind(vectors, vector, f)
+    blocks = max(1, math.ceil(vectors.count() / block_size))
+    grouped = _route(vectors, key, vector, blocks, kind, f).groupBy("__bi", "__bj")
+    return grouped.applyInPandas(_block_ahead(kind, measure, f, bound), schema="n long").agg(F.sum("n")).first()[0] or 0
+
+
 def band_values(sigs: DataFrame, f: int, bands: int, key: str = "node", sig: str = "sig") -> DataFrame:
     """``(key, sig, band, value)``: the signature cut into ``bands`` contiguous bit ranges."""
     if bands < 1 or bands > f:

@@ -50,16 +50,17 @@ def random_walk_visits(
     deg = adj.select(F.col("nb").alias("node"), F.col("nb_deg").alias("deg")).distinct()
     src = sources.select(F.col("node")) if sources is not None else nodes(e)
     walkers = (
-        src.join(deg, "node")
-        .select(F.col("node").alias("source"), F.col("node").alias("cur"), "deg")
+        # a source without edges has itself as its only neighbour
+        src.join(deg, "node", "left")
+        .select(F.col("node").alias("source"), F.col("node").alias("cur"), F.coalesce("deg", F.lit(1)).cast("long").alias("deg"))
         .withColumn("walk", F.explode(F.sequence(F.lit(0), F.lit(walks - 1))))
     )
     steps = []
     for step in range(length):
         # non-null by construction, so no inferred null filter re-evaluates the hash
         chosen = walkers.withColumn("idx", F.coalesce(F.pmod(step_hash(seed, step), F.col("deg")) + F.lit(1), F.lit(0)))
-        moved = chosen.join(adj.hint("shuffle_hash"), (chosen.cur == adj.node) & (chosen.idx == adj.idx)).select(
-            "source", F.col("nb").alias("cur"), F.col("nb_deg").alias("deg"), "walk"
+        moved = chosen.join(adj.hint("shuffle_hash"), (chosen.cur == adj.node) & (chosen.idx == adj.idx), "left").select(
+            "source", F.coalesce("nb", "cur").alias("cur"), F.coalesce("nb_deg", "deg").alias("deg"), "walk"
         )
         walkers = cut_lineage(moved)
         steps.append(walkers.select("source", F.col("cur").alias("visited")))
@@ -104,7 +105,8 @@ def personalized_pagerank(
     spark = edges.sparkSession
     e = cut_lineage(canonical_edges(edges))  # read by several stages: computed once
     # iterate on dense BIGINT ids: every shuffled row is three longs instead of two strings and a long
-    ids = cut_lineage(global_index(nodes(e), ["node"], out="id"))
+    every = nodes(e) if sources is None else nodes(e).select("node").unionByName(sources.select("node")).distinct()
+    ids = cut_lineage(global_index(every, ["node"], out="id"))  # a source without edges keeps its self-loop
     a = ids.select(F.col("node").alias("src"), F.col("id").alias("u"))
     b = ids.select(F.col("node").alias("dst"), F.col("id").alias("v"))
     ie = e.join(a, "src").join(b, "dst").select("u", "v")

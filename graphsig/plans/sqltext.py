@@ -118,10 +118,6 @@ def closed_over(edges: str, nodes: str) -> str:
     return f"SELECT node, nb FROM ({half_edges(edges)}) h UNION ALL SELECT node, node AS nb FROM ({nodes}) n"
 
 
-def node_sketch_over_sql(edges: str, nodes: str, f: int, sig_as: str = "sig") -> str:
-    feats = f"SELECT node, nb AS feature FROM ({closed_over(edges, nodes)}) c"
-    return f"SELECT node, {sig_sql(f)} AS {sig_as} FROM ({bit_sums_sql(feats, f)}) s"
-
 
 def hash_order_sql(seed: int, *cols: str) -> str:
     args = ", ".join(f"CAST({c} AS VARCHAR)" for c in cols)
@@ -229,10 +225,6 @@ def sig_words_sql(f: int, prefix: str = "w") -> str:
     return ", ".join(f"{majority_bigint(f, i)} AS {prefix}{i}" for i in range(len(word_widths(f))))
 
 
-def words_table_sql(features: str, f: int, weight: str | None = None) -> str:
-    """(node, w0, w1, ...) packed signature words of a feature table."""
-    return f"SELECT node, {sig_words_sql(f)} FROM ({bit_sums_sql(features, f, weight=weight)}) s"
-
 
 def hamming_sim_sql(f: int, a: str = "x", b: str = "y") -> str:
     n = len(word_widths(f))
@@ -240,11 +232,10 @@ def hamming_sim_sql(f: int, a: str = "x", b: str = "y") -> str:
     return f"CAST({f} - ({diff}) AS INTEGER)"
 
 
-def top_pairs_sql(words: str, f: int, k: int) -> str:
-    return (
-        f"SELECT x.node AS a, y.node AS b, {hamming_sim_sql(f)} AS sim FROM ({words}) x JOIN ({words}) y ON x.node > y.node "
-        f"ORDER BY sim DESC, a, b LIMIT {k}"
-    )
+def top_pairs_sql(words: str, f: int, k: int | None) -> str:
+    """The best ``k`` pairs; all of them with None."""
+    pairs = f"SELECT x.node AS a, y.node AS b, {hamming_sim_sql(f)} AS sim FROM ({words}) x JOIN ({words}) y ON x.node > y.node"
+    return pairs if k is None else f"{pairs} ORDER BY sim DESC, a, b LIMIT {k}"
 
 
 def precision_sql(ranked: str, truth: str, train: str, hits: int = 100) -> str:

@@ -5,11 +5,6 @@ ties giving 0, 4-character shingles of lower-cased word characters (pattern belo
 """
 
 import hashlib
-import re
-
-# Fixed value: the tokenizer pattern (word characters plus the CJK range U+4E00..U+9FCC).
-TOKEN_PATTERN = r"[\w\u4e00-\u9fcc]+"
-
 
 def simhash(features, f):
     """features: iterable of (token, weight)."""
@@ -49,9 +44,17 @@ def node_sketch(pairs, f):
     return {n: signed(simhash([(x, 1) for x in s], f), f) for n, s in closed_neighbourhoods(pairs).items()}
 
 
+def _is_word_char(ch):
+    """Letters, digits and underscore; CJK characters are letters."""
+    return ch == "_" or ch.isalnum()
+
+
 def shingles(text, width=4):
-    t = "".join(re.findall(TOKEN_PATTERN, text.lower()))
-    return [t[i : i + width] for i in range(max(len(t) - width + 1, 1))]
+    """Shift the cleaned characters against themselves; a short text is one shingle."""
+    chars = [ch for ch in text.lower() if _is_word_char(ch)]
+    if len(chars) <= width:
+        return ["".join(chars)]
+    return ["".join(window) for window in zip(*(chars[i:] for i in range(width)))]
 
 
 def text_simhash(text, f=64):

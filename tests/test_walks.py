@@ -70,3 +70,12 @@ def test_ppr_tolerance_stop(spark):
     longer = {(r["source"], r["node"]): r["mass"] for r in W.personalized_pagerank(edges_df(spark, pairs), iterations=60).collect()}
     assert capped.keys() == longer.keys()
     assert max(abs(capped[k] - longer[k]) for k in capped) <= 10**4  # within 1e-8 of 1.0
+
+
+def test_nodes_without_edges_stay(spark):
+    from graphsig.plans.models import SimHashSketch
+
+    edges = edges_df(spark, [("a", "b"), ("b", "c"), ("a", "c")])
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",), ("iso",)], "node string")
+    for model in (SimHashSketch(32), SimHashSketch(32, random_walk_length=2, number_of_walks=5), SimHashSketch(32, use_page_rank=True, ppr_iterations=3)):
+        assert {r["node"] for r in model.fit(edges, nodes).embedding().collect()} == {"a", "b", "c", "iso"}
