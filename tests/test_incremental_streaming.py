@@ -103,14 +103,11 @@ def test_replay_goes_on_after_a_restart(spark):
     pairs = random_graph(spark, m=80, seed=22)
     base, parts = pairs[:30], (pairs[30:55], pairs[55:])
     folder = tempfile.mkdtemp(prefix="graphsig-restart-")
-    for part in parts:
+    for k, part in enumerate(parts):
         sdf = edges_df(spark, part).withColumn("ts", F.lit(None).cast("timestamp"))
-        write_stream_files(sdf, os.path.join(folder, "new"), 30, ["src", "dst"])
-        os.makedirs(os.path.join(folder, "in"), exist_ok=True)
-        for name in os.listdir(os.path.join(folder, "new")):
-            shutil.copytree(os.path.join(folder, "new", name), os.path.join(folder, "in", f"{len(part)}-{name}")) if os.path.isdir(
-                os.path.join(folder, "new", name)
-            ) else shutil.copy(os.path.join(folder, "new", name), os.path.join(folder, "in", f"{len(part)}-{name}"))
+        write_stream_files(sdf, os.path.join(folder, f"new{k}"), 30, ["src", "dst"])
+        (name,) = (x for x in os.listdir(os.path.join(folder, f"new{k}")) if x.startswith("batch-"))
+        shutil.copytree(os.path.join(folder, f"new{k}", name), os.path.join(folder, "in", f"batch-{k:08d}"))
         res = run_edge_stream(spark, os.path.join(folder, "in"), os.path.join(folder, "state"), SimHashSketch(32), edges_df(spark, base))
     last = spark.read.parquet(res.metrics).orderBy(F.col("batch_id").desc()).first()
     assert last["edge_count"] == len({tuple(sorted(p)) for p in pairs if p[0] != p[1]})
