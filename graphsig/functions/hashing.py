@@ -19,9 +19,9 @@ HashExpr = Callable[[Column, int], list[Column]]
 def check_bits(f: int, max_bits: int = 128) -> None:
     """f must be a multiple of 8; MD5 yields 16 bytes, so at most 128 bits."""
     if f % 8:
-        raise ValueError("f must be a multiple of 8")
+        raise ValueError(f"signatures have whole bytes, not {f} bits")
     if not 8 <= f <= max_bits:
-        raise ValueError(f"f must be between 8 and {max_bits}")
+        raise ValueError(f"{f} bits asked for; 8 to {max_bits} are possible")
 
 
 def word_widths(f: int) -> list[int]:

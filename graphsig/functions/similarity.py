@@ -12,7 +12,7 @@ MEASURES = ("hamming", "cosine", "dot_product")
 
 def check_measure(measure: str) -> str:
     if measure not in MEASURES:
-        raise ValueError(f"Unknown similarity measure: {measure}")
+        raise ValueError(f"no similarity named {measure!r}")
     return measure
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from graphsig.functions import similarity as SIM
 from graphsig.functions.hashing import sig_words, word_widths
+from graphsig.session import cut_lineage
 
 PAIR_SCHEMA_INT = "a string, b string, sim int"
 PAIR_SCHEMA_DBL = "a string, b string, sim double"
@@ -311,24 +312,29 @@ def band_values(sigs: DataFrame, f: int, bands: int, key: str = "node", sig: str
     )
 
 
-def band_links(sigs: DataFrame, f: int, bands: int, key: str = "node", sig: str = "sig") -> DataFrame:
-    """M10 re-aimed: ``(a, b, sim)`` linking every member of a band bucket to the bucket's smallest key.
+def band_links(sigs: DataFrame, f: int, bands: int, key: str = "node", sig: str = "sig", chunk_rows: int = 1024) -> DataFrame:
+    """``(a, b, sim)``: verified links at Hamming distance below ``bands``, none lost.
 
-    By pigeonhole, two signatures at Hamming distance < ``bands`` share a bucket, so they end in one
-    connected component of these links. Links are one per member and bucket (a star), never all
-    pairs of a bucket, so a bucket holding a third of the rows costs rows, not rows squared.
+    Keys with equal signatures form a class, each linked to its smallest key (a star). Two classes
+    are linked through their smallest keys if their signatures are that near; by pigeonhole they then
+    share a band. Only one row of each class enters the buckets, and a large bucket is dealt to
+    chunks of about ``chunk_rows`` that meet pairwise, so one task compares chunks, never a bucket.
+    Keys without a signature have no link.
     """
-    bv = band_values(sigs, f, bands, key, sig)
-    rep = bv.groupBy("band", "value").agg(F.min(key).alias("__rep"), F.count(F.lit(1)).alias("__n")).filter("__n > 1")
-    links = bv.join(rep, ["band", "value"]).filter(F.col(key) != F.col("__rep")).select(
-        F.col(key).alias("a"), F.col("__rep").alias("b")
-    ).distinct()
-    s = sigs.select(F.col(key).alias("__k"), F.col(sig).alias("__s"))
-    scored = links.join(s.withColumnRenamed("__k", "a").withColumnRenamed("__s", "sig_a"), "a").join(
-        s.withColumnRenamed("__k", "b").withColumnRenamed("__s", "sig_b"), "b"
-    )
-    sim = SIM.hamming_similarity(sig_words(F.col("sig_a"), f), sig_words(F.col("sig_b"), f), f)
-    return scored.select("a", "b", sim.alias("sim"))
+    known = sigs.select(F.col(key).alias("__k"), F.col(sig).alias("__s")).filter("__s is not null")
+    classes = cut_lineage(known.groupBy("__s").agg(F.min("__k").alias("__rep")))
+    copies = known.join(classes, "__s").filter(F.col("__k") != F.col("__rep"))
+    bv = band_values(classes, f, bands, "__rep", "__s")
+    sizes = bv.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    chunked = bv.join(sizes, ["band", "value"]).withColumn("chunks", F.ceil(F.col("n") / F.lit(chunk_rows)).cast("int"))
+    chunked = chunked.withColumn("c", F.pmod(F.xxhash64("__rep"), F.col("chunks")).cast("int"))
+    bucket = ["band", "value", "i", "j"]
+    low = chunked.select("band", "value", F.col("c").alias("i"), F.explode(F.sequence("c", F.col("chunks") - 1)).alias("j"), F.col("__rep").alias("x"), F.col("__s").alias("sx"))
+    high = chunked.select("band", "value", F.explode(F.sequence(F.lit(0), F.col("c"))).alias("i"), F.col("c").alias("j"), F.col("__rep").alias("y"), F.col("__s").alias("sy"))
+    sim = SIM.hamming_similarity(sig_words(F.col("sx"), f), sig_words(F.col("sy"), f), f)
+    near = low.join(high, bucket).filter((sim > f - bands) & ((F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))))
+    between = near.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"), sim.alias("sim")).distinct()
+    return copies.select(F.col("__k").alias("a"), F.col("__rep").alias("b"), F.lit(f).alias("sim")).unionByName(between)
 
 
 def near_duplicate_clusters(sigs: DataFrame, f: int, bands: int, key: str = "node", sig: str = "sig") -> DataFrame:

@@ -167,5 +167,5 @@ def from_signature(df: DataFrame, value: str, f: int, out: str = "sig") -> DataF
 def embedding(sketch: DataFrame | None, f: int, key: str = "node") -> DataFrame:
     """``(key, bits ARRAY<INT>)``; error when no sketch was fitted."""
     if sketch is None:
-        raise ValueError("Model has not been fitted yet")
+        raise ValueError("there is no sketch to embed: fit first")
     return sketch.select(key, sig_bits_array(F.col("sig"), f).alias("bits"))

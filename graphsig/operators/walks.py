@@ -6,6 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphsig.functions.hashing import bits_of_words_sql, check_bits, md5_words
 from graphsig.operators.graph import adjacency_index, canonical_edges, nodes
 from graphsig.session import cut_lineage
 
@@ -80,7 +81,6 @@ def personalized_pagerank(
     edges: DataFrame,
     alpha: tuple[int, int] = (85, 100),
     iterations: int = 20,
-    eps: float = 0.0,
     sources: DataFrame | None = None,
     scale: int = PPR_SCALE,
     tol: float | None = None,
@@ -93,9 +93,9 @@ def personalized_pagerank(
 
     ``mass_{t+1}(s, v) = (1-a)·[v = s] + a · Σ_{u ∋ v} mass_t(s, u) / deg(u)`` over closed
     neighbourhoods (every node keeps a self-loop, so nothing dangles). Each contribution is an integer
-    floor division, so totals are exact and independent of summation order. Entries below ``eps`` are
-    dropped after each round (``eps = 0`` keeps the exact iteration); this bounds each source's support
-    to about 1/eps nodes.
+    floor division, so totals are exact and independent of summation order. No entry is dropped: the
+    result grows with sources x nodes, so it is for a list of ``sources``; sketches of all nodes come
+    from :func:`pagerank_bit_sums`, which keeps no masses.
     """
     num, den = alpha
     if not 0 < num < den:
@@ -122,7 +122,6 @@ def personalized_pagerank(
         src = ids.select(F.col("id").alias("node"))
     mass = src.select(F.col("node").alias("source"), F.col("node"), F.lit(scale).cast("long").alias("mass"))
     teleport_mass = scale * (den - num) // den
-    floor_eps = int(eps * scale)
     for _ in range(iterations):
         mass_before = mass
         spread = mass.join(trans.hint("shuffle_hash"), "node").select(
@@ -131,8 +130,6 @@ def personalized_pagerank(
         # (s, s) always receives spread through its self-loop, so teleport is added after the aggregate
         summed = spread.groupBy("source", "node").agg(F.sum("mass").cast("long").alias("mass"))
         mass = summed.withColumn("mass", F.col("mass") + F.when(F.col("node") == F.col("source"), F.lit(teleport_mass)).otherwise(F.lit(0)))
-        if floor_eps > 0:
-            mass = mass.filter(F.col("mass") >= F.lit(floor_eps))
         previous, mass = mass_before, cut_lineage(mass)
         if tol is not None:
             change = (
@@ -150,3 +147,54 @@ def personalized_pagerank(
     na = ids.select(F.col("id").alias("node"), F.col("node").alias("node_name"))
     named = mass.join(sa, "source").join(na, "node")
     return named.select(F.col("source_node").alias("source"), F.col("node_name").alias("node"), "mass")
+
+
+# Fixed point of the sketch recurrence: sums over a neighbourhood stay in BIGINT up to 9e8 neighbours.
+PPR_SUM_SCALE = 10**10
+
+
+def pagerank_bit_sums(
+    edges: DataFrame,
+    f: int = 128,
+    alpha: tuple[int, int] = (85, 100),
+    iterations: int = 10,
+    node_table: DataFrame | None = None,
+    scale: int = PPR_SUM_SCALE,
+) -> DataFrame:
+    """N3 ``(node, cnt, sums)``: bit sums weighted by personalized PageRank mass, for every node.
+
+    Mass obeys ``mass(s) = (1-a) e_s + a / deg(s) * sum of mass(u) over u in N[s]``, and bit sums are
+    linear in mass, so they obey the same recurrence with the node's own bits in place of ``e_s``.
+    A round is one join of edges with ``f + 1`` numbers for each node and one aggregate: work grows
+    with the edges, no table of (source, node) masses exists, and none of the mass is cut. The last
+    number is the total mass (a bit that is always one), floored like the others. ``node_table(node)``
+    adds nodes without edges.
+    """
+    num, den = alpha
+    if not 0 < num < den:
+        raise ValueError("alpha must be a fraction in (0, 1)")
+    check_bits(f)
+    e = cut_lineage(canonical_edges(edges))
+    every = nodes(e).select("node")
+    if node_table is not None:
+        every = every.unionByName(node_table.select("node")).distinct()
+    ends = e.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("nb")), F.struct(F.col("dst").alias("node"), F.col("src").alias("nb")))).alias("h"))
+    closed = ends.select("h.node", "h.nb").unionByName(every.select("node", F.col("node").alias("nb")))
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the static side keeps its partitioning: each round shuffles the vectors and the partial sums
+    closed = closed.repartition(parts, "nb").persist(StorageLevel.MEMORY_AND_DISK)
+    teleport = scale * (den - num) // den
+
+    def own_bits(rows: DataFrame) -> DataFrame:
+        hashed = rows.withColumn("__own", F.array(*md5_words(F.col("node"), f)))
+        return hashed.withColumn("__own", F.expr(f"concat({bits_of_words_sql('__own', f)}, array(1L))"))
+
+    state = own_bits(every).select(F.col("node").alias("nb"), F.transform("__own", lambda b: b * F.lit(scale)).alias("v"))
+    for _ in range(iterations):
+        sums = [F.sum(F.col("v").getItem(k)).alias(f"s{k}") for k in range(f + 1)]
+        summed = closed.join(state, "nb").groupBy("node").agg(F.count(F.lit(1)).alias("deg"), *sums)
+        packed = own_bits(summed.select("node", "deg", F.array(*[f"s{k}" for k in range(f + 1)]).alias("s")))
+        step = F.expr(f"zip_with(s, __own, (x, b) -> (x div deg) * {num} div {den} + b * {teleport})")
+        state = cut_lineage(packed.select(F.col("node").alias("nb"), step.alias("v")))
+    closed.unpersist()
+    return state.select(F.col("nb").alias("node"), F.element_at("v", f + 1).alias("cnt"), F.slice("v", 1, f).alias("sums"))

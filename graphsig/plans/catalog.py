@@ -46,7 +46,8 @@ F_EXPERIMENT = 128
 WALKS, WALK_LENGTH, SEED = 100, 3, 42
 TOP_K = 100_000
 HOLDOUT_P = 0.1
-PPR_ITERATIONS, PPR_EPS = 5, 1e-3
+PPR_ITERATIONS, PPR_SOURCES = 10, 20
+BATCH_P = 0.01
 TEXT_F, TEXT_BANDS = 64, 4
 
 CP = Q.canonical(Q.CUSTOMER_PART_RAW)
@@ -313,24 +314,25 @@ def n2_walk_sketch(spark, sf_dir):
     return sk.select("node", sig_bits_string(F.col("sig"), F_EXPERIMENT).alias("bits"))
 
 
-PPR_SQL = with_edges(CP, Q.ppr_sql(E, PPR_ITERATIONS, PPR_EPS))
+PPR_SQL = with_edges(CP, Q.ppr_sql(E, PPR_ITERATIONS, f"SELECT node FROM ({Q.half_edges(E)}) h GROUP BY node ORDER BY count(*) DESC, node LIMIT {PPR_SOURCES}"))
 
 
 @register("g3_personalized_pagerank", PPR_SQL)
 def g3_personalized_pagerank(spark, sf_dir):
-    """Personalized PageRank mass (fixed point, 1.0 = 1e12) from every node, 5 rounds, eps 1e-3."""
-    return W.personalized_pagerank(cp_edges(spark, sf_dir), iterations=PPR_ITERATIONS, eps=PPR_EPS)
+    """Personalized PageRank mass (fixed point, 1.0 = 1e12) of all nodes as seen from the 20 nodes
+    with the most neighbours, 10 rounds, nothing cut: each source's mass is 1."""
+    e = cut_lineage(cp_edges(spark, sf_dir))
+    sources = G.degrees(e).orderBy(F.desc("degree"), "node").limit(PPR_SOURCES).select("node")
+    return W.personalized_pagerank(e, iterations=PPR_ITERATIONS, sources=cut_lineage(sources))
 
 
 @register(
     "n3_ppr_sketch",
-    f"SELECT node, {bits_string_sql(F_EXPERIMENT)} AS bits FROM ("
-    f"{Q.bit_sums_sql(f'SELECT source AS node, node AS feature, mass FROM ({PPR_SQL}) v', F_EXPERIMENT, weight='mass')}) s",
+    with_edges(CP, f"SELECT node, {bits_string_sql(F_EXPERIMENT)} AS bits FROM ({Q.ppr_sums_sql(E, F_EXPERIMENT, PPR_ITERATIONS)}) s"),
 )
 def n3_ppr_sketch(spark, sf_dir):
-    """128-bit SimHash of personalized PageRank mass (exact integer sums)."""
-    mass = W.personalized_pagerank(cp_edges(spark, sf_dir), iterations=PPR_ITERATIONS, eps=PPR_EPS)
-    sk = S.weighted_sketch(mass.select(F.col("source").alias("node"), F.col("node").alias("feature"), F.col("mass").alias("weight")), F_EXPERIMENT)
+    """128-bit SimHash of personalized PageRank mass of every node, by the recurrence of its bit sums."""
+    sk = S.majority(W.pagerank_bit_sums(cp_edges(spark, sf_dir), F_EXPERIMENT, iterations=PPR_ITERATIONS), F_EXPERIMENT)
     return sk.select("node", sig_bits_string(F.col("sig"), F_EXPERIMENT).alias("bits"))
 
 
@@ -373,30 +375,32 @@ def k8_duplicate_signatures(spark, sf_dir):
     return S.duplicate_signatures(_text_sigs(spark, sf_dir))
 
 
-def _band_links_sql(f: int, bands: int) -> str:
-    bounds = [round(i * f / bands) for i in range(bands + 1)]
-    bv = " UNION ALL ".join(
-        f"SELECT doc_id, {j} AS band, substr(bits, {bounds[j] + 1}, {bounds[j + 1] - bounds[j]}) AS value FROM b" for j in range(bands)
-    )
-    return (
-        f"WITH s AS ({TEXT_SUMS_SQL}), sg AS (SELECT doc_id, {Q.sig_sql(f)} AS sig, {bits_string_sql(f)} AS bits FROM s), "
-        f"b AS (SELECT doc_id, bits FROM sg), bv AS ({bv}), "
-        "rep AS (SELECT band, value, min(doc_id) AS r FROM bv GROUP BY band, value HAVING count(*) > 1), "
-        "links AS (SELECT DISTINCT bv.doc_id AS a, rep.r AS b FROM bv JOIN rep ON bv.band = rep.band AND bv.value = rep.value WHERE bv.doc_id <> rep.r) "
-        f"SELECT links.a, links.b, CAST({f} - CAST(bit_count(xor(x.sig, y.sig)) AS INTEGER) AS INTEGER) AS sim FROM links "
-        "JOIN sg x ON x.doc_id = links.a JOIN sg y ON y.doc_id = links.b"
-    )
+_REACH = (
+    "WITH RECURSIVE e AS MATERIALIZED ({edges}), s AS MATERIALIZED (SELECT src AS u, dst AS v FROM e UNION ALL SELECT dst, src FROM e), "
+    "r AS (SELECT DISTINCT u AS node, u AS reached FROM s UNION SELECT r.node, s.v FROM r JOIN s ON s.u = r.reached), "
+    "c AS (SELECT node, min(reached) AS component FROM r GROUP BY node) "
+)
+# copies hang on the smallest id of their signature; signatures are compared with all others
+BAND_LINKS_SQL = (
+    f"WITH sg AS MATERIALIZED ({TEXT_SIG_SQL}), cl AS MATERIALIZED (SELECT sig, min(doc_id) AS r FROM sg GROUP BY sig) "
+    f"SELECT sg.doc_id AS a, cl.r AS b, {TEXT_F} AS sim FROM sg JOIN cl ON cl.sig = sg.sig WHERE sg.doc_id <> cl.r UNION ALL "
+    f"SELECT y.r AS a, x.r AS b, CAST({TEXT_F} - bit_count(xor(x.sig, y.sig)) AS INTEGER) AS sim FROM cl x JOIN cl y "
+    f"ON x.r < y.r AND bit_count(xor(x.sig, y.sig)) < {TEXT_BANDS}"
+)
 
 
-@register("m10_band_links", _band_links_sql(TEXT_F, TEXT_BANDS))
+@register("m10_band_links", BAND_LINKS_SQL)
 def m10_band_links(spark, sf_dir):
-    """M10 + K7: near-duplicate links (4 bands of 16 bits) to each bucket's smallest id, with Hamming similarity."""
+    """M10 + K7: near-duplicate links: signatures that differ in fewer than 4 of 64 bits, found by 4 bands, each verified."""
     return PR.band_links(_text_sigs(spark, sf_dir), TEXT_F, TEXT_BANDS, key="doc_id")
 
 
-@register("m10_near_duplicate_clusters")
+@register(
+    "m10_near_duplicate_clusters",
+    _REACH.format(edges=f"SELECT CAST(a AS VARCHAR) AS src, CAST(b AS VARCHAR) AS dst FROM ({BAND_LINKS_SQL}) l") + "SELECT node AS doc_id, component AS cluster FROM c",
+)
 def m10_near_duplicate_clusters(spark, sf_dir):
-    """Near-duplicate clusters: connected components of the band links."""
+    """Near-duplicate clusters: connected components of the verified links."""
     return PR.near_duplicate_clusters(_text_sigs(spark, sf_dir), TEXT_F, TEXT_BANDS, key="doc_id")
 
 
@@ -793,11 +797,6 @@ def pp_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.canonical_edges(pairs.select(name("l_partkey").alias("src"), name("other").alias("dst")))
 
 
-_REACH = (
-    "WITH RECURSIVE e AS MATERIALIZED ({edges}), s AS MATERIALIZED (SELECT src AS u, dst AS v FROM e UNION ALL SELECT dst, src FROM e), "
-    "r AS (SELECT DISTINCT u AS node, u AS reached FROM s UNION SELECT r.node, s.v FROM r JOIN s ON s.u = r.reached), "
-    "c AS (SELECT node, min(reached) AS component FROM r GROUP BY node) "
-)
 _COVER = "SELECT src || chr(1) || x AS src, dst || chr(1) || (1 - x) AS dst FROM (SELECT src, dst, unnest([0, 1]) AS x FROM ({edges}) b) y"
 
 
@@ -839,12 +838,37 @@ def g6_bipartite_sides(spark, sf_dir):
 STREAM_CTES = f"e AS ({CP}), held AS ({Q.holdout_sql(E, 0.5, SEED)}), rest AS ({Q.minus_sql(E, 'SELECT src, dst FROM held')})"
 
 
-def _base_and_stream(spark, sf_dir):
-    e = cp_edges(spark, sf_dir)
-    held, rest = H.holdout_edges(e, 0.5, SEED, keep_connected=False)
-    from graphsig.session import cut_lineage
+BATCH_CTES = f"e AS ({CP}), held AS MATERIALIZED ({Q.holdout_sql(E, BATCH_P, SEED)}), rest AS MATERIALIZED ({Q.minus_sql(E, 'SELECT src, dst FROM held')}), ends AS (SELECT src AS node FROM held UNION SELECT dst FROM held)"
+
+
+def _base_and_stream(spark, sf_dir, p: float = 0.5):
+    e = cut_lineage(cp_edges(spark, sf_dir))
+    held, rest = H.holdout_edges(e, p, SEED, keep_connected=False)
+    return e, cut_lineage(rest), cut_lineage(held)
+
+
+def _updated_sql(old: str, new: str, changed: str) -> str:
+    """Bit strings of the old sums, of the new ones where a node changed."""
+    bits = bits_string_sql(F_EXPERIMENT)
+    return (
+        f"WITH {BATCH_CTES}, chg AS MATERIALIZED ({changed}) SELECT node, {bits} AS bits FROM ({old}) o WHERE node NOT IN (SELECT node FROM chg) "
+        f"UNION ALL SELECT node, {bits} AS bits FROM ({new}) n WHERE node IN (SELECT node FROM chg)"
+    )
 
-    return e, cut_lineage(rest), held
+
+REST = "SELECT src, dst FROM rest"
+
+
+def _walk_sums_sql(edges: str) -> str:
+    visits = Q.walk_visits_sql(edges, WALK_LENGTH, WALKS, SEED)
+    return Q.bit_sums_sql(f"SELECT source AS node, visited AS feature, cnt FROM ({visits}) v", F_EXPERIMENT, weight="cnt")
+
+
+# nodes that the graph did not have, and sources whose walks met an end of a new edge often enough
+_WALKS_STALE = (
+    f"SELECT node FROM ends WHERE node NOT IN (SELECT src FROM rest UNION SELECT dst FROM rest) UNION SELECT v.source FROM "
+    f"({Q.walk_visits_sql(REST, WALK_LENGTH, WALKS, SEED)}) v JOIN ends ON ends.node = v.visited WHERE v.cnt >= {int(WALKS * 0.5)}"
+)
 
 
 @register("u1_incremental_sketch", Q.node_sketch_sql(CP, F_DEFAULT))
@@ -861,14 +885,14 @@ def u1_incremental_sketch(spark, sf_dir):
 
 @register(
     "u2_recompute_endpoints",
-    f"WITH sk AS ({Q.node_sketch_sql(CP, F_DEFAULT)}), {STREAM_CTES} SELECT sk.node, sk.degree, sk.sig FROM sk "
+    f"WITH sk AS ({Q.node_sketch_sql(CP, F_DEFAULT)}), {BATCH_CTES} SELECT sk.node, sk.degree, sk.sig FROM sk "
     "WHERE sk.node IN (SELECT src FROM held UNION SELECT dst FROM held)",
 )
 def u2_recompute_endpoints(spark, sf_dir):
-    """Recompute only the endpoints of the new edges from the current graph."""
+    """Recompute only the endpoints of a batch of new edges (1 % of them) from the current graph."""
     from graphsig.operators.incremental import endpoints, recompute_nodes, sketch_from_state
 
-    e, _, held = _base_and_stream(spark, sf_dir)
+    e, _, held = _base_and_stream(spark, sf_dir, BATCH_P)
     state = recompute_nodes(e, endpoints(held), F_DEFAULT)
     return sketch_from_state(state, F_DEFAULT).select("node", (F.col("cnt") - 1).alias("degree"), "sig")
 
@@ -888,24 +912,24 @@ def u3_stale_nodes(spark, sf_dir):
     return stale_nodes(visits, held, WALKS)
 
 
-@register("u4_walk_refresh")
+@register("u4_walk_refresh", _updated_sql(_walk_sums_sql(REST), _walk_sums_sql(E), _WALKS_STALE))
 def u4_walk_refresh(spark, sf_dir):
-    """Walk-sketch model updated with the stream half: stale sources re-walked on the new graph."""
+    """Walk-sketch model updated with 1 % of the edges: new and stale sources re-walked on the new graph."""
     from graphsig.plans.models import SimHashSketch
 
-    _, rest, held = _base_and_stream(spark, sf_dir)
+    _, rest, held = _base_and_stream(spark, sf_dir, BATCH_P)
     model = SimHashSketch(dimensions=F_EXPERIMENT, random_walk_length=WALK_LENGTH, number_of_walks=WALKS)
     state = model.update(model.fit(rest), held)
     return state.embedding().select("node", sig_bits_string(F.col("sig"), F_EXPERIMENT).alias("bits"))
 
 
-@register("u5_ppr_update")
+@register("u5_ppr_update", _updated_sql(Q.ppr_sums_sql(REST, F_EXPERIMENT, PPR_ITERATIONS), Q.ppr_sums_sql(E, F_EXPERIMENT, PPR_ITERATIONS), "SELECT node FROM ends"))
 def u5_ppr_update(spark, sf_dir):
-    """PageRank-sketch model; both endpoints of every new edge recomputed on the new graph."""
+    """PageRank-sketch model; both endpoints of each of 1 % new edges recomputed on the new graph."""
     from graphsig.plans.models import SimHashSketch
 
-    _, rest, held = _base_and_stream(spark, sf_dir)
-    model = SimHashSketch(dimensions=F_EXPERIMENT, use_page_rank=True, ppr_iterations=PPR_ITERATIONS, ppr_eps=PPR_EPS)
+    _, rest, held = _base_and_stream(spark, sf_dir, BATCH_P)
+    model = SimHashSketch(dimensions=F_EXPERIMENT, use_page_rank=True, ppr_iterations=PPR_ITERATIONS)
     state = model.update(model.fit(rest), held)
     return state.embedding().select("node", sig_bits_string(F.col("sig"), F_EXPERIMENT).alias("bits"))
 

@@ -16,7 +16,7 @@ from graphsig.functions.hashing import check_bits
 from graphsig.operators import incremental as U
 from graphsig.operators.graph import append_edges, canonical_edges, new_edges
 from graphsig.operators.simhash import bit_sums, majority, sketch_state
-from graphsig.operators.walks import personalized_pagerank, random_walk_visits
+from graphsig.operators.walks import pagerank_bit_sums, random_walk_visits
 from graphsig.session import cut_lineage
 
 
@@ -42,13 +42,13 @@ class SimHashSketch:
     random_walk_length: int | None = None
     number_of_walks: int = 1000
     use_page_rank: bool = False
-    ppr_iterations: int = 20
-    ppr_eps: float = 0.0
+    ppr_iterations: int = 10
+    refresh_endpoints: bool = False  # walk updates also redo the ends of every new edge
     supports_update: bool = True
 
     def __post_init__(self) -> None:
         if self.random_walk_length and self.use_page_rank:
-            raise ValueError("You can only use one of random walk length and page rank")
+            raise ValueError("walk features and PageRank features exclude each other")
         if self.random_walk_length is not None and self.random_walk_length < 1:
             raise ValueError("random_walk_length must be at least 1")
         check_bits(self.dimensions)
@@ -69,10 +69,8 @@ class SimHashSketch:
         feats = visits.select(F.col("source").alias("node"), F.col("visited").alias("feature"), F.col("cnt").alias("w"))
         return bit_sums(feats, "node", self.dimensions, weight="w")
 
-    def _ppr_sums(self, edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-        mass = personalized_pagerank(edges, iterations=self.ppr_iterations, eps=self.ppr_eps, sources=sources)
-        feats = mass.select(F.col("source").alias("node"), F.col("node").alias("feature"), F.col("mass").alias("w"))
-        return bit_sums(feats, "node", self.dimensions, weight="w")
+    def _ppr_sums(self, edges: DataFrame, node_table: DataFrame | None = None) -> DataFrame:
+        return pagerank_bit_sums(edges, self.dimensions, iterations=self.ppr_iterations, node_table=node_table)
 
     def fit(self, edges: DataFrame, node_table: DataFrame | None = None) -> SketchState:
         e = cut_lineage(canonical_edges(edges))
@@ -99,14 +97,18 @@ class SimHashSketch:
             sums = U.apply_edges(state.sums, state.edges, fresh, f)
             return SketchState("neighbours", f, edges_now, cut_lineage(sums))
         if self.mode == "walk":
-            stale = cut_lineage(U.stale_nodes(state.visits, fresh, self.number_of_walks).unionByName(U.endpoints(fresh)).distinct())
+            # nodes that the graph did not have, and nodes whose walks often met an end of a new edge
+            added = U.endpoints(fresh)
+            if not self.refresh_endpoints:
+                added = added.join(state.sums.select("node"), "node", "left_anti")
+            stale = cut_lineage(U.stale_nodes(state.visits, fresh, self.number_of_walks).unionByName(added).distinct())
             fresh_visits = random_walk_visits(edges_now, self.random_walk_length, self.number_of_walks, self.seed, sources=stale)
             visits = cut_lineage(U.replace_rows(state.visits, fresh_visits, stale, "source"))
             fresh_sums = self._walk_sums(fresh_visits)
             sums = cut_lineage(U.replace_rows(state.sums, fresh_sums, stale, "node"))
             return SketchState("walk", f, edges_now, sums, visits=visits, extra={"stale": stale})
         ends = U.endpoints(fresh)
-        fresh_sums = self._ppr_sums(edges_now, ends)
+        fresh_sums = self._ppr_sums(edges_now).join(ends, "node", "left_semi")
         sums = cut_lineage(U.replace_rows(state.sums, fresh_sums, ends, "node"))
         return SketchState("ppr", f, edges_now, sums)
 

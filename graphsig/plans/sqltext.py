@@ -201,26 +201,45 @@ def walk_visits_sql(edges: str, length: int, walks: int, seed: int, bucket_size:
     )
 
 
-def ppr_sql(edges: str, iterations: int, eps: float, num: int = 85, den: int = 100, scale: int = 10**12) -> str:
-    floor_eps = int(eps * scale)
+def ppr_sql(edges: str, iterations: int, sources: str, num: int = 85, den: int = 100, scale: int = 10**12) -> str:
+    """``(source, node, mass)`` for the nodes that ``sources`` selects."""
     teleport = scale * (den - num) // den
     parts = [
         f"nbr AS ({closed_neighbours(edges)})",
         "deg AS (SELECT node, count(*) AS deg FROM nbr GROUP BY node)",
         "trans AS (SELECT nbr.node, nbr.nb, deg.deg FROM nbr JOIN deg ON deg.node = nbr.node)",
-        f"nd AS ({nodes_sql(edges)})",
+        f"nd AS ({sources})",
         f"m0 AS (SELECT node AS source, node, CAST({scale} AS BIGINT) AS mass FROM nd)",
     ]
     for t in range(iterations):
-        having = f" HAVING sum(mass) >= {floor_eps}" if floor_eps > 0 else ""
         parts.append(
             f"m{t + 1} AS (SELECT source, node, CAST(sum(mass) AS BIGINT) AS mass FROM ("
             f"SELECT m.source, t.nb AS node, (m.mass * {num}) // ({den} * t.deg) AS mass FROM m{t} m JOIN trans t ON t.node = m.node "
-            f"UNION ALL SELECT node AS source, node, CAST({teleport} AS BIGINT) AS mass FROM nd) x GROUP BY source, node{having})"
+            f"UNION ALL SELECT node AS source, node, CAST({teleport} AS BIGINT) AS mass FROM nd) x GROUP BY source, node)"
         )
     return "WITH " + ", ".join(parts) + f" SELECT source, node, mass FROM m{iterations}"
 
 
+def ppr_sums_sql(edges: str, f: int, iterations: int, num: int = 85, den: int = 100, scale: int = 10**10) -> str:
+    """``(node, cnt, s0..s{f-1})``: bit sums by the PageRank recurrence, one step for each round."""
+    teleport = scale * (den - num) // den
+    names = [f"s{k}" for k in range(f)] + ["cnt"]
+    bits = ", ".join(f"{bit_expr('__m', f, k)} AS s{k}" for k in range(f))
+    parts = [
+        f"nbr AS MATERIALIZED ({closed_neighbours(edges)})",
+        f"own AS MATERIALIZED (SELECT node, {bits}, 1 AS cnt FROM (SELECT node, md5(node) AS __m FROM ({nodes_sql(edges)}) n) h)",
+        "m0 AS MATERIALIZED (SELECT node, " + ", ".join(f"CAST({x} AS BIGINT) * {scale} AS {x}" for x in names) + " FROM own)",
+    ]
+    for t in range(iterations):
+        sums = ", ".join(f"sum(m.{x}) AS {x}" for x in names)
+        step = ", ".join(f"CAST((a.{x} // a.deg) * {num} // {den} + o.{x} * {teleport} AS BIGINT) AS {x}" for x in names)
+        parts.append(
+            f"m{t + 1} AS MATERIALIZED (SELECT a.node, {step} FROM (SELECT n.node, count(*) AS deg, {sums} FROM nbr n JOIN m{t} m ON m.node = n.nb "
+            f"GROUP BY n.node) a JOIN own o ON o.node = a.node)"
+        )
+    return "WITH " + ", ".join(parts) + f" SELECT * FROM m{iterations}"
+
+
 def sig_words_sql(f: int, prefix: str = "w") -> str:
     return ", ".join(f"{majority_bigint(f, i)} AS {prefix}{i}" for i in range(len(word_widths(f))))
 

@@ -77,3 +77,24 @@ def test_pair_similarity_symmetric_and_bounded(spark):
     assert all(got[(a, b)] == got[(b, a)] for a, b in got)
     assert all(0 <= v <= 128 for v in got.values())
     assert all(got[(a, a)] == 128 for a, _ in vecs)
+
+
+@pytest.mark.parametrize("chunk_rows", [3, 1000])
+def test_band_links_equal_brute_force(spark, chunk_rows):
+    rng = random.Random(4)
+    sigs, base = {}, rng.getrandbits(31)
+    for i in range(60):  # one crowded neighbourhood with copies, and strangers
+        near = base ^ sum(1 << b for b in rng.sample(range(31), rng.randrange(5)))
+        sigs[f"n{i:02d}"] = near if i % 3 else rng.getrandbits(31)
+    sigs.update({f"z{i}": base for i in range(6)})
+    df = spark.createDataFrame([*sigs.items(), ("none", None)], "node string, sig long")
+    first = {}
+    for k in sorted(sigs):
+        first.setdefault(sigs[k], k)
+    want = {(k, first[s], 32) for k, s in sigs.items() if first[s] != k}
+    for x, a in first.items():
+        for y, b in first.items():
+            if a > b and (x ^ y).bit_count() < 4:
+                want.add((a, b, 32 - (x ^ y).bit_count()))
+    got = [tuple(r) for r in PR.band_links(df, 32, 4, chunk_rows=chunk_rows).collect()]
+    assert len(got) == len(set(got)) and set(got) == want

@@ -79,3 +79,24 @@ def test_nodes_without_edges_stay(spark):
     nodes = spark.createDataFrame([("a",), ("b",), ("c",), ("iso",)], "node string")
     for model in (SimHashSketch(32), SimHashSketch(32, random_walk_length=2, number_of_walks=5), SimHashSketch(32, use_page_rank=True, ppr_iterations=3)):
         assert {r["node"] for r in model.fit(edges, nodes).embedding().collect()} == {"a", "b", "c", "iso"}
+
+
+def test_ppr_sums_follow_the_masses(spark):
+    """Bit sums by the recurrence equal the sums over all (source, node) masses, hub and lone node included."""
+    f = 32
+    pairs = [("hub", f"l{i}") for i in range(25)] + [("l1", "l2"), ("l2", "x"), ("x", "y")]
+    masses = ppr_brute(pairs, 6)
+    lone = spark.createDataFrame([("lone",), ("x",)], "node string")
+    got = {r["node"]: r for r in W.pagerank_bit_sums(edges_df(spark, pairs), f, iterations=6, node_table=lone).collect()}
+    masses[("lone", "lone")] = 10**12
+    want = {}
+    for (source, node), m in masses.items():
+        word = int.from_bytes(hashlib.md5(node.encode()).digest()[-f // 8 :], "big")
+        sums = want.setdefault(source, [0] * (f + 1))
+        for k in range(f):
+            sums[k] += m * (word >> (f - 1 - k) & 1)
+        sums[f] += m
+    assert got.keys() == want.keys()
+    for node, sums in want.items():
+        row = [*got[node]["sums"], got[node]["cnt"]]
+        assert max(abs(x / W.PPR_SUM_SCALE - y / 10**12) for x, y in zip(row, sums)) < 1e-8
