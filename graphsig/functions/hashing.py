@@ -101,13 +101,18 @@ def pack_word_sql(sums: str, total: str, start: int, width: int) -> str:
 
 
 def bits_of_words_sql(words: str, f: int) -> str:
-    """SQL ARRAY<BIGINT> of the f bits (MSB first) held in an array column of words."""
+    """SQL ARRAY<BIGINT> of the f bits (MSB first) held in an array column of words.
+
+    The words are bound by an outer ``transform`` first: an optimizer that inlines the column that
+    computes them would otherwise put their hash inside the inner lambda, once for each bit.
+    """
     last = word_widths(f)[-1]
     width = f"IF(k DIV 64 = {len(word_widths(f)) - 1}, {last}, 64)"
-    return (
-        f"transform(sequence(0, {f - 1}), k -> CAST(shiftrightunsigned(element_at({words}, CAST(k DIV 64 + 1 AS INT)), "
+    bits = (
+        f"transform(sequence(0, {f - 1}), k -> CAST(shiftrightunsigned(element_at(bound, CAST(k DIV 64 + 1 AS INT)), "
         f"CAST({width} - 1 - k % 64 AS INT)) & 1 AS BIGINT))"
     )
+    return f"element_at(transform(array({words}), bound -> {bits}), 1)"
 
 
 def words_to_sig(words: Sequence[Column], f: int) -> Column:

@@ -24,6 +24,11 @@ def node_key(node: Column) -> Column:
     return F.conv(F.substring(F.md5(node.cast("string")), 1, 8), 16, 10).cast("long").bitwiseAND(F.lit(MASK31))
 
 
+def feature_key(node: Column) -> Column:
+    """60-bit key of a node id (first 15 hex digits of its MD5): nodes do not merge at any real size."""
+    return F.conv(F.substring(F.md5(node.cast("string")), 1, 15), 16, 10).cast("long")
+
+
 def _lit(v: Column | int) -> Column:
     return v if isinstance(v, Column) else F.lit(int(v))
 
