@@ -43,7 +43,7 @@ def register(name: str, sql: str | None = None):
 # follow the reference's experiment grid; 32 bits is the model's default width.
 F_DEFAULT = 32
 F_EXPERIMENT = 128
-WALKS, WALK_LENGTH, SEED = 100, 3, 42
+WALKS, WALK_LENGTH, SEED = 500, 3, 42
 TOP_K = 100_000
 HOLDOUT_P = 0.1
 PPR_ITERATIONS, PPR_SOURCES = 10, 20
@@ -565,14 +565,14 @@ def split_sql(body: str, extra: str = "") -> str:
     return f"WITH {SPLIT_CTES}{', ' + extra if extra else ''} SELECT * FROM ({body}) q"
 
 
-_SPLIT_CACHE: dict[tuple[int, str], object] = {}
+_SPLIT_CACHE: dict[tuple[str, str], object] = {}
 
 
 def _split(spark, sf_dir, keep_connected: bool = False, negatives: bool = True):
-    """Nested split of the customer–part graph (kept per session and input for the queries below)."""
+    """Nested split of the customer–part graph (kept per application and input for the queries below)."""
     from graphsig.plans.evaluation import make_split
 
-    key = (id(spark), f"{sf_dir}|{keep_connected}|{negatives}")
+    key = (spark.sparkContext.applicationId, f"{sf_dir}|{keep_connected}|{negatives}")
     if key not in _SPLIT_CACHE:
         _SPLIT_CACHE[key] = make_split(cp_edges(spark, sf_dir), HOLDOUT_P, SEED, keep_connected, negatives)
     return _SPLIT_CACHE[key]
@@ -995,16 +995,15 @@ def n6_node_sketch_recursive(spark, sf_dir):
 @register("r9_sweep")
 def r9_sweep(spark, sf_dir):
     """Parameter sweep rows (dataset, algorithm, dims, walk length, walks, precision, run time,
-    iteration) over three configurations of the reference grid, and their averages."""
+    iteration) over the ten configurations of the experiment grid."""
     from graphsig.plans.evaluation import sweep
-    from graphsig.plans.models import SimHashSketch
+    from graphsig.plans.models import NodeSketchModel, SimHashSketch
 
-    configs = [
-        ("SimHashSketch", SimHashSketch(dimensions=F_EXPERIMENT)),
-        ("SimHashSketch", SimHashSketch(dimensions=F_EXPERIMENT, random_walk_length=2, number_of_walks=500)),
-        ("SimHashSketch", SimHashSketch(dimensions=F_EXPERIMENT, random_walk_length=3, number_of_walks=100)),
-    ]
-    return sweep(cp_edges(spark, sf_dir), configs, "customer-part", iterations=1, keep_connected=False)
+    # fixed values: (walk length, number of walks) of the grid
+    grid = [(2, 500), (3, 500), (4, 500), (5, 500), (3, 100), (3, 200), (3, 500), (3, 1000)]
+    walks = [SimHashSketch(dimensions=F_EXPERIMENT, random_walk_length=n, number_of_walks=w) for n, w in grid]
+    models = [SimHashSketch(dimensions=F_EXPERIMENT), *walks, NodeSketchModel(F_EXPERIMENT, 4, 0.2, SEED)]
+    return sweep(cp_edges(spark, sf_dir), [(m.name, m) for m in models], "customer-part", iterations=1, keep_connected=False)
 
 
 @register("s9_state_roundtrip", Q.node_sketch_sql(CP, F_DEFAULT).replace("CAST(cnt - 1 AS BIGINT) AS degree, ", ""))
