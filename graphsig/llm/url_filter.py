@@ -7,7 +7,8 @@ it runs in the JVM; the URLs are one projection without a shuffle.
 
 Edge cases: a null URL, or one without ``://``, has an empty host and path and is allowed unless a
 rule fits; among rules that fit the longest wins, of equal length block before allow; repeated rows
-are judged each; an empty table gives an empty result; other columns are ignored.
+are judged each; an empty table gives an empty result; other columns pass through, but for those
+named like the columns of :data:`ADDED`, which are overwritten.
 """
 
 from __future__ import annotations
@@ -112,6 +113,10 @@ def fit(labelled: DataFrame) -> LogisticRegressionModel:
     return regression.fit(features(labelled).select("__x", "label").coalesce(1))
 
 
+#: Columns that :func:`judge` adds.
+ADDED = ("host", "path", "rule", "verdict", "score")
+
+
 def judge(urls: DataFrame, model: LogisticRegressionModel, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
     """Adds ``host, path, rule, verdict, score`` to ``urls``; score is the chance to be unwanted."""
     scored = model.transform(features(urls))
@@ -120,7 +125,7 @@ def judge(urls: DataFrame, model: LogisticRegressionModel, rules=RULES, threshol
     marked = scored.withColumn("__rule", found).withColumn("__score", score)
     own = F.when(F.col("__score") >= threshold, F.lit("block")).otherwise(F.lit("allow"))
     return marked.select(
-        *urls.columns,
+        *[c for c in urls.columns if c.lower() not in ADDED],
         F.col("__host").alias("host"),
         F.col("__path").alias("path"),
         F.col("__rule.rule").alias("rule"),

@@ -353,6 +353,9 @@ def test_url_rules_and_model(spark):
     for url, host, path, rule, verdict in urls:
         r = got[url]
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule) and verdict in (None, r["verdict"])
+    clash = table.select("url", F.lit("mine").alias("host"), F.lit(1).alias("Path"), F.lit("kept").alias("other"))
+    judged = url_filter.judge(clash, model)
+    assert judged.columns == ["url", "other", "host", "path", "rule", "verdict", "score"] and {r["host"] for r in judged.collect()} == {u[1] for u in urls}
     labelled = url_filter.labelled_urls(spark).withColumn("part", F.pmod(F.xxhash64("url"), F.lit(4)))
     held = url_filter.judge(labelled.filter("part = 0"), url_filter.fit(labelled.filter("part > 0")), rules=())
     assert held.agg(F.avg(((F.col("verdict") == "block") == (F.col("label") == 1.0)).cast("double"))).first()[0] > 0.8
@@ -377,6 +380,12 @@ def test_extraction(spark):
     assert site_style.extract(table.limit(0)).count() == 0
 
 
+def test_blocks_read_odd_tags():
+    """Names of the whole page tell nothing of its text; stray quotes in a tag end with the tag."""
+    page = "<html class='no-js'><body class='page has-sidebar' title=it's><p>One<div class='sidebar'>Side</div><p title=\"a > b\">Two<p x='open>Three"
+    assert [b.text for b in site_style.blocks(page) if not b.noise] == ["One", "Two", "Three"]
+
+
 def test_extraction_removes_what_a_host_repeats(spark):
     """Branches without telling names: the text that all pages of the host share goes."""
     page = "<body><div class='k1'>Welcome to our place</div><div class='k2'><p>Story {i} one</p><p>Story {i} two</p></div><div class='k3'>All rights reserved</div></body>"
