@@ -35,7 +35,7 @@ from graphsig.session import cut_lineage
 
 CAPACITY, END_ID = 2048, 0
 #: Words whose ids a Python worker keeps; at most twice as many are held.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 #: Rows of one bucket, within which pieces are numbered by a sort.
 BUCKET_ROWS = 20_000
 RUN_LIMIT = 200_000
@@ -118,6 +118,10 @@ class WordIds:
             for w, coded in zip(other, self.full.encode_batch([w.decode() for w in other], add_special_tokens=False), strict=True):
                 self.words[w] = np.array(coded.ids, dtype="<u4").tobytes()
 
+    def rest(self) -> None:
+        """Forgets the words not used lately: the worker process may serve other stages next."""
+        self.before = {}
+
     def ids(self, text: str) -> bytes:
         """In parts of some words, so that a very long text never fills the cache."""
         out, words = [], split_words(text)
@@ -154,6 +158,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
             columns = list(zip(*rows, strict=True)) or [()] * 6
             types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "row", "piece", "start", "length", "ids_crc32"])
+        coder.rest()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("row"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, row long, piece int, start long, length long, ids_crc32 long")
