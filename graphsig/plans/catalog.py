@@ -784,53 +784,85 @@ def e5_classifier_roc_auc(spark, sf_dir):
 # ---------------------------------------------------------------- components
 
 
-# Parts with the highest discount that were bought in one order: many components, odd cycles.
-_TOGETHER = "SELECT DISTINCT 'item_' || x.l_partkey AS p, 'item_' || y.l_partkey AS q FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey WHERE x.l_partkey < y.l_partkey AND x.l_discount >= 0.1 AND y.l_discount >= 0.1"
-PP = f"SELECT DISTINCT least(p, q) AS src, greatest(p, q) AS dst FROM ({_TOGETHER}) t"
+# All purchases as a customer-part graph (one component, bipartite), beside it for each customer's nation
+# the parts bought in one order (components of all sizes, odd cycles). Every row of lineitem counts.
+_TOGETHER = (
+    "SELECT DISTINCT 'n' || coalesce(c.c_nationkey, -1) || '_item_' || x.l_partkey AS src, 'n' || coalesce(c.c_nationkey, -1) || '_item_' || y.l_partkey AS dst "
+    "FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey JOIN orders o ON o.o_orderkey = x.l_orderkey "
+    "LEFT JOIN customer c ON c.c_custkey = o.o_custkey WHERE x.l_partkey <> y.l_partkey"
+)
+BOUGHT = f"{CP} UNION ALL {Q.canonical(_TOGETHER)}"
+
+
+def bought_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = T.load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    orders = T.load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
+    nations = T.load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    named = F.concat(F.lit("n"), F.coalesce("c_nationkey", F.lit(-1)).cast("string"), F.lit("_item_"), F.col("l_partkey").cast("string"))
+    parts = items.join(orders, "l_orderkey").join(nations, "c_custkey", "left").select("l_orderkey", named.alias("src"))
+    pairs = parts.join(parts.select("l_orderkey", F.col("src").alias("dst")), "l_orderkey").filter(F.col("src") < F.col("dst"))
+    return cp_edges(spark, sf_dir).unionByName(G.canonical_edges(pairs.select("src", "dst")))
 
 
-def pp_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = T.load(spark, sf_dir, "lineitem").filter("l_discount >= 0.1").select("l_orderkey", "l_partkey")
-    name = lambda c: F.concat(F.lit("item_"), F.col(c).cast("string"))
-    twin = items.select("l_orderkey", F.col("l_partkey").alias("other"))
-    pairs = items.join(twin, "l_orderkey").filter(F.col("l_partkey") < F.col("other"))
-    return G.canonical_edges(pairs.select(name("l_partkey").alias("src"), name("other").alias("dst")))
+def _labels(name: str, links: str) -> str:
+    """CTEs: the smallest node of the component of each end of ``links(src, dst)``; only nodes whose label fell pass it on."""
+    return (
+        f"{name}_s AS MATERIALIZED (SELECT src AS u, dst AS v FROM ({links}) e UNION ALL SELECT dst, src FROM ({links}) e), "
+        f"{name}(node, component) USING KEY (node) AS (SELECT DISTINCT u, u FROM {name}_s UNION SELECT s.v, min({name}.component) FROM {name} "
+        f"JOIN {name}_s s ON s.u = {name}.node JOIN recurring.{name} AS k ON k.node = s.v WHERE {name}.component < k.component GROUP BY s.v)"
+    )
 
 
-_COVER = "SELECT src || chr(1) || x AS src, dst || chr(1) || (1 - x) AS dst FROM (SELECT src, dst, unnest([0, 1]) AS x FROM ({edges}) b) y"
+def components_sql(edges: str) -> str:
+    return f"WITH RECURSIVE e AS MATERIALIZED ({edges}), {_labels('c', E)} SELECT node, component FROM c"
 
 
-@register("g8_connected_components", _REACH.format(edges=PP) + "SELECT node, component FROM c")
+@register("g8_connected_components", components_sql(BOUGHT))
 def g8_connected_components(spark, sf_dir):
-    """Component (smallest node id) of every part of the bought-together graph."""
-    return C.connected_components(pp_edges(spark, sf_dir))
+    """Component (smallest node id) of every node of the purchase graphs."""
+    return C.connected_components(bought_edges(spark, sf_dir))
 
 
-# an edge is in the forest unless lighter edges already join its ends
-_FOREST = (
-    f"WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst, md5('{SEED}|' || src || '|' || dst) AS w FROM ({PP}) p), "
-    "s AS MATERIALIZED (SELECT src AS u, dst AS v, w FROM e UNION ALL SELECT dst, src, w FROM e), "
-    "r AS (SELECT w, src AS node FROM e UNION SELECT r.w, s.v FROM r JOIN s ON s.u = r.node AND s.w < r.w) "
-    "SELECT src, dst FROM e WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.w = e.w AND r.node = e.dst)"
-)
+#: Each round at least halves the components that are not whole, so these do for 2**24 nodes.
+FOREST_ROUNDS = 24
 
 
-@register("g7_spanning_forest", _FOREST)
+def forest_sql(edges: str, seed: int = SEED, rounds: int = FOREST_ROUNDS) -> str:
+    """Each component's lightest edge out of it is in the forest; then the joined components are one."""
+    parts = [
+        f"e AS MATERIALIZED (SELECT src, dst, md5('{seed}|' || src || '|' || dst) AS w FROM ({edges}) p)",
+        "m0 AS MATERIALIZED (SELECT src AS node, src AS comp FROM e UNION SELECT dst, dst FROM e)",
+    ]
+    for t in range(rounds):
+        parts += [
+            f"x{t} AS MATERIALIZED (SELECT e.w, a.comp AS src, b.comp AS dst FROM e JOIN m{t} a ON a.node = e.src JOIN m{t} b ON b.node = e.dst WHERE a.comp <> b.comp)",
+            f"k{t} AS MATERIALIZED (SELECT w, src, dst FROM x{t} WHERE w IN (SELECT min(w) FROM (SELECT src AS comp, w FROM x{t} UNION ALL SELECT dst, w FROM x{t}) y GROUP BY comp))",
+            _labels(f"c{t}", f"SELECT src, dst FROM k{t}"),
+            f"m{t + 1} AS MATERIALIZED (SELECT m.node, coalesce(c.component, m.comp) AS comp FROM m{t} m LEFT JOIN c{t} c ON c.node = m.comp)",
+        ]
+    chosen = " UNION ALL ".join(f"SELECT w FROM k{t}" for t in range(rounds))
+    return f"WITH RECURSIVE {', '.join(parts)} SELECT src, dst FROM e WHERE w IN ({chosen})"
+
+
+@register("g7_spanning_forest", forest_sql(BOUGHT))
 def g7_spanning_forest(spark, sf_dir):
-    """Minimum spanning forest of the bought-together graph under md5 edge weights."""
-    return C.spanning_forest(pp_edges(spark, sf_dir), SEED)
+    """Minimum spanning forest of the purchase graphs under md5 edge weights."""
+    return C.spanning_forest(bought_edges(spark, sf_dir), SEED)
 
 
-_SIDES = (
-    "SELECT a.node[:-3] AS node, CAST(CASE WHEN a.component = b.component THEN NULL WHEN a.component < b.component THEN 0 ELSE 1 END AS INTEGER) AS side "
-    "FROM c a JOIN c b ON a.node[:-3] = b.node[:-3] AND a.node[-1:] = '0' AND b.node[-1:] = '1'"
-)
+def sides_sql(edges: str) -> str:
+    cover = f"SELECT src || chr(1) || x AS src, dst || chr(1) || (1 - x) AS dst FROM (SELECT src, dst, unnest([0, 1]) AS x FROM ({edges}) b) y"
+    return (
+        f"WITH RECURSIVE e AS MATERIALIZED ({cover}), {_labels('c', E)} "
+        "SELECT a.node[:-3] AS node, CAST(CASE WHEN a.component = b.component THEN NULL WHEN a.component < b.component THEN 0 ELSE 1 END AS INTEGER) AS side "
+        "FROM c a JOIN c b ON a.node[:-3] = b.node[:-3] AND a.node[-1:] = '0' AND b.node[-1:] = '1'"
+    )
 
 
-@register("g6_bipartite_sides", _REACH.format(edges=_COVER.format(edges=PP)) + _SIDES)
+@register("g6_bipartite_sides", sides_sql(BOUGHT))
 def g6_bipartite_sides(spark, sf_dir):
-    """2-colouring of the bought-together graph (NULL side in a non-bipartite component)."""
-    return C.bipartite_sides(pp_edges(spark, sf_dir))
+    """2-colouring of the purchase graphs (NULL side in a non-bipartite component)."""
+    return C.bipartite_sides(bought_edges(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- incremental maintenance
