@@ -89,9 +89,9 @@ class WordIds:
     def _learn_letters(self, words: list[bytes]) -> None:
         for at in range(0, len(words), 8192):
             some = words[at : at + 8192]
-            spelled = b" ".join(some).decode()
+            spelled = b" ".join(some).decode().lower()  # words of texts that may hold a special token come as they are
             if not spelled.isascii():
-                spelled = spelled.lower().encode().decode("latin-1").translate(self.spell)
+                spelled = spelled.encode().decode("latin-1").translate(self.spell)
             coded = self.letters.encode(spelled, add_special_tokens=False)
             ids, numbers = np.array(coded.ids, dtype="<u4"), np.array(coded.word_ids)
             cuts = (np.searchsorted(numbers, np.arange(len(some) + 1)) * 4).tolist()

@@ -253,6 +253,17 @@ def test_packing_pieces_and_ids(spark, docs, rows):
         assert parts[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(parts, parts[1:], strict=False)) and sum(parts[-1]) <= 2048
 
 
+def test_token_ids_of_texts_with_special_tokens():
+    """Capitalised words beside what may be a special token get the ids of the whole text, whatever is looked up with them."""
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    coder, words = Tokenizer.from_file(path), packing.WordIds(path)
+    for text in ["<|endoftext|> Hello World", "x <| Government HELLO", "<|im_start|>User Été Straße", "Hello <|endoftext|>World"]:
+        want = np.array(coder.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        assert words.ids(text) == packing.WordIds(path).ids(text) == want
+
+
 @pytest.mark.parametrize("score", ["norm", "dot"])
 def test_packing_plan_holds_every_constraint(score):
     rng = random.Random(4)
