@@ -397,6 +397,12 @@ def test_blocks_read_odd_tags():
     assert [b.text for b in site_style.blocks(page) if not b.noise] == ["One", "Two", "Three"]
 
 
+def test_raw_elements_end_where_the_page_says():
+    """Letters that grow when lower-cased do not move the end of a script."""
+    page = "<p>" + "İ" * 20 + "</p><SCRIPT>a = '<p>x</p>'</Script><p>One</p><p>Two</p>"
+    assert [b.text for b in site_style.blocks(page)] == ["İ" * 20, "One", "Two"]
+
+
 def test_extraction_removes_what_a_host_repeats(spark):
     """Branches without telling names: the text that all pages of the host share goes."""
     page = "<body><div class='k1'>Welcome to our place</div><div class='k2'><p>Story {i} one</p><p>Story {i} two</p></div><div class='k3'>All rights reserved</div></body>"
