@@ -77,17 +77,31 @@ def random_walk_visits(
 PPR_SCALE = 10**12
 
 
+PPR_TOL, PPR_LIMIT = 1e-6, 100
+
+
+def pagerank_rounds(n: int, alpha: tuple[int, int] = (85, 100), tol: float = PPR_TOL, limit: int = PPR_LIMIT) -> int:
+    """Rounds after which the reference's stop holds for every source of a graph of ``n`` nodes: the
+    masses' changes sum to less than ``n * tol``. A round shrinks that sum by ``a`` at least and the
+    first is at most ``2a``, so round ``t`` changes at most ``2 a^t``, whatever the graph."""
+    for t in range(1, limit + 1):
+        if 2 * (alpha[0] / alpha[1]) ** t < n * tol:
+            return t
+    raise RuntimeError(f"PageRank does not converge to {tol} in {limit} rounds")
+
+
 def personalized_pagerank(
     edges: DataFrame,
     alpha: tuple[int, int] = (85, 100),
-    iterations: int = 20,
+    iterations: int | None = None,
     sources: DataFrame | None = None,
     scale: int = PPR_SCALE,
     tol: float | None = None,
 ) -> DataFrame:
     """``(source, node, mass)`` — personalized PageRank by power iteration, mass in fixed point.
 
-    ``iterations`` caps the rounds; with ``tol`` the loop also stops once no source's mass moved by
+    Without ``iterations`` it runs to the reference's tolerance (:func:`pagerank_rounds`). A given number
+    caps the rounds; with ``tol`` the loop also stops once no source's mass moved by
     more than ``tol`` (L1, as a fraction of 1.0) in the last round — one outer join and one scalar
     aggregate per round.
 
@@ -122,7 +136,8 @@ def personalized_pagerank(
         src = ids.select(F.col("id").alias("node"))
     mass = src.select(F.col("node").alias("source"), F.col("node"), F.lit(scale).cast("long").alias("mass"))
     teleport_mass = scale * (den - num) // den
-    for _ in range(iterations):
+    rounds = pagerank_rounds(max(1, ids.count()), alpha) if iterations is None else iterations
+    for _ in range(rounds):
         mass_before = mass
         spread = mass.join(trans.hint("shuffle_hash"), "node").select(
             "source", F.col("nb").alias("node"), F.expr(f"(mass * {num}) div ({den} * deg)").alias("mass")
@@ -157,7 +172,7 @@ def pagerank_bit_sums(
     edges: DataFrame,
     f: int = 128,
     alpha: tuple[int, int] = (85, 100),
-    iterations: int = 10,
+    iterations: int | None = None,
     node_table: DataFrame | None = None,
     scale: int = PPR_SUM_SCALE,
 ) -> DataFrame:
@@ -168,7 +183,8 @@ def pagerank_bit_sums(
     A round is one join of edges with ``f + 1`` numbers for each node and one aggregate: work grows
     with the edges, no table of (source, node) masses exists, and none of the mass is cut. The last
     number is the total mass (a bit that is always one), floored like the others. ``node_table(node)``
-    adds nodes without edges.
+    adds nodes without edges. Without ``iterations`` it runs to the reference's tolerance
+    (:func:`pagerank_rounds`); bits are sums of masses, so they change no more than these.
     """
     num, den = alpha
     if not 0 < num < den:
@@ -190,7 +206,8 @@ def pagerank_bit_sums(
         return hashed.withColumn("__own", F.expr(f"concat({bits_of_words_sql('__own', f)}, array(1L))"))
 
     state = own_bits(every).select(F.col("node").alias("nb"), F.transform("__own", lambda b: b * F.lit(scale)).alias("v"))
-    for _ in range(iterations):
+    rounds = pagerank_rounds(max(1, every.count()), alpha) if iterations is None else iterations
+    for _ in range(rounds):
         sums = [F.sum(F.col("v").getItem(k)).alias(f"s{k}") for k in range(f + 1)]
         summed = closed.join(state, "nb").groupBy("node").agg(F.count(F.lit(1)).alias("deg"), *sums)
         packed = own_bits(summed.select("node", "deg", F.array(*[f"s{k}" for k in range(f + 1)]).alias("s")))

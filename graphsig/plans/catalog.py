@@ -46,7 +46,7 @@ F_EXPERIMENT = 128
 WALKS, WALK_LENGTH, SEED = 500, 3, 42
 TOP_K = 100_000
 HOLDOUT_P = 0.1
-PPR_ITERATIONS, PPR_SOURCES = 10, 20
+PPR_SOURCES = 20
 BATCH_P = 0.01
 TEXT_F, TEXT_BANDS = 64, 4
 
@@ -314,25 +314,25 @@ def n2_walk_sketch(spark, sf_dir):
     return sk.select("node", sig_bits_string(F.col("sig"), F_EXPERIMENT).alias("bits"))
 
 
-PPR_SQL = with_edges(CP, Q.ppr_sql(E, PPR_ITERATIONS, f"SELECT node FROM ({Q.half_edges(E)}) h GROUP BY node ORDER BY count(*) DESC, node LIMIT {PPR_SOURCES}"))
+PPR_SQL = with_edges(CP, Q.ppr_sql(E, f"SELECT node FROM ({Q.half_edges(E)}) h GROUP BY node ORDER BY count(*) DESC, node LIMIT {PPR_SOURCES}"))
 
 
 @register("g3_personalized_pagerank", PPR_SQL)
 def g3_personalized_pagerank(spark, sf_dir):
     """Personalized PageRank mass (fixed point, 1.0 = 1e12) of all nodes as seen from the 20 nodes
-    with the most neighbours, 10 rounds, nothing cut: each source's mass is 1."""
+    with the most neighbours, to the reference's tolerance, nothing cut: each source's mass is 1."""
     e = cut_lineage(cp_edges(spark, sf_dir))
     sources = G.degrees(e).orderBy(F.desc("degree"), "node").limit(PPR_SOURCES).select("node")
-    return W.personalized_pagerank(e, iterations=PPR_ITERATIONS, sources=cut_lineage(sources))
+    return W.personalized_pagerank(e, sources=cut_lineage(sources))
 
 
 @register(
     "n3_ppr_sketch",
-    with_edges(CP, f"SELECT node, {bits_string_sql(F_EXPERIMENT)} AS bits FROM ({Q.ppr_sums_sql(E, F_EXPERIMENT, PPR_ITERATIONS)}) s"),
+    with_edges(CP, f"SELECT node, {bits_string_sql(F_EXPERIMENT)} AS bits FROM ({Q.ppr_sums_sql(E, F_EXPERIMENT)}) s"),
 )
 def n3_ppr_sketch(spark, sf_dir):
     """128-bit SimHash of personalized PageRank mass of every node, by the recurrence of its bit sums."""
-    sk = S.majority(W.pagerank_bit_sums(cp_edges(spark, sf_dir), F_EXPERIMENT, iterations=PPR_ITERATIONS), F_EXPERIMENT)
+    sk = S.majority(W.pagerank_bit_sums(cp_edges(spark, sf_dir), F_EXPERIMENT), F_EXPERIMENT)
     return sk.select("node", sig_bits_string(F.col("sig"), F_EXPERIMENT).alias("bits"))
 
 
@@ -955,13 +955,13 @@ def u4_walk_refresh(spark, sf_dir):
     return state.embedding().select("node", sig_bits_string(F.col("sig"), F_EXPERIMENT).alias("bits"))
 
 
-@register("u5_ppr_update", _updated_sql(Q.ppr_sums_sql(REST, F_EXPERIMENT, PPR_ITERATIONS), Q.ppr_sums_sql(E, F_EXPERIMENT, PPR_ITERATIONS), "SELECT node FROM ends"))
+@register("u5_ppr_update", _updated_sql(Q.ppr_sums_sql(REST, F_EXPERIMENT), Q.ppr_sums_sql(E, F_EXPERIMENT), "SELECT node FROM ends"))
 def u5_ppr_update(spark, sf_dir):
     """PageRank-sketch model; both endpoints of each of 1 % new edges recomputed on the new graph."""
     from graphsig.plans.models import SimHashSketch
 
     _, rest, held = _base_and_stream(spark, sf_dir, BATCH_P)
-    model = SimHashSketch(dimensions=F_EXPERIMENT, use_page_rank=True, ppr_iterations=PPR_ITERATIONS)
+    model = SimHashSketch(dimensions=F_EXPERIMENT, use_page_rank=True)
     state = model.update(model.fit(rest), held)
     return state.embedding().select("node", sig_bits_string(F.col("sig"), F_EXPERIMENT).alias("bits"))
 

@@ -42,7 +42,7 @@ class SimHashSketch:
     random_walk_length: int | None = None
     number_of_walks: int = 1000
     use_page_rank: bool = False
-    ppr_iterations: int = 10
+    ppr_iterations: int | None = None  # None: to the tolerance of the reference
     refresh_endpoints: bool = False  # walk updates also redo the ends of every new edge
     supports_update: bool = True
 

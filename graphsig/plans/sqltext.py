@@ -201,43 +201,43 @@ def walk_visits_sql(edges: str, length: int, walks: int, seed: int, bucket_size:
     )
 
 
-def ppr_sql(edges: str, iterations: int, sources: str, num: int = 85, den: int = 100, scale: int = 10**12) -> str:
-    """``(source, node, mass)`` for the nodes that ``sources`` selects."""
+def ppr_stop_sql(nodes: str, num: int, den: int) -> str:
+    """``(rounds)``: the first round that moves less than 1e-6 a node, by the bound ``2 a^t`` (at most 100 rounds)."""
+    return f"SELECT min(t) AS rounds FROM range(1, 101) r(t) WHERE 2 * pow({num} / {den}, t) < (SELECT count(DISTINCT node) FROM {nodes}) * 1e-6"
+
+
+def ppr_sql(edges: str, sources: str, num: int = 85, den: int = 100, scale: int = 10**12) -> str:
+    """``(source, node, mass)`` for the nodes that ``sources`` selects; a round replaces all masses."""
     teleport = scale * (den - num) // den
     parts = [
-        f"nbr AS ({closed_neighbours(edges)})",
+        f"nbr AS MATERIALIZED ({closed_neighbours(edges)})",
         "deg AS (SELECT node, count(*) AS deg FROM nbr GROUP BY node)",
-        "trans AS (SELECT nbr.node, nbr.nb, deg.deg FROM nbr JOIN deg ON deg.node = nbr.node)",
-        f"nd AS ({sources})",
-        f"m0 AS (SELECT node AS source, node, CAST({scale} AS BIGINT) AS mass FROM nd)",
+        "trans AS MATERIALIZED (SELECT nbr.node, nbr.nb, deg.deg FROM nbr JOIN deg ON deg.node = nbr.node)",
+        f"nd AS MATERIALIZED ({sources})",
+        f"stop AS MATERIALIZED ({ppr_stop_sql('nbr', num, den)})",
+        f"m(source, node, t, mass) USING KEY (source, node) AS (SELECT node, node, CAST(0 AS BIGINT), CAST({scale} AS BIGINT) FROM nd UNION "
+        f"SELECT m.source, x.nb, m.t + 1, CAST(sum((m.mass * {num}) // ({den} * x.deg)) + CASE WHEN m.source = x.nb THEN {teleport} ELSE 0 END AS BIGINT) "
+        "FROM m JOIN trans x ON x.node = m.node WHERE m.t < (SELECT rounds FROM stop) GROUP BY m.source, x.nb, m.t)",
     ]
-    for t in range(iterations):
-        parts.append(
-            f"m{t + 1} AS (SELECT source, node, CAST(sum(mass) AS BIGINT) AS mass FROM ("
-            f"SELECT m.source, t.nb AS node, (m.mass * {num}) // ({den} * t.deg) AS mass FROM m{t} m JOIN trans t ON t.node = m.node "
-            f"UNION ALL SELECT node AS source, node, CAST({teleport} AS BIGINT) AS mass FROM nd) x GROUP BY source, node)"
-        )
-    return "WITH " + ", ".join(parts) + f" SELECT source, node, mass FROM m{iterations}"
+    return "WITH RECURSIVE " + ", ".join(parts) + " SELECT source, node, mass FROM m"
 
 
-def ppr_sums_sql(edges: str, f: int, iterations: int, num: int = 85, den: int = 100, scale: int = 10**10) -> str:
-    """``(node, cnt, s0..s{f-1})``: bit sums by the PageRank recurrence, one step for each round."""
+def ppr_sums_sql(edges: str, f: int, num: int = 85, den: int = 100, scale: int = 10**10) -> str:
+    """``(node, cnt, s0..s{f-1})``: bit sums by the PageRank recurrence; a round replaces all sums."""
     teleport = scale * (den - num) // den
     names = [f"s{k}" for k in range(f)] + ["cnt"]
     bits = ", ".join(f"{bit_expr('__m', f, k)} AS s{k}" for k in range(f))
+    sums = ", ".join(f"sum(m.{x}) AS {x}" for x in names)
+    step = ", ".join(f"CAST((a.{x} // a.deg) * {num} // {den} + o.{x} * {teleport} AS BIGINT)" for x in names)
     parts = [
         f"nbr AS MATERIALIZED ({closed_neighbours(edges)})",
         f"own AS MATERIALIZED (SELECT node, {bits}, 1 AS cnt FROM (SELECT node, md5(node) AS __m FROM ({nodes_sql(edges)}) n) h)",
-        "m0 AS MATERIALIZED (SELECT node, " + ", ".join(f"CAST({x} AS BIGINT) * {scale} AS {x}" for x in names) + " FROM own)",
+        f"stop AS MATERIALIZED ({ppr_stop_sql('nbr', num, den)})",
+        f"m(node, t, {', '.join(names)}) USING KEY (node) AS (SELECT node, CAST(0 AS BIGINT), " + ", ".join(f"CAST({x} AS BIGINT) * {scale}" for x in names) + " FROM own UNION "
+        f"SELECT a.node, a.t + 1, {step} FROM (SELECT n.node, m.t, count(*) AS deg, {sums} FROM nbr n JOIN m ON m.node = n.nb "
+        "WHERE m.t < (SELECT rounds FROM stop) GROUP BY n.node, m.t) a JOIN own o ON o.node = a.node)",
     ]
-    for t in range(iterations):
-        sums = ", ".join(f"sum(m.{x}) AS {x}" for x in names)
-        step = ", ".join(f"CAST((a.{x} // a.deg) * {num} // {den} + o.{x} * {teleport} AS BIGINT) AS {x}" for x in names)
-        parts.append(
-            f"m{t + 1} AS MATERIALIZED (SELECT a.node, {step} FROM (SELECT n.node, count(*) AS deg, {sums} FROM nbr n JOIN m{t} m ON m.node = n.nb "
-            f"GROUP BY n.node) a JOIN own o ON o.node = a.node)"
-        )
-    return "WITH " + ", ".join(parts) + f" SELECT * FROM m{iterations}"
+    return "WITH RECURSIVE " + ", ".join(parts) + f" SELECT node, {', '.join(names)} FROM m"
 
 
 def sig_words_sql(f: int, prefix: str = "w") -> str:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pytest
 from conftest import edges_df
 from graphsig.operators import walks as W
 from reference_model import closed_neighbourhoods
@@ -100,3 +101,27 @@ def test_ppr_sums_follow_the_masses(spark):
     for node, sums in want.items():
         row = [*got[node]["sums"], got[node]["cnt"]]
         assert max(abs(x / W.PPR_SUM_SCALE - y / 10**12) for x, y in zip(row, sums)) < 1e-8
+
+
+def test_ppr_rounds_reach_the_references_tolerance():
+    """After these rounds every source's masses move by less than 1e-6 a node, on a nearly bipartite graph too."""
+    pairs = [(f"u{i}", f"p{j}") for i in range(6) for j in range(6)]
+    rounds = W.pagerank_rounds(12)
+    before, last, limit = (ppr_brute(pairs, t) for t in (rounds - 1, rounds, 300))
+    assert max(sum(abs(last[k] - before[k]) for k in last if k[0] == s) for s, _ in last) < 12 * 1e-6 * 10**12
+    assert max(abs(last[k] - limit[k]) for k in last) < 10**8
+    with pytest.raises(RuntimeError):
+        W.pagerank_rounds(12, (99, 100))
+
+
+def test_ppr_runs_the_rounds_of_its_graph(spark, monkeypatch):
+    """Without a number of rounds both forms and the model ask for those of their node count."""
+    from graphsig.plans.models import SimHashSketch
+
+    asked = []
+    monkeypatch.setattr(W, "pagerank_rounds", lambda n, alpha: asked.append(n) or 3)
+    e = edges_df(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("d", "a"), ("a", "e")])
+    got = {(r["source"], r["node"]): r["mass"] for r in W.personalized_pagerank(e).collect()}
+    assert got == {(r["source"], r["node"]): r["mass"] for r in W.personalized_pagerank(e, iterations=3).collect()}
+    assert SimHashSketch(32, use_page_rank=True).fit(e).sums.count() == 5
+    assert asked == [5, 5]
