@@ -1,6 +1,7 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming, exact check.
 
-Words are lower-cased and split at ASCII white space and punctuation. Each item of the benchmark gets
+Words are lower-cased and split at ASCII white space and punctuation; in scripts written without
+spaces each character is a word. Each item of the benchmark gets
 its multiset of five-word shingles and a SimHash in which a shingle weighs log(1 + items / items that
 hold it), so text that many items share counts less. A document is cut into windows as long as the
 item, at every position. Their SimHashes come from running sums of the shingles' weighted bits.
@@ -13,13 +14,16 @@ Windows without any shingle of the benchmark have similarity zero, so they need
 table of the items' shingles skips them. Documents stream through Arrow batches without a shuffle.
 The benchmark is read in blocks of at most ``block_words`` words, each broadcast by itself.
 
-Edge cases: null and empty texts match nothing; items of fewer than five words have no shingle and
-match nothing; a document shorter than an item is one window; repeated items and rows are reported
+Items of fewer than five words have no such shingle: their whole word sequence is one shingle of its own
+length, and a document holds them where it has the same words in a row.
+
+Edge cases: null and empty texts match nothing; a document shorter than an item is one window; repeated items and rows are reported
 each; empty tables give empty results; other columns pass through.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,6 +42,10 @@ MATCH_SCHEMA = "doc_id long, item_id long, start long, n_words long, distance in
 #: ASCII punctuation, control characters and white space separate words.
 _SEPARATORS = bytes(c for c in range(128) if not chr(c).isalnum())
 _TO_SPACE = bytes.maketrans(_SEPARATORS, b" " * len(_SEPARATORS))
+#: Letters of scripts without spaces between words: Thai, Lao, Myanmar, Khmer, kana, Han.
+_UNSPACED = re.compile("([\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3041-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff])")
+#: Their punctuation and wide space.
+_WIDE = re.compile("[\u3000-\u3004\u3008-\u3020\u3030\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
 #: Bytes hashed at a time; an odd factor and its inverse modulo 2**64, and their powers.
 SEGMENT, FACTOR = 1 << 18, 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = []
@@ -61,7 +69,10 @@ def _powers() -> list[np.ndarray]:
 def word_hashes(text: str | None) -> np.ndarray:
     """64-bit hashes of the words: polynomials of their bytes from running sums, then mixed, so no
     word becomes an object. Long texts go by segments that end between words."""
-    raw = (text or "").lower().encode("utf-8", "surrogatepass").translate(_TO_SPACE)
+    text = (text or "").lower()
+    if not text.isascii():
+        text = _WIDE.sub(" ", _UNSPACED.sub(r" \1 ", text))
+    raw = text.encode("utf-8", "surrogatepass").translate(_TO_SPACE)
     if len(raw) <= SEGMENT:
         return _segment_hashes(raw)
     parts, at = [], 0
@@ -119,8 +130,12 @@ class Benchmark:
             raise ValueError("the index finds all fingerprints within 31 bits")
         self.radius, self.similarity = radius, similarity
         self.shares, self.total = shares, total
-        hashes = [(i, shingle_hashes(word_hashes(t))) for i, t in items]
-        hashes = [(i, h) for i, h in hashes if len(h)]
+        words = [(i, word_hashes(t)) for i, t in items]
+        self.short: dict[int, dict[int, list[int]]] = {}  # by number of words: items by their one shingle
+        for i, w in words:
+            if 0 < len(w) < SHINGLE:
+                self.short.setdefault(len(w), {}).setdefault(int(shingle_hashes(w, len(w))[0]), []).append(i)
+        hashes = [(i, shingle_hashes(w)) for i, w in words if len(w) >= SHINGLE]
         self.ids = [i for i, _ in hashes]
         self.bags = [Counter(h.tolist()) for _, h in hashes]
         self.sets = [np.unique(h) for _, h in hashes]
@@ -164,10 +179,12 @@ class Benchmark:
 
     def matches(self, text: str | None) -> list[tuple[int, int, int, int, float]]:
         """(item_id, start, n_words, distance, similarity): the best window of each item found."""
-        hashes = shingle_hashes(word_hashes(text))
+        words = word_hashes(text)
+        exact = self.short_matches(words)
+        hashes = shingle_hashes(words)
         hits = self.hits(hashes)
         if not len(hits):
-            return []
+            return exact
         best: dict[int, tuple] = {}
         sizes = set().union(*(self.holders[x] for x in set(hashes[hits].tolist())))
         # stretches of the text with windows that hold a hit, for the longest window
@@ -208,7 +225,17 @@ class Benchmark:
                     sim = self.compare(own[s : s + size], self.bags[item])
                     if sim >= self.similarity and (item not in best or sim > best[item][3]):
                         best[item] = (a + s, size + SHINGLE - 1, d, sim)
-        return [(self.ids[k], *v) for k, v in sorted(best.items())]
+        return exact + [(self.ids[k], *v) for k, v in sorted(best.items())]
+
+    def short_matches(self, words: np.ndarray) -> list[tuple[int, int, int, int, float]]:
+        """The first window with just the words of each item that has no shingle."""
+        out = []
+        for n, items in sorted(self.short.items()):
+            hashes = shingle_hashes(words, n)
+            at = np.flatnonzero(np.isin(hashes, np.fromiter(items, dtype=np.uint64, count=len(items))))
+            found, first = np.unique(hashes[at], return_index=True)
+            out += [(i, int(at[k]), n, 0, 1.0) for h, k in zip(found.tolist(), first.tolist(), strict=True) for i in items[h]]
+        return out
 
     def compare(self, window: np.ndarray, bag: Counter) -> float:
         """Twice the shared weight over the weight of both multisets."""

@@ -211,6 +211,19 @@ def test_decontamination(spark):
     assert decontaminate.decontaminate(table.limit(0), bench).count() == 0
 
 
+def test_decontamination_of_short_items_and_unspaced_scripts(spark):
+    """Exact copies of items without a five-word shingle, and of items in scripts without spaces."""
+    han, thai = "机器学习是人工智能的一个分支", "การเรียนรู้ของเครื่องเป็นสาขาหนึ่ง"
+    items = [(1, "Too short"), (2, "too SHORT!"), (3, han), (4, thai), (5, "你好"), (6, "one"), (7, None), (8, " ,")]
+    docs = [(1, "this is, too short, they said and so on", None, None, 0), (2, f"他说：“{han}。”然后离开了这里", None, None, 0)]
+    docs += [(3, f"ก่อน{thai}หลัง", None, None, 0), (4, "a 你好", None, None, 0), (5, "short too, toothless ones", None, None, 0), (6, "one", None, None, 0), (7, None, None, None, 0)]
+    table, bench = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.find_matches(table, bench).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(1, 1), (1, 2), (2, 3), (3, 4), (4, 5), (6, 6)]
+    assert {(r["start"], r["n_words"]) for r in found if r["doc_id"] == 1} == {(2, 2)}
+    assert {r["doc_id"] for r in decontaminate.decontaminate(table, bench).collect()} == {5, 7}
+
+
 def test_simhash_radius_finds_similar_windows():
     """Windows at a similarity of 0.8 or more lie within the radius."""
     rng = random.Random(2)
