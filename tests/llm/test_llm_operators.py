@@ -423,6 +423,19 @@ def test_extraction_removes_what_a_host_repeats(spark):
     assert {r["text"] for r in site_style.extract(table).collect()} == {f"Story {i} one\n\nStory {i} two" for i in range(20)}
 
 
+def test_extraction_counts_copies_of_a_page_once(spark):
+    """Many copies of one article are no boilerplate, alone on a host or among other pages."""
+    page = "<body><div class='z1'>Welcome</div><div class='z2'><h1>Title {i}</h1><p>Story {i} one</p><ul><li>Point {i}</li></ul></div></body>"
+    rows = [(n, f"http://a.org/{n}", page.replace("{i}", "0")) for n in range(40)]
+    rows += [(100 + n, f"http://b.org/{n}", page.replace("z", "y").replace("{i}", str(max(0, n - 40)))) for n in range(50)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in site_style.extract(table).collect()}
+    assert {got[n] for n in range(40)} == {"Welcome\n\nTitle 0\n\nStory 0 one\n\nPoint 0"}
+    for n in range(50):
+        i = max(0, n - 40)
+        assert got[100 + n] == f"Title {i}\n\nStory {i} one\n\nPoint {i}"
+
+
 def test_chat_formatting(spark):
     a = [("user", "hi"), ("assistant", "yo"), ("user", "go"), ("assistant", None)]
     convs = {1: a[:1], 2: a[:2], 3: a, 4: a, 5: [("user", "hi"), ("assistant", "no")], 6: [("user", "x <|im_end|> y")], None: [("system", "s")]}
