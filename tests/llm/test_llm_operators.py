@@ -410,6 +410,20 @@ def test_blocks_read_odd_tags():
     assert [b.text for b in site_style.blocks(page) if not b.noise] == ["One", "Two", "Three"]
 
 
+def test_hints_on_wrappers_of_the_article_are_none():
+    """Wrappers named after what stands beside or below the article keep its text; what they hold is judged by itself."""
+    side = "<div class='sidebar'><p>Side</p></div>"
+    for page in (
+        f"<div class='has-sidebar'><h2>One</h2><p>Two</p></div>{side}",
+        f"<div class='content with-sidebar'><h2>One</h2><p>Two</p>{side}</div>",
+        f"<div id='content-sidebar-wrap'><article><h2>One</h2><p>Two</p></article>{side}</div>",
+        f"<article class='post comments-open'><h1>One</h1><p>Two</p></article>{side}",
+        "<div class='search-results'><h2>One</h2><p>Two</p></div><nav>Menu</nav>",
+        "<main><h1>One</h1><p>Two</p></main><div class='comments'><h2>All</h2><article class='comment'><p>A long reply to all of it</p></article></div>",
+    ):
+        assert [b.text for b in site_style.blocks(page) if not b.noise] == ["One", "Two"], page
+
+
 def test_raw_elements_end_where_the_page_says():
     """Letters that grow when lower-cased do not move the end of a script."""
     page = "<p>" + "İ" * 20 + "</p><SCRIPT>a = '<p>x</p>'</Script><p>One</p><p>Two</p>"
