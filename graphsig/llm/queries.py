@@ -13,6 +13,7 @@ from graphsig.llm import (
     secret_scan,
     simhash_dedup,
     site_style,
+    token_alignment,
     url_filter,
 )
 
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_language_id": language_id.language_id,
     "op9_best_fit_packing": packing.best_fit_packing,
     "op10_simhash_near_dedup": simhash_dedup.simhash_near_dedup,
+    "op12_cross_tokenizer_alignment": token_alignment.cross_tokenizer_alignment,
     "pipeline": corpus_pipeline.run,
 }
 
