@@ -5,10 +5,12 @@ from __future__ import annotations
 import corpus_pipeline
 from graphsig.llm import (
     chat_format,
+    conversation_repair,
     decontaminate,
     language_id,
     line_dedup,
     packing,
+    personal_data,
     quality_rules,
     secret_scan,
     simhash_dedup,
@@ -28,7 +30,9 @@ QUERIES = {
     "op8_language_id": language_id.language_id,
     "op9_best_fit_packing": packing.best_fit_packing,
     "op10_simhash_near_dedup": simhash_dedup.simhash_near_dedup,
+    "op11_personal_data": personal_data.personal_data,
     "op12_cross_tokenizer_alignment": token_alignment.cross_tokenizer_alignment,
+    "op13_conversation_repair": conversation_repair.conversation_repair,
     "pipeline": corpus_pipeline.run,
 }
 
