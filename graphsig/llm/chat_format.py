@@ -10,7 +10,7 @@ conversation or first turn that a third of all logs share is one row on either s
 
 Edge cases: rows repeated as a whole are one turn; turns are in the order of turn (null first), role
 and text; a null role or text is empty; rows without a conv_id form one conversation; markers inside
-texts are removed, so a text cannot open a turn; an empty table gives an empty result; other columns
+texts and roles are broken by a space, so neither can open or close a turn; an empty table gives an empty result; other columns
 are ignored.
 """
 
@@ -45,7 +45,9 @@ def maximal(prefixes: DataFrame) -> DataFrame:
 
 
 def _clean(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit(OPEN), F.lit("")), F.lit(CLOSE), F.lit(""))
+    """Markers with a space inside. Nothing is taken out, so what stood around a marker cannot form another."""
+    broken = lambda marker: F.lit(marker.replace("<|", "< |"))
+    return F.replace(F.replace(text, F.lit(OPEN), broken(OPEN)), F.lit(CLOSE), broken(CLOSE))
 
 
 def render_turn(role: Column, text: Column) -> Column:
@@ -75,7 +77,7 @@ c AS (SELECT conv_id, count(*) AS n_turns, list({'role': role, 'text': text} ORD
 w AS (SELECT min(conv_id) AS conv_id, n_turns, count(*) AS copies, turns FROM c GROUP BY n_turns, turns),
 p AS (SELECT DISTINCT turns[1:k] AS turns FROM (SELECT turns, unnest(range(1, n_turns)) AS k FROM c WHERE n_turns > 1))
 SELECT w.conv_id, w.n_turns, w.copies,
-       list_reduce(list_transform(w.turns, lambda x: '<|im_start|>' || replace(replace(x.role, '<|im_start|>', ''), '<|im_end|>', '') || chr(10)
-         || replace(replace(x.text, '<|im_start|>', ''), '<|im_end|>', '') || '<|im_end|>' || chr(10)), lambda a, b: a || b) AS text
+       list_reduce(list_transform(w.turns, lambda x: '<|im_start|>' || replace(replace(x.role, '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') || chr(10)
+         || replace(replace(x.text, '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') || '<|im_end|>' || chr(10)), lambda a, b: a || b) AS text
 FROM w ANTI JOIN p ON w.turns = p.turns
 """

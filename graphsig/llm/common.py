@@ -35,11 +35,23 @@ def text_key(column: str = "text") -> Column:
     return F.xxhash64(F.col(column).cast("string"))
 
 
+def fresh(table: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores behind where the table has a column of that name (in any case)."""
+    taken, out = {c.lower() for c in table.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def keep_rows(docs: DataFrame, keys: DataFrame, how: str = "left_semi", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` whose (id, text) is in ``keys(__doc, __text)`` (or is not, with ``left_anti``).
 
     Joined on the uniform row identity, so one hot source or language never meets in one task.
     """
-    right = keys.select(F.col("__doc").alias("__k_doc"), F.col("__text").alias("__k_text"))
-    match = (doc_key(id_col) == F.col("__k_doc")) & (text_key(text_col) == F.col("__k_text"))
+    doc, text = fresh(docs, "__k_doc", "__k_text")
+    right = keys.select(F.col("__doc").alias(doc), F.col("__text").alias(text))
+    match = (doc_key(id_col) == F.col(doc)) & (text_key(text_col) == F.col(text))
     return docs.join(right, match, how)

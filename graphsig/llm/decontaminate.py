@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 24
 BLOCK_WORDS = 2_000_000
+#: Windows whose sums are held at once, and pairs of a window and an item compared at once.
+STRETCH, LOOKUPS = 1 << 13, 1 << 21
 #: Bits of the table of shingles that some item of the block holds, and of the table of how many
 #: items of the whole benchmark hold a shingle (a fixed size, shared by all blocks).
 TABLE_BITS, SHARE_BITS = 20, 22
@@ -113,9 +115,13 @@ def shingle_hashes(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
 
 
 def signs(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """(n, 64): a shingle's weight where its bit is one, else the weight less than nothing."""
-    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int64)
-    return (2 * bits - 1) * weights[:, None]
+    """(n, 64): a shingle's weight where its bit is one, else the weight less than nothing. Sums of a stretch
+    stay far below 32 bits."""
+    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32)
+    bits *= 2
+    bits -= 1
+    bits *= weights.astype(np.int32)[:, None]
+    return bits
 
 
 def to_fingerprints(sums: np.ndarray) -> np.ndarray:
@@ -191,12 +197,12 @@ class Benchmark:
         reach, starts = max(sizes), []
         for cut in np.split(hits, np.flatnonzero(np.diff(hits) >= 2 * reach) + 1):
             low, high = max(0, int(cut[0]) - reach + 1), min(len(hashes), int(cut[-1]) + reach)
-            for a in range(low, high, 1 << 15):  # bounded sums for a very long stretch
-                starts.append((a, min(a + (1 << 15), high), min(a + (1 << 15) + reach, high)))
+            for a in range(low, high, STRETCH):  # bounded sums for a very long stretch
+                starts.append((a, min(a + STRETCH, high), min(a + STRETCH + reach, high)))
         for a, until, b in starts:
             own = hashes[a:b]
             weights = self.weights(own)
-            sums = np.concatenate([np.zeros((1, 64), dtype=np.int64), np.cumsum(signs(own, weights), axis=0)])
+            sums = np.concatenate([np.zeros((1, 64), dtype=np.int32), np.cumsum(signs(own, weights), axis=0, dtype=np.int32)])
             total = np.r_[0, np.cumsum(weights)]
             shared: dict[int, np.ndarray] = {}
             for n in sizes:
@@ -206,17 +212,12 @@ class Benchmark:
                     continue
                 items, fps, index = self.groups[n]
                 prints = to_fingerprints(sums[at + size] - sums[at])
-                blocks = (prints[None, :] >> (np.arange(16, dtype=np.uint64) * np.uint64(4))[:, None]) & np.uint64(15)
-                found = np.zeros((len(at), len(items)), dtype=bool)
-                for block in range(16):
-                    found |= index[block, blocks[block]]
-                w, k = np.nonzero(found)
-                distance = np.bitwise_count(prints[w] ^ fps[k])
-                for item in np.unique(items[k[distance <= self.radius]]).tolist():
+                w, k, distance = self.near(prints, fps, index)
+                for item in np.unique(items[k]).tolist():
                     if item not in shared:
                         shared[item] = np.r_[0, np.cumsum(weights * np.isin(own, self.sets[item]))]
                 own_total, possible = total[at + size] - total[at], np.zeros(len(w), dtype=bool)
-                for j in np.flatnonzero(distance <= self.radius).tolist():
+                for j in range(len(w)):
                     s, item = at[w[j]], items[k[j]]
                     # no more weight can be shared than lies on the item's shingles
                     possible[j] = 2 * (shared[item][s + size] - shared[item][s]) >= self.similarity * (own_total[w[j]] + self.totals[item])
@@ -237,6 +238,23 @@ class Benchmark:
             out += [(i, int(at[k]), n, 0, 1.0) for h, k in zip(found.tolist(), first.tolist(), strict=True) for i in items[h]]
         return out
 
+    def near(self, prints: np.ndarray, fps: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(window, item, distance)`` of the fingerprints within the radius, found by their blocks. Some
+        windows at a time, so that what is held stays bounded however many items there are."""
+        out = []
+        step = max(1, LOOKUPS // max(1, len(fps)))
+        for low in range(0, len(prints), step):
+            some = prints[low : low + step]
+            blocks = (some[None, :] >> (np.arange(16, dtype=np.uint64) * np.uint64(4))[:, None]) & np.uint64(15)
+            found = np.zeros((len(some), len(fps)), dtype=bool)
+            for block in range(16):
+                found |= index[block, blocks[block]]
+            w, k = np.nonzero(found)
+            distance = np.bitwise_count(some[w] ^ fps[k])
+            close = distance <= self.radius
+            out.append((w[close] + low, k[close], distance[close]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
     def compare(self, window: np.ndarray, bag: Counter) -> float:
         """Twice the shared weight over the weight of both multisets."""
         own = Counter(window.tolist())

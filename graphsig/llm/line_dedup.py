@@ -22,13 +22,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphsig.llm.common import SPACE_CHARS, doc_key, lower_ascii, text_key, text_of
+from graphsig.llm.common import SPACE_CHARS, doc_key, fresh, lower_ascii, text_key, text_of
 from graphsig.session import cut_lineage
 
 MIN_CHARS = 10
@@ -91,65 +90,64 @@ def _rows(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
 def late_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``(doc, ref)`` of all lines to drop."""
     order = ["h1", "h2", "doc", "ref"]
-    ranged = line_rows(docs, min_chars).repartitionByRange(*order).sortWithinPartitions(*order)
+    # checkpointed first: a range partitioning reads its input twice, to sample it and to deal it out
+    ranged = cut_lineage(line_rows(docs, min_chars)).repartitionByRange(*order).sortWithinPartitions(*order)
     seen = cut_lineage(ranged.mapInArrow(scan_sorted, SCAN_SCHEMA))
     ends = seen.filter(F.col("kind") == END).groupBy("h1", "h2").agg(F.min("doc").alias("first"))
     settled = seen.filter(F.col("kind") == OPEN).join(F.broadcast(ends), ["h1", "h2"]).filter(F.col("doc") != F.col("first"))
     return seen.filter(F.col("kind") == DROP).select("doc", "ref").unionAll(settled.select("doc", "ref"))
 
 
-@F.pandas_udf(T.BinaryType())
-def pack_bitmap(n_lines: pd.Series, dropped: pd.Series) -> pd.Series:
-    """Bits of the lines to keep, low bit first, compressed; null where all lines stay."""
+def pack_bitmap(n_lines: int, dropped: np.ndarray) -> bytes:
+    """Bits of the lines to keep, low bit first, compressed."""
+    bits = np.ones(n_lines, dtype=np.uint8)
+    bits[dropped] = 0
+    return zlib.compress(np.packbits(bits, bitorder="little").tobytes())
 
-    def pack(n, gone):
-        if gone is None:
-            return None
-        bits = np.ones(n, dtype=np.uint8)
-        bits[np.asarray(gone, dtype=np.int64)] = 0
-        return zlib.compress(np.packbits(bits, bitorder="little").tobytes())
 
-    return pd.Series([pack(n, g) for n, g in zip(n_lines, dropped, strict=True)], dtype=object)
-
-
-@F.pandas_udf(T.StringType())
-def kept_lines(text: pd.Series, bitmap: pd.Series) -> pd.Series:
+def kept_lines(text: str, bitmap: bytes) -> str:
     """The text's lines whose bit is set, joined by line feeds."""
-
-    def keep(t, packed):
-        if packed is None:
-            return t
-        bits = np.unpackbits(np.frombuffer(zlib.decompress(packed), dtype=np.uint8), bitorder="little")
-        return "\n".join(line for line, bit in zip(t.split("\n"), bits.tolist(), strict=False) if bit)
-
-    return pd.Series([keep(t, b) for t, b in zip(text, bitmap, strict=True)], dtype=object)
+    bits = np.unpackbits(np.frombuffer(zlib.decompress(bitmap), dtype=np.uint8), bitorder="little")
+    return "\n".join(line for line, bit in zip(text.split("\n"), bits.tolist(), strict=False) if bit)
 
 
-def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with ``__n_lines``, ``__n_dropped`` and ``__keep``, a document's compressed bitmap
-    (null: every line stays). Only hashes and line numbers are sorted; texts move once, by id."""
+def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> tuple[DataFrame, list[str]]:
+    """``docs`` with the kept text in place of the text, and the names of three columns more: numbers of
+    lines and of dropped lines, and a document's compressed bitmap (null: every line stays). Only hashes
+    and line numbers are sorted; texts move once, by id, and go through one Python pass."""
     late = late_lines(docs, min_chars)
-    tag = F.shiftright("ref", 32)
-    gone = late.groupBy(F.col("doc").alias("__g_doc"), tag.alias("__g_tag")).agg(
-        F.collect_set(F.col("ref").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("__gone")
+    doc, tag, gone, *added = fresh(docs, "g_doc", "g_tag", "gone", "n_lines", "n_dropped", "keep")
+    listed = late.groupBy(F.col("doc").alias(doc), F.shiftright("ref", 32).alias(tag)).agg(
+        F.collect_set(F.col("ref").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias(gone)
     )
-    match = (doc_key() == F.col("__g_doc")) & (text_key().bitwiseAND(F.lit(0x7FFFFFFF)) == F.col("__g_tag"))
-    joined = docs.join(gone, match, "left").drop("__g_doc", "__g_tag")
-    sized = joined.withColumn("__n_lines", F.size(F.split(text_of(), "\n")))
-    keep = pack_bitmap(F.when(F.col("__gone").isNotNull(), F.col("__n_lines")).otherwise(F.lit(0)), F.col("__gone"))
-    return sized.withColumn("__n_dropped", F.coalesce(F.size("__gone"), F.lit(0))).withColumn("__n_dropped", F.greatest("__n_dropped", F.lit(0))).withColumn("__keep", keep).drop("__gone")
-
-
-def kept_text() -> Column:
-    """The text without dropped lines, from the columns of :func:`keep_bitmaps`; texts that keep all
-    lines do not travel to Python."""
-    cut = kept_lines(F.when(F.col("__keep").isNotNull(), text_of()), F.col("__keep"))
-    return F.when(F.col("__keep").isNull(), text_of()).otherwise(cut)
+    match = (doc_key() == F.col(doc)) & (text_key().bitwiseAND(F.lit(0x7FFFFFFF)) == F.col(tag))
+    joined = docs.withColumn("text", text_of()).join(listed, match, "left").drop(doc, tag)
+    names = docs.columns
+    at_text, at_gone = names.index("text"), len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, n_lines, n_dropped, bitmaps = [], [], [], []
+            for text, dropped in zip(batch.column(at_text), batch.column(at_gone), strict=True):
+                text = text.as_py()
+                n_lines.append(text.count("\n") + 1)
+                bitmaps.append(pack_bitmap(n_lines[-1], dropped.values.to_numpy()) if dropped.is_valid else None)
+                n_dropped.append(len(dropped) if dropped.is_valid else 0)
+                texts.append(kept_lines(text, bitmaps[-1]) if dropped.is_valid else text)
+            columns = list(batch.columns[:at_gone])
+            columns[at_text] = pa.array(texts, pa.string())
+            more = [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(bitmaps, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, *more], names=[*names, *added])
+
+    schema = T.StructType([f if f.name != "text" else T.StructField("text", T.StringType()) for f in docs.schema.fields])
+    for name, kind in zip(added, (T.LongType(), T.LongType(), T.BinaryType()), strict=True):
+        schema = schema.add(name, kind)
+    return joined.mapInArrow(run, schema), added
 
 
 def dedup_documents(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """Every document with its kept lines as text and its new length as ``n_chars``."""
-    cut = keep_bitmaps(docs, min_chars).withColumn("text", kept_text())
+    cut, _ = keep_bitmaps(docs, min_chars)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.char_length("text").cast("long"))
     return cut.select(*docs.columns)
@@ -157,13 +155,8 @@ def dedup_documents(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 def line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").select("doc_id", "text")
-    marked = keep_bitmaps(docs)
-    return marked.select(
-        "doc_id",
-        F.col("__n_lines").cast("long").alias("n_lines"),
-        F.col("__n_dropped").cast("long").alias("n_dropped"),
-        F.sha2(kept_text(), 256).alias("kept_sha256"),
-    )
+    marked, (n_lines, n_dropped, _) = keep_bitmaps(docs)
+    return marked.select("doc_id", F.col(n_lines).alias("n_lines"), F.col(n_dropped).alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
 ORACLE = r"""

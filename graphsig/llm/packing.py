@@ -30,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphsig.llm.common import text_key
+from graphsig.llm.common import fresh, text_key
 from graphsig.session import cut_lineage
 
 CAPACITY, END_ID = 2048, 0
 #: Words whose ids a Python worker keeps; at most twice as many are held.
 CACHE_WORDS = 200_000
+#: Characters of texts that are looked up together, and the most words of a part of a long text.
+TOGETHER, PART_WORDS = 1 << 18, 100_000
 #: Rows of one bucket, within which pieces are numbered by a sort.
 BUCKET_ROWS = 20_000
 RUN_LIMIT = 200_000
@@ -65,38 +67,38 @@ class WordIds:
 
     The tokenizer's rules never cross white space, so a text's ids are its words' ids in order. Words
     repeat, so their ids are cached; words of letters skip the tokenizer's pattern matching and go to
-    the same vocabulary and merges directly.
+    the same vocabulary and merges directly, by a faster coder of the same ids.
     """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
-        spec = json.loads(self.full.to_str())
-        spec["normalizer"] = None
-        spec["added_tokens"] = []
-        spec["pre_tokenizer"] = {"type": "WhitespaceSplit"}
-        self.letters = Tokenizer.from_str(json.dumps(spec))
         # bytes as the vocabulary spells them: printable ones as themselves, the others from 256 on
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        spelled = {b: chr(b) for b in printable}
-        spelled |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in spelled)}
-        self.spell = str.maketrans({chr(b): spelled[b] for b in range(256)})
-        del self.spell[32]  # between parts
+        spelled = {chr(b): b for b in printable}
+        spelled |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in printable)}
+        # ids are in the order of merges, so they serve as ranks; a zero byte stands for a word's end
+        ranks = {}
+        for entry, i in json.loads(self.full.to_str())["model"]["vocab"].items():
+            word = entry.removesuffix("</w>")
+            if all(c in spelled for c in word):
+                ranks[bytes(map(spelled.get, word)) + (b"" if word == entry else b"\0")] = i
+        self.letters = tiktoken.Encoding("words", pat_str="[^\0]+\0", mergeable_ranks=ranks, special_tokens={})
+        self.ends = np.zeros(1 + max(ranks.values()), dtype=bool)
+        self.ends[[i for word, i in ranks.items() if word.endswith(b"\0") and word != b"\0"]] = True
         self.words: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
 
     def _learn_letters(self, words: list[bytes]) -> None:
         for at in range(0, len(words), 8192):
             some = words[at : at + 8192]
-            spelled = b" ".join(some).decode().lower()  # words of texts that may hold a special token come as they are
-            if not spelled.isascii():
-                spelled = spelled.encode().decode("latin-1").translate(self.spell)
-            coded = self.letters.encode(spelled, add_special_tokens=False)
-            ids, numbers = np.array(coded.ids, dtype="<u4"), np.array(coded.word_ids)
-            cuts = (np.searchsorted(numbers, np.arange(len(some) + 1)) * 4).tolist()
+            # words of texts that may hold a special token come as they are
+            ids = np.array(self.letters.encode_ordinary((b"\0".join(some) + b"\0").decode().lower()), dtype="<u4")
+            ends = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
             raw = ids.tobytes()
-            self.words.update(zip(some, map(raw.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
+            self.words.update(zip(some, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=True))
 
     def learn(self, words: set[bytes]) -> None:
         """Looks words up that are not cached. A full cache becomes the one before; words found there
@@ -104,9 +106,7 @@ class WordIds:
         if len(self.words) > CACHE_WORDS:
             self.before, self.words = self.words, {}
         letters, other = [], []
-        for w in words:
-            if w in self.words:
-                continue
+        for w in words.difference(self.words):
             if w in self.before:
                 self.words[w] = self.before[w]
             elif w.isalpha() and w.islower() or _LETTERS.fullmatch(w.decode()):
@@ -119,17 +119,25 @@ class WordIds:
                 self.words[w] = np.array(coded.ids, dtype="<u4").tobytes()
 
     def rest(self) -> None:
-        """Forgets the words not used lately: the worker process may serve other stages next."""
+        """Forgets the words not used lately."""
         self.before = {}
 
-    def ids(self, text: str) -> bytes:
-        """In parts of some words, so that a very long text never fills the cache."""
-        out, words = [], split_words(text)
-        for at in range(0, len(words), 100_000):
-            some = words[at : at + 100_000]
-            self.learn(set(some))
-            out.append(b"".join(map(self.words.__getitem__, some)))
-        return b"".join(out)
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Of some texts at once, so that the tokenizer sees many new words in a call. A text of many words goes
+        in parts, so that a very long one never fills the cache."""
+        split = [split_words(t) for t in texts]
+        if sum(map(len, split)) <= PART_WORDS:
+            self.learn(set().union(*split))
+            return [b"".join(map(self.words.__getitem__, words)) for words in split]
+        out = []
+        for words in split:
+            parts = []
+            for at in range(0, len(words), PART_WORDS):
+                some = words[at : at + PART_WORDS]
+                self.learn(set(some))
+                parts.append(b"".join(map(self.words.__getitem__, some)))
+            out.append(b"".join(parts))
+        return out
 
 
 _LOADED: dict[str, WordIds] = {}
@@ -142,6 +150,18 @@ def word_ids(path: str) -> WordIds:
     return _LOADED[path]
 
 
+def ids_of(coder: WordIds, column: pa.Array) -> Iterator[bytes]:
+    """Ids of each text of the column, some texts at a time."""
+    some, size = [], 0
+    for text in column:
+        some.append(text.as_py() or "")
+        size += len(some[-1])
+        if size >= TOGETHER:
+            yield from coder.ids(some)
+            some, size = [], 0
+    yield from coder.ids(some)
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """``(doc_id, row, piece, start, length, ids_crc32)`` of each whole text; ``row`` is a hash of the
     text. ``tokenizer`` is the vocabulary file's path on the executors."""
@@ -150,15 +170,15 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         coder, end = word_ids(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
-            for doc, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                ids = coder.ids(text.as_py() or "") + end
+            for doc, row, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ids_of(coder, batch.column(2)), strict=True):
+                ids += end
                 for i, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc, row, i, at // 4, len(part) // 4, zlib.crc32(part)))
             columns = list(zip(*rows, strict=True)) or [()] * 6
             types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "row", "piece", "start", "length", "ids_crc32"])
-        coder.rest()
+        coder.rest()  # the worker process may serve other stages next
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("row"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, row long, piece int, start long, length long, ids_crc32 long")
@@ -234,30 +254,31 @@ def plan_runs(histogram: dict[int, int], limits: Limits = Limits()) -> list[tupl
 
 
 def pack(items: DataFrame, limits: Limits = Limits(), bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """``items`` (with a ``length``, no column of which may start with two underscores) with
-    ``sequence_id`` and ``offset``."""
-    spark, columns = items.sparkSession, items.columns
-    items = cut_lineage(items)
+    """``items`` (with a ``length``) with ``sequence_id`` and ``offset``; a column of one of these names
+    is replaced, others may have any name."""
+    spark = items.sparkSession
+    columns = [c for c in items.columns if c not in ("sequence_id", "offset")]
+    items = cut_lineage(items.select(*columns))
     counted = items.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r["length"]: r["n"] for r in counted.collect()}  # at most limits.tokens rows
-    buckets = 1 + max(histogram.values(), default=0) // bucket_rows
-    dealt = items.withColumn("__b", F.pmod(F.xxhash64(*columns), F.lit(buckets)))
-    sizes = dealt.groupBy("length", "__b").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("length").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cut_lineage(sizes.select("length", "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")))
-    inside = Window.partitionBy("length", "__b").orderBy(*columns)
-    numbered = dealt.withColumn("__i", F.row_number().over(inside) - 1).join(offsets, ["length", "__b"])
+    of, bucket, n, before, inside, rank, first, last, bin_, per, offset = fresh(items, "of", "bucket", "n", "before", "inside", "rank", "first", "last", "bin", "per", "start_at")
+    # each length has buckets of about as many rows
+    buckets = spark.createDataFrame([(k, 1 + v // bucket_rows) for k, v in histogram.items()], f"length long, {of} long")
+    dealt = items.join(F.broadcast(buckets), "length").withColumn(bucket, F.pmod(F.xxhash64(*columns), F.col(of))).drop(of)
+    sizes = dealt.groupBy("length", bucket).agg(F.count(F.lit(1)).alias(n))
+    upto = Window.partitionBy("length").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut_lineage(sizes.select("length", bucket, F.coalesce(F.sum(n).over(upto), F.lit(0)).alias(before)))
+    order = Window.partitionBy("length", bucket).orderBy(*columns)
+    numbered = dealt.withColumn(inside, F.row_number().over(order) - 1).join(offsets, ["length", bucket])
     runs = plan_runs(histogram, limits)
-    schema = "length long, __first long, __last long, __bin long, __per long, __offset long"
-    table = spark.createDataFrame(runs or [], schema)
+    table = spark.createDataFrame(runs or [], f"length long, {first} long, {last} long, {bin_} long, {per} long, {offset} long")
     table = F.broadcast(table) if len(runs) <= RUN_LIMIT else table
-    rank = F.col("__before") + F.col("__i")
-    placed = numbered.withColumn("__rank", rank).join(table, "length").filter((F.col("__rank") >= F.col("__first")) & (F.col("__rank") < F.col("__last")))
-    k = F.col("__rank") - F.col("__first")
+    placed = numbered.withColumn(rank, F.col(before) + F.col(inside)).join(table, "length").filter((F.col(rank) >= F.col(first)) & (F.col(rank) < F.col(last)))
+    k = F.col(rank) - F.col(first)
     return placed.select(
         *columns,
-        (F.col("__bin") + F.expr("(__rank - __first) div __per")).alias("sequence_id"),
-        (F.col("__offset") + F.pmod(k, F.col("__per")) * F.col("length")).cast("long").alias("offset"),
+        (F.col(bin_) + F.expr(f"({rank} - {first}) div {per}")).alias("sequence_id"),
+        (F.col(offset) + F.pmod(k, F.col(per)) * F.col("length")).cast("long").alias("offset"),
     )
 
 

@@ -1,23 +1,33 @@
 """Quality rules with adaptive fences from mergeable quantile sketches per language and source.
 
-Each document gets a few integer measures. The values of documents that pass the base rules go into
-log-linear histograms (values up to 15 exactly, above that the leading five binary digits, so a
+Each document gets a few integer measures, in hundredths. The values of documents that pass the base rules go
+into log-linear histograms (values up to 31 exactly, above that the leading five binary digits, so a
 relative error of at most 1/16). Such a histogram is a quantile sketch that merges by adding counts,
-whatever the partitioning. Sketches are kept per (language, source); a group with fewer than
-``min_docs`` documents takes the merged sketch of its language, and that of all documents after it.
+whatever the partitioning. Sketches are kept per (language, source), and merged for each language and for all documents.
 
-Fences are robust against up to half of a group being junk on one side: the upper fence is the
-median plus ``k`` times the distance from the tenth percentile to the median, the lower fence the
-median less ``k`` times the distance to the ninetieth, each at least a documented slack away.
+Nothing is fixed beforehand about where good values end: a fence comes from the tail of the group's own sketch.
+
+* Where the tail has a gap, the fence is its lower edge. Buckets with at least a thousandth of the group count;
+  a gap lies between two neighbours of them beyond the third quartile, and is wide if the upper is ``GAP``
+  times the lower (both ``GRAIN`` larger, so that small numbers make no gaps). Junk of up to a quarter of a
+  group, far from the rest, is cut off wherever it lies.
+* Elsewhere the fence goes as far beyond the 99th percentile as that lies beyond the 90th. The lower
+  fence mirrors this with the first and the tenth.
+
+The floor is one bucket: a fence lies at least a hundredth off. One symbol, one repeated line and one
+repeated window are no sign of junk, so measures count what is beyond the first. Small groups lean on
+their language and languages on all documents: a fence is the mean of the own one, weighted by the documents,
+and the coarser one, weighted by ``PRIOR_DOCS``. There is no size at which a group starts to count.
 
 Edge cases: null text counts as empty (no words, so it fails the base rules); null language or
-source form groups of their own; repeated rows are judged alike; an empty table gives an empty
-result; other columns are ignored.
+source form groups of their own; repeated rows are judged alike; equal values are judged alike; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,25 +38,23 @@ from graphsig.session import cut_lineage
 
 @dataclass(frozen=True)
 class Rule:
-    """One measure: an integer SQL expression over the base counts, the sides that are fenced, and
-    the least distance of a fence from the median."""
+    """One measure: an integer SQL expression over the base counts, and the sides that are fenced."""
 
     name: str
     value: str
-    slack: int
     upper: bool = True
     lower: bool = False
 
 
-#: Per thousand words, lines or words; mean word length in thousandths of a code point.
+#: In hundredths of words, lines or words; mean word length in tenths of a code point.
 RULES = (
-    Rule("symbols", "n_symbols * 1000 div n_words", 100),
-    Rule("word_length", "word_chars * 1000 div n_words", 1500, lower=True),
-    Rule("dup_lines", "n_dup_lines * 1000 div greatest(n_lines, 1)", 400),
-    Rule("repeats", "n_repeat_words * 1000 div n_words", 250),
+    Rule("symbols", "greatest(n_symbols - 1, 0) * 100 div n_words"),
+    Rule("word_length", "word_chars * 10 div n_words", lower=True),
+    Rule("dup_lines", "greatest(n_dup_lines - 1, 0) * 100 div greatest(n_lines, 1)"),
+    Rule("repeats", "greatest(n_repeat_words - 16, 0) * 100 div n_words"),
 )
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
-MIN_DOCS, SPREAD = 100, 4
+GAP, GRAIN, PRIOR_DOCS = 4, 10, 100
 
 
 def _after(array: Column, by: int) -> Column:
@@ -114,47 +122,50 @@ def merge(sketches: DataFrame, *keys: str) -> DataFrame:
     return sketches.groupBy(*keys, "rule", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fences(sketches: DataFrame, keys: tuple[str, ...], rules: tuple[Rule, ...] = RULES, spread: int = SPREAD) -> DataFrame:
-    """``(*keys, docs, lo, hi)``: maps from rule to fence, one row for each group."""
+def fences(sketches: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """``(*keys, rule, docs, lo, hi)`` from each group's sketch alone."""
     group = Window.partitionBy(*keys, "rule")
     ranked = sketches.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("total", F.sum("n").over(group))
+    heavy = ranked.filter("n * 1000 >= total")
+    after = F.lead("bucket").over(group.orderBy("bucket"))
+    gaps = heavy.withColumn("after", after).filter("upto * 4 >= total * 3").withColumn("ratio", F.expr(f"(after + {GRAIN}) * 1000 div (bucket + {GRAIN})"))
+    edge = gaps.groupBy(*keys, "rule").agg(F.max(F.when(F.col("ratio") >= 1000 * GAP, F.struct("ratio", (-F.col("bucket")).alias("edge")))).alias("gap"))
     quantile = lambda p: F.min(F.when(F.col("upto") * 100 >= F.col("total") * p, F.col("bucket")))
-    per_rule = ranked.groupBy(*keys, "rule").agg(
-        F.max("total").alias("docs"), quantile(10).alias("q10"), quantile(50).alias("q50"), quantile(90).alias("q90")
-    )
-    slack = F.element_at(F.create_map(*[F.lit(x) for r in rules for x in (r.name, r.slack)]), F.col("rule"))
-    above = F.create_map(*[F.lit(x) for r in rules for x in (r.name, r.upper)])
-    below = F.create_map(*[F.lit(x) for r in rules for x in (r.name, r.lower)])
-    hi = F.when(F.element_at(above, F.col("rule")), F.col("q50") + F.greatest(slack, spread * (F.col("q50") - F.col("q10"))))
-    lo = F.when(F.element_at(below, F.col("rule")), F.col("q50") - F.greatest(slack, spread * (F.col("q90") - F.col("q50"))))
-    entries = lambda c: F.map_from_entries(F.collect_list(F.struct(F.col("rule"), c)))
-    return per_rule.groupBy(*keys).agg(F.max("docs").alias("docs"), entries(lo).alias("lo"), entries(hi).alias("hi"))
-
-
-def group_fences(sketches: DataFrame, rules: tuple[Rule, ...] = RULES, min_docs: int = MIN_DOCS, spread: int = SPREAD) -> DataFrame:
-    """``(f_lang, f_source, lo, hi)``: each group's own fences, else its language's, else everyone's.
-    Languages and groups stay in the keys as structs, so nulls compare like values."""
-    own = fences(sketches, ("lang", "source"), rules, spread)
-    by_lang = fences(merge(sketches, "lang"), ("lang",), rules, spread).select(
-        F.struct("lang").alias("l"), F.col("docs").alias("l_docs"), F.col("lo").alias("l_lo"), F.col("hi").alias("l_hi")
-    )
-    joined = own.withColumn("l", F.struct("lang")).join(by_lang, "l")
-    # one row: the fences of all documents
-    overall = fences(merge(sketches.withColumn("all", F.lit(0)), "all"), ("all",), rules, spread).first()
-    fixed = {c: F.create_map(*[F.lit(x) for k, v in (overall[c] if overall else {}).items() if v is not None for x in (k, v)]) for c in ("lo", "hi")}
-    fixed = {c: m.cast("map<string,bigint>") for c, m in fixed.items()}
-    pick = lambda c: F.when(F.col("docs") >= min_docs, F.col(c)).when(F.col("l_docs") >= min_docs, F.col(f"l_{c}")).otherwise(fixed[c])
-    return joined.select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), pick("lo").alias("lo"), pick("hi").alias("hi"))
-
-
-def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_docs: int = MIN_DOCS, spread: int = SPREAD) -> DataFrame:
+    tails = ranked.groupBy(*keys, "rule").agg(F.max("total").alias("docs"), *(quantile(p).alias(f"q{p}") for p in (1, 10, 90, 99)))
+    same = [F.col(f"t.{k}").eqNullSafe(F.col(f"e.{k}")) for k in (*keys, "rule")]
+    both = tails.alias("t").join(edge.alias("e"), reduce(lambda x, y: x & y, same), "left")
+    hi = F.coalesce(-F.col("gap.edge"), 2 * F.col("q99") - F.col("q90")) + 1
+    lo = F.greatest(2 * F.col("q1") - F.col("q10") - 1, F.lit(0))
+    return both.select(*(F.col(f"t.{k}") for k in (*keys, "rule")), "docs", lo.alias("lo"), hi.alias("hi"))
+
+
+def group_fences(sketches: DataFrame, prior_docs: int = PRIOR_DOCS) -> DataFrame:
+    """``(f_lang, f_source, lo, hi)``: each group's fences by rule, drawn towards its language's, which are
+    drawn towards everyone's. A handful of rows for each group."""
+    own = fences(sketches, ("lang", "source")).alias("o")
+    by_lang = fences(merge(sketches, "lang"), ("lang",)).alias("l")
+    overall = fences(merge(sketches), ()).alias("a")
+
+    def drawn(own: str, side: str, towards: str) -> Column:
+        return F.expr(f"({own}.docs * {own}.{side} + {prior_docs} * {towards}) div ({own}.docs + {prior_docs})")
+
+    joined = own.join(by_lang, F.col("o.lang").eqNullSafe(F.col("l.lang")) & (F.col("o.rule") == F.col("l.rule")))
+    joined = joined.join(overall, F.col("o.rule") == F.col("a.rule"))
+    joined = joined.withColumn("up_lo", drawn("l", "lo", "a.lo")).withColumn("up_hi", drawn("l", "hi", "a.hi"))
+    sides = [drawn("o", side, f"up_{side}").alias(side) for side in ("lo", "hi")]
+    rows = joined.select(F.col("o.lang").alias("f_lang"), F.col("o.source").alias("f_source"), F.col("o.rule").alias("rule"), *sides)
+    entries = lambda c: F.map_from_entries(F.collect_list(F.struct("rule", c))).alias(c)
+    return rows.groupBy("f_lang", "f_source").agg(entries("lo"), entries("hi"))
+
+
+def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, prior_docs: int = PRIOR_DOCS) -> DataFrame:
     """Every row's counts with ``base_failed``, ``broken`` (names of rules outside the fences) and ``kept``.
 
     The counts (a few numbers for each row) are checkpointed once; sketches, fences and the join all
     read them. A group without fences holds only documents that failed the base rules.
     """
     counts = cut_lineage(text_counts(docs))
-    bounds = cut_lineage(group_fences(sketch(counts, rules), rules, min_docs, spread))
+    bounds = cut_lineage(group_fences(sketch(counts, rules), prior_docs))
     same = F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source"))
     joined = counts.join(bounds, same, "left")
     # a document without words has base_failed and no measures
@@ -204,8 +215,8 @@ c AS (
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c),
 m AS (
   SELECT doc_id, lang, source, unnest(['symbols', 'word_length', 'dup_lines', 'repeats']) AS rule,
-         unnest([n_symbols * 1000 // n_words, word_chars * 1000 // n_words,
-                 n_dup_lines * 1000 // greatest(n_lines, 1), n_repeat_words * 1000 // n_words]) AS v
+         unnest([greatest(n_symbols - 1, 0) * 100 // n_words, word_chars * 10 // n_words,
+                 greatest(n_dup_lines - 1, 0) * 100 // greatest(n_lines, 1), greatest(n_repeat_words - 16, 0) * 100 // n_words]) AS v
   FROM b WHERE NOT base_failed),
 h AS (
   SELECT lang, source, rule, v - v % (1::BIGINT << greatest(length(bin(v)) - 5, 0)) AS bucket, count(*) AS n
@@ -217,23 +228,32 @@ lev AS (
 r AS (
   SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rule ORDER BY bucket) AS upto,
          sum(n) OVER (PARTITION BY level, lang, source, rule) AS total FROM lev),
+g AS (
+  SELECT level, lang, source, rule, bucket, upto, total,
+         (lead(bucket) OVER (PARTITION BY level, lang, source, rule ORDER BY bucket) + 10) * 1000 // (bucket + 10) AS ratio
+  FROM r WHERE n * 1000 >= total),
+e AS (
+  SELECT DISTINCT level, lang, source, rule,
+         first_value(bucket) OVER (PARTITION BY level, lang, source, rule ORDER BY ratio DESC, bucket) AS edge
+  FROM g WHERE upto * 4 >= total * 3 AND ratio >= 4000),
 q AS (
-  SELECT level, lang, source, rule, max(total) AS docs,
-         min(bucket) FILTER (upto * 100 >= total * 10) AS q10, min(bucket) FILTER (upto * 100 >= total * 50) AS q50,
-         min(bucket) FILTER (upto * 100 >= total * 90) AS q90
+  SELECT level, lang, source, rule, max(total)::BIGINT AS docs,
+         min(bucket) FILTER (upto * 100 >= total) AS q1, min(bucket) FILTER (upto * 100 >= total * 10) AS q10,
+         min(bucket) FILTER (upto * 100 >= total * 90) AS q90, min(bucket) FILTER (upto * 100 >= total * 99) AS q99
   FROM r GROUP BY level, lang, source, rule),
 f AS (
-  SELECT level, lang, source, rule, docs,
-         q50 + greatest(CASE rule WHEN 'symbols' THEN 100 WHEN 'word_length' THEN 1500 WHEN 'dup_lines' THEN 400 ELSE 250 END, 4 * (q50 - q10)) AS hi,
-         CASE WHEN rule = 'word_length' THEN q50 - greatest(1500, 4 * (q90 - q50)) END AS lo
-  FROM q),
+  SELECT q.level, q.lang, q.source, q.rule, docs, coalesce(edge, 2 * q99 - q90) + 1 AS hi, greatest(2 * q1 - q10 - 1, 0) AS lo
+  FROM q LEFT JOIN e ON e.level = q.level AND e.rule = q.rule AND e.lang IS NOT DISTINCT FROM q.lang AND e.source IS NOT DISTINCT FROM q.source),
+u AS (
+  SELECT f1.lang, f1.rule, (f1.docs * f1.hi + 100 * f0.hi) // (f1.docs + 100) AS hi, (f1.docs * f1.lo + 100 * f0.lo) // (f1.docs + 100) AS lo
+  FROM f f1 JOIN f f0 ON f1.level = 1 AND f0.level = 0 AND f0.rule = f1.rule),
+w AS (
+  SELECT f.lang, f.source, f.rule, (docs * f.hi + 100 * u.hi) // (docs + 100) AS hi, (docs * f.lo + 100 * u.lo) // (docs + 100) AS lo
+  FROM f JOIN u ON f.level = 2 AND u.rule = f.rule AND u.lang IS NOT DISTINCT FROM f.lang),
 bad AS (
   SELECT DISTINCT m.doc_id FROM m
-  JOIN f f2 ON f2.level = 2 AND f2.lang IS NOT DISTINCT FROM m.lang AND f2.source IS NOT DISTINCT FROM m.source AND f2.rule = m.rule
-  JOIN f f1 ON f1.level = 1 AND f1.lang IS NOT DISTINCT FROM m.lang AND f1.rule = m.rule
-  JOIN f f0 ON f0.level = 0 AND f0.rule = m.rule
-  WHERE m.v > CASE WHEN f2.docs >= 100 THEN f2.hi WHEN f1.docs >= 100 THEN f1.hi ELSE f0.hi END
-     OR m.v < CASE WHEN f2.docs >= 100 THEN f2.lo WHEN f1.docs >= 100 THEN f1.lo ELSE f0.lo END)
+  JOIN w ON w.lang IS NOT DISTINCT FROM m.lang AND w.source IS NOT DISTINCT FROM m.source AND w.rule = m.rule
+  WHERE m.v > w.hi OR m.rule = 'word_length' AND m.v < w.lo)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept
 FROM b

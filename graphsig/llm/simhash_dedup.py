@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphsig.llm.common import doc_key, text_key
+from graphsig.llm.common import doc_key, fresh, text_key
 from graphsig.operators.components import connected_components
 from graphsig.session import cut_lineage
 
@@ -262,13 +262,14 @@ def dedup_documents(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS)
     """One document of each component: the one with the smallest doc_id, and one row of it."""
     kept = components(docs, size, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     one = kept.groupBy(doc_key().alias("__doc"), "__group").agg(F.min("__text").alias("__text"))
-    one = cut_lineage(one.select(F.col("__doc").alias("__d_doc"), F.col("__text").alias("__d_text")))
-    match = (doc_key() == F.col("__d_doc")) & (text_key() == F.col("__d_text"))
+    doc, text, copy = fresh(docs, "d_doc", "d_text", "copy")
+    one = cut_lineage(one.select(F.col("__doc").alias(doc), F.col("__text").alias(text)))
+    match = (doc_key() == F.col(doc)) & (text_key() == F.col(text))
     left = docs.join(one, match, "left_semi")
     # only a table with repeated rows needs a second look at its texts
     repeated = docs.groupBy(doc_key().alias("d"), text_key().alias("t")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
     if repeated:
-        left = left.withColumn("__t", text_key()).dropDuplicates(["doc_id", "__t"]).drop("__t")
+        left = left.withColumn(copy, text_key()).dropDuplicates(["doc_id", copy]).drop(copy)
     return left
 
 

@@ -66,13 +66,19 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def ngrams(text: Column, mark: str, sizes: tuple[int, ...] = SIZES) -> Column:
+    """All n-grams of the text between ``^`` and ``$``; the whole where it is shorter. The text is split into
+    characters, and each width is the one before with the character behind it, so time is linear in the text."""
     bounded = F.concat(F.lit("^"), text, F.lit("$"))
-
-    def of(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.char_length(bounded) - (n - 1), F.lit(1)))
-        return F.transform(starts, lambda i: F.concat(F.lit(mark), F.substring(bounded, i, F.lit(n))))
-
-    return reduce(F.concat, [of(n) for n in sizes])
+    chars = F.split(bounded, "")
+    after = lambda by: F.slice(chars, by + 1, F.greatest(F.size(chars), F.lit(1)))
+    grams, out = chars, []
+    for n in range(2, max(sizes) + 1):
+        grams = F.zip_with(grams, after(n - 1), lambda a, b: F.concat(a, b))
+        if n in sizes:
+            full = F.filter(grams, lambda g: g.isNotNull())
+            own = F.when(F.char_length(bounded) < n, F.array(bounded)).otherwise(full)
+            out.append(F.transform(own, lambda g: F.concat(F.lit(mark), g)))
+    return reduce(F.concat, out)
 
 
 def features(urls: DataFrame) -> DataFrame:
@@ -119,13 +125,14 @@ ADDED = ("host", "path", "rule", "verdict", "score")
 
 def judge(urls: DataFrame, model: LogisticRegressionModel, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
     """Adds ``host, path, rule, verdict, score`` to ``urls``; score is the chance to be unwanted."""
-    scored = model.transform(features(urls))
+    rows = urls.select(F.struct(*(c for c in urls.columns if c.lower() not in ADDED)).alias("row"), F.col("url"))
+    scored = model.transform(features(rows))
     found = longest_rule(F.col("__host"), F.col("__path"), rules)
     score = F.when(F.col("__host") == "", F.lit(0.0)).otherwise(vector_to_array("__p")[1])
     marked = scored.withColumn("__rule", found).withColumn("__score", score)
     own = F.when(F.col("__score") >= threshold, F.lit("block")).otherwise(F.lit("allow"))
     return marked.select(
-        *[c for c in urls.columns if c.lower() not in ADDED],
+        "row.*",
         F.col("__host").alias("host"),
         F.col("__path").alias("path"),
         F.col("__rule.rule").alias("rule"),
