@@ -77,13 +77,14 @@ def random_walk_visits(
 PPR_SCALE = 10**12
 
 
-PPR_TOL, PPR_LIMIT = 1e-6, 100
+#: A source's masses (1.0 in all) may still move by this much in the last round, whatever the graph's size.
+PPR_TOL = 1e-6
 
 
-def pagerank_rounds(n: int, alpha: tuple[int, int] = (85, 100), tol: float = PPR_TOL, limit: int = PPR_LIMIT) -> int:
-    """Rounds after which the reference's stop holds for every source of a graph of ``n`` nodes: the
-    masses' changes sum to less than ``n * tol``. A round shrinks that sum by ``a`` at least and the
-    first is at most ``2a``, so round ``t`` changes at most ``2 a^t``, whatever the graph."""
+def pagerank_rounds(alpha: tuple[int, int] = (85, 100), tol: float = PPR_TOL, n: int = 1, limit: int = 1000) -> int:
+    """Rounds after which every source's masses move by less than ``n * tol``. A round shrinks the moves by
+    ``a`` at least and the first moves at most ``2a``, so round ``t`` moves at most ``2 a^t``. With
+    ``n`` nodes given it is the stop of common graph libraries, which grows laxer with the graph."""
     for t in range(1, limit + 1):
         if 2 * (alpha[0] / alpha[1]) ** t < n * tol:
             return t
@@ -100,10 +101,10 @@ def personalized_pagerank(
 ) -> DataFrame:
     """``(source, node, mass)`` — personalized PageRank by power iteration, mass in fixed point.
 
-    Without ``iterations`` it runs to the reference's tolerance (:func:`pagerank_rounds`). A given number
-    caps the rounds; with ``tol`` the loop also stops once no source's mass moved by
-    more than ``tol`` (L1, as a fraction of 1.0) in the last round — one outer join and one scalar
-    aggregate per round.
+    The loop stops once no source's masses moved by more than ``tol`` in all (as a fraction of 1.0), an
+    absolute measure that does not depend on the graph's size; :func:`pagerank_rounds` bounds the rounds. A node's
+    mass before the round comes along its self-loop, so measuring takes no join. ``iterations`` without
+    ``tol`` runs just that many rounds, with it at most that many.
 
     ``mass_{t+1}(s, v) = (1-a)·[v = s] + a · Σ_{u ∋ v} mass_t(s, u) / deg(u)`` over closed
     neighbourhoods (every node keeps a self-loop, so nothing dangles). Each contribution is an integer
@@ -136,26 +137,18 @@ def personalized_pagerank(
         src = ids.select(F.col("id").alias("node"))
     mass = src.select(F.col("node").alias("source"), F.col("node"), F.lit(scale).cast("long").alias("mass"))
     teleport_mass = scale * (den - num) // den
-    rounds = pagerank_rounds(max(1, ids.count()), alpha) if iterations is None else iterations
-    for _ in range(rounds):
-        mass_before = mass
+    if iterations is None and tol is None:
+        tol = PPR_TOL
+    for _ in range(pagerank_rounds(alpha, tol) if iterations is None else iterations):
         spread = mass.join(trans.hint("shuffle_hash"), "node").select(
-            "source", F.col("nb").alias("node"), F.expr(f"(mass * {num}) div ({den} * deg)").alias("mass")
+            "source", F.col("nb").alias("node"), F.expr(f"(mass * {num}) div ({den} * deg)").alias("mass"), F.when(F.col("node") == F.col("nb"), F.col("mass")).alias("before")
         )
         # (s, s) always receives spread through its self-loop, so teleport is added after the aggregate
-        summed = spread.groupBy("source", "node").agg(F.sum("mass").cast("long").alias("mass"))
-        mass = summed.withColumn("mass", F.col("mass") + F.when(F.col("node") == F.col("source"), F.lit(teleport_mass)).otherwise(F.lit(0)))
-        previous, mass = mass_before, cut_lineage(mass)
+        summed = spread.groupBy("source", "node").agg(F.sum("mass").cast("long").alias("mass"), F.coalesce(F.max("before"), F.lit(0)).alias("before"))
+        mass = cut_lineage(summed.withColumn("mass", F.col("mass") + F.when(F.col("node") == F.col("source"), F.lit(teleport_mass)).otherwise(F.lit(0))))
         if tol is not None:
-            change = (
-                previous.withColumnRenamed("mass", "m0")
-                .join(mass.withColumnRenamed("mass", "m1"), ["source", "node"], "full_outer")
-                .groupBy("source")
-                .agg(F.sum(F.abs(F.coalesce("m1", F.lit(0)) - F.coalesce("m0", F.lit(0)))).alias("d"))
-                .agg(F.max("d"))
-                .first()[0]
-            )
-            if (change or 0) <= tol * scale:
+            moved = mass.groupBy("source").agg(F.sum(F.abs(F.col("mass") - F.col("before"))).alias("d")).agg(F.max("d")).first()[0]
+            if (moved or 0) <= tol * scale:
                 break
     trans.unpersist()
     sa = ids.select(F.col("id").alias("source"), F.col("node").alias("source_node"))
@@ -183,8 +176,8 @@ def pagerank_bit_sums(
     A round is one join of edges with ``f + 1`` numbers for each node and one aggregate: work grows
     with the edges, no table of (source, node) masses exists, and none of the mass is cut. The last
     number is the total mass (a bit that is always one), floored like the others. ``node_table(node)``
-    adds nodes without edges. Without ``iterations`` it runs to the reference's tolerance
-    (:func:`pagerank_rounds`); bits are sums of masses, so they change no more than these.
+    adds nodes without edges. Without ``iterations`` it runs until no number moves by more than
+    ``PPR_TOL`` of a node's mass, at most :func:`pagerank_rounds` rounds, whatever the graph's size.
     """
     num, den = alpha
     if not 0 < num < den:
@@ -206,12 +199,15 @@ def pagerank_bit_sums(
         return hashed.withColumn("__own", F.expr(f"concat({bits_of_words_sql('__own', f)}, array(1L))"))
 
     state = own_bits(every).select(F.col("node").alias("nb"), F.transform("__own", lambda b: b * F.lit(scale)).alias("v"))
-    rounds = pagerank_rounds(max(1, every.count()), alpha) if iterations is None else iterations
-    for _ in range(rounds):
+    for _ in range(pagerank_rounds(alpha) if iterations is None else iterations):
         sums = [F.sum(F.col("v").getItem(k)).alias(f"s{k}") for k in range(f + 1)]
-        summed = closed.join(state, "nb").groupBy("node").agg(F.count(F.lit(1)).alias("deg"), *sums)
-        packed = own_bits(summed.select("node", "deg", F.array(*[f"s{k}" for k in range(f + 1)]).alias("s")))
+        before = F.max(F.when(F.col("nb") == F.col("node"), F.col("v"))).alias("before")  # along the self-loop
+        summed = closed.join(state.select("nb", "v"), "nb").groupBy("node").agg(F.count(F.lit(1)).alias("deg"), before, *sums)
+        packed = own_bits(summed.select("node", "deg", "before", F.array(*[f"s{k}" for k in range(f + 1)]).alias("s")))
         step = F.expr(f"zip_with(s, __own, (x, b) -> (x div deg) * {num} div {den} + b * {teleport})")
-        state = cut_lineage(packed.select(F.col("node").alias("nb"), step.alias("v")))
+        moved = F.expr("array_max(zip_with(v, before, (x, y) -> abs(x - y)))")
+        state = cut_lineage(packed.select(F.col("node").alias("nb"), step.alias("v"), "before").select("nb", "v", moved.alias("moved")))
+        if iterations is None and (state.agg(F.max("moved")).first()[0] or 0) <= PPR_TOL * scale:
+            break
     closed.unpersist()
     return state.select(F.col("nb").alias("node"), F.element_at("v", f + 1).alias("cnt"), F.slice("v", 1, f).alias("sums"))

@@ -201,23 +201,24 @@ def walk_visits_sql(edges: str, length: int, walks: int, seed: int, bucket_size:
     )
 
 
-def ppr_stop_sql(nodes: str, num: int, den: int) -> str:
-    """``(rounds)``: the first round that moves less than 1e-6 a node, by the bound ``2 a^t`` (at most 100 rounds)."""
-    return f"SELECT min(t) AS rounds FROM range(1, 101) r(t) WHERE 2 * pow({num} / {den}, t) < (SELECT count(DISTINCT node) FROM {nodes}) * 1e-6"
+#: The bound of rounds and the move that stops them, as in ``operators.walks``.
+PPR_ROUNDS, PPR_TOL = 90, 1e-6
 
 
 def ppr_sql(edges: str, sources: str, num: int = 85, den: int = 100, scale: int = 10**12) -> str:
-    """``(source, node, mass)`` for the nodes that ``sources`` selects; a round replaces all masses."""
+    """``(source, node, mass)`` for the nodes that ``sources`` selects; a round replaces all masses, until no
+    source's masses move by more than ``PPR_TOL`` in all."""
     teleport = scale * (den - num) // den
     parts = [
         f"nbr AS MATERIALIZED ({closed_neighbours(edges)})",
         "deg AS (SELECT node, count(*) AS deg FROM nbr GROUP BY node)",
         "trans AS MATERIALIZED (SELECT nbr.node, nbr.nb, deg.deg FROM nbr JOIN deg ON deg.node = nbr.node)",
         f"nd AS MATERIALIZED ({sources})",
-        f"stop AS MATERIALIZED ({ppr_stop_sql('nbr', num, den)})",
-        f"m(source, node, t, mass) USING KEY (source, node) AS (SELECT node, node, CAST(0 AS BIGINT), CAST({scale} AS BIGINT) FROM nd UNION "
-        f"SELECT m.source, x.nb, m.t + 1, CAST(sum((m.mass * {num}) // ({den} * x.deg)) + CASE WHEN m.source = x.nb THEN {teleport} ELSE 0 END AS BIGINT) "
-        "FROM m JOIN trans x ON x.node = m.node WHERE m.t < (SELECT rounds FROM stop) GROUP BY m.source, x.nb, m.t)",
+        f"m(source, node, t, mass, moved) USING KEY (source, node) AS (SELECT node, node, CAST(0 AS BIGINT), CAST({scale} AS BIGINT), CAST({scale} AS BIGINT) FROM nd UNION "
+        f"SELECT source, node, t, mass, CAST(abs(mass - before) AS BIGINT) FROM (SELECT m.source, x.nb AS node, m.t + 1 AS t, "
+        f"CAST(sum((m.mass * {num}) // ({den} * x.deg)) + CASE WHEN m.source = x.nb THEN {teleport} ELSE 0 END AS BIGINT) AS mass, coalesce(max(m.mass) FILTER (x.nb = m.node), 0) AS before "
+        f"FROM m JOIN trans x ON x.node = m.node WHERE m.t < {PPR_ROUNDS} "
+        f"AND (SELECT max(d) FROM (SELECT sum(moved) AS d FROM m GROUP BY source) s) > {int(PPR_TOL * scale)} GROUP BY m.source, x.nb, m.t) r)",
     ]
     return "WITH RECURSIVE " + ", ".join(parts) + " SELECT source, node, mass FROM m"
 
@@ -228,14 +229,16 @@ def ppr_sums_sql(edges: str, f: int, num: int = 85, den: int = 100, scale: int =
     names = [f"s{k}" for k in range(f)] + ["cnt"]
     bits = ", ".join(f"{bit_expr('__m', f, k)} AS s{k}" for k in range(f))
     sums = ", ".join(f"sum(m.{x}) AS {x}" for x in names)
-    step = ", ".join(f"CAST((a.{x} // a.deg) * {num} // {den} + o.{x} * {teleport} AS BIGINT)" for x in names)
+    new = [f"CAST((a.{x} // a.deg) * {num} // {den} + o.{x} * {teleport} AS BIGINT)" for x in names]
+    step = ", ".join(f"{e} AS {x}" for e, x in zip(new, names, strict=True))
+    moved = "greatest(" + ", ".join(f"abs(n.{x} - b.{x})" for x in names) + ")"
     parts = [
         f"nbr AS MATERIALIZED ({closed_neighbours(edges)})",
         f"own AS MATERIALIZED (SELECT node, {bits}, 1 AS cnt FROM (SELECT node, md5(node) AS __m FROM ({nodes_sql(edges)}) n) h)",
-        f"stop AS MATERIALIZED ({ppr_stop_sql('nbr', num, den)})",
-        f"m(node, t, {', '.join(names)}) USING KEY (node) AS (SELECT node, CAST(0 AS BIGINT), " + ", ".join(f"CAST({x} AS BIGINT) * {scale}" for x in names) + " FROM own UNION "
-        f"SELECT a.node, a.t + 1, {step} FROM (SELECT n.node, m.t, count(*) AS deg, {sums} FROM nbr n JOIN m ON m.node = n.nb "
-        "WHERE m.t < (SELECT rounds FROM stop) GROUP BY n.node, m.t) a JOIN own o ON o.node = a.node)",
+        f"m(node, t, moved, {', '.join(names)}) USING KEY (node) AS (SELECT node, CAST(0 AS BIGINT), CAST({scale} AS BIGINT), " + ", ".join(f"CAST({x} AS BIGINT) * {scale}" for x in names) + " FROM own UNION "
+        f"SELECT n.node, n.t, CAST({moved} AS BIGINT), {', '.join(f'n.{x}' for x in names)} FROM ("
+        f"SELECT a.node, a.t + 1 AS t, {step} FROM (SELECT n.node, m.t, count(*) AS deg, {sums} FROM nbr n JOIN m ON m.node = n.nb "
+        f"WHERE m.t < {PPR_ROUNDS} AND (SELECT max(moved) FROM m) > {int(PPR_TOL * scale)} GROUP BY n.node, m.t) a JOIN own o ON o.node = a.node) n JOIN m b ON b.node = n.node)",
     ]
     return "WITH RECURSIVE " + ", ".join(parts) + f" SELECT node, {', '.join(names)} FROM m"
 
