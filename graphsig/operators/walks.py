@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +39,31 @@ def random_walk_visits(
     ``md5(seed|source|w|s) mod deg + 1``, a pure function of its coordinates, so results do
     not depend on partitioning. The join key ``(node, idx)`` spreads walkers that meet at a hub.
     """
+    steps = walk_steps(edges, length, walks, seed, sources, bucket_size, adjacency)
+    return steps.groupBy("source", "visited").agg(F.count(F.lit(1)).cast("long").alias("cnt"))
+
+
+def shared_walk_visits(edges: DataFrame, settings: list[tuple[int, int]], seed: int = 42, sources: DataFrame | None = None, bucket_size: int = 1_000_000) -> DataFrame:
+    """G2 for several ``(length, walks)`` at once: ``(source, visited, c0, c1, ...)`` with a count for each.
+
+    A step depends on (seed, source, walk, step) alone, so shorter and fewer walks are parts of the longest
+    and most: every setting counts the rows with ``step < length`` and ``walk < walks`` of one walk table.
+    """
+    steps = walk_steps(edges, max(n for n, _ in settings), max(w for _, w in settings), seed, sources, bucket_size)
+    counts = [F.count_if((F.col("step") < n) & (F.col("walk") < w)).alias(f"c{i}") for i, (n, w) in enumerate(settings)]
+    return steps.groupBy("source", "visited").agg(*counts)
+
+
+def walk_steps(
+    edges: DataFrame,
+    length: int,
+    walks: int,
+    seed: int = 42,
+    sources: DataFrame | None = None,
+    bucket_size: int = 1_000_000,
+    adjacency: DataFrame | None = None,
+) -> DataFrame:
+    """``(source, visited, walk, step)``: every step of every walk of :func:`random_walk_visits`."""
     if length < 1:
         raise ValueError("walk length must be at least 1")
     if walks < 1:
@@ -64,13 +91,10 @@ def random_walk_visits(
             "source", F.coalesce("nb", "cur").alias("cur"), F.coalesce("nb_deg", "deg").alias("deg"), "walk"
         )
         walkers = cut_lineage(moved)
-        steps.append(walkers.select("source", F.col("cur").alias("visited")))
-    visits = steps[0]
-    for s in steps[1:]:
-        visits = visits.unionAll(s)
-    # the visits read only the checkpointed walker tables, so the adjacency can be released now
+        steps.append(walkers.select("source", F.col("cur").alias("visited"), "walk", F.lit(step).alias("step")))
+    # the steps read only the checkpointed walker tables, so the adjacency can be released now
     adj.unpersist()
-    return visits.groupBy("source", "visited").agg(F.count(F.lit(1)).cast("long").alias("cnt"))
+    return reduce(DataFrame.unionAll, steps)
 
 
 # Fixed-point scale of PageRank mass: 1.0 == 10**12 (integer arithmetic keeps sums exact).

@@ -65,6 +65,11 @@ class SimHashSketch:
 
     # -- fitting --------------------------------------------------------------------------
 
+    def fit_visits(self, edges: DataFrame, visits: DataFrame) -> SketchState:
+        """Walk mode with ``(source, visited, cnt)`` counted elsewhere, such as by several models at once."""
+        visits = visits.filter("cnt > 0")
+        return SketchState("walk", self.dimensions, edges, cut_lineage(self._walk_sums(visits)), visits=visits)
+
     def _walk_sums(self, visits: DataFrame) -> DataFrame:
         feats = visits.select(F.col("source").alias("node"), F.col("visited").alias("feature"), F.col("cnt").alias("w"))
         return bit_sums(feats, "node", self.dimensions, weight="w")

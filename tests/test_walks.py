@@ -124,3 +124,27 @@ def test_ppr_sums_stop_at_an_absolute_error(spark):
     pairs = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "a"), ("a", "e")] + [(f"x{i}", f"x{i + 1}") for i in range(12)]
     got, far = ({r["node"]: [*r["sums"], r["cnt"]] for r in W.pagerank_bit_sums(edges_df(spark, pairs), 32, (1, 2), iterations=n).collect()} for n in (None, 40))
     assert max(abs(x - y) for v in far for x, y in zip(got[v], far[v], strict=True)) < 1e-5 * W.PPR_SUM_SCALE
+
+
+def test_shared_walks_equal_single_ones(spark):
+    """One walk table of the longest walks and most walkers holds every setting's visits."""
+    pairs = [("hub", f"l{i}") for i in range(12)] + [("l1", "l2"), ("l2", "x"), ("x", "y")]
+    settings = [(2, 5), (4, 5), (3, 9), (1, 2)]
+    lone = spark.createDataFrame([("lone",), ("x",), ("hub",)], "node string")
+    shared = W.shared_walk_visits(edges_df(spark, pairs), settings, 7, sources=lone).collect()
+    for i, (length, walks) in enumerate(settings):
+        single = W.random_walk_visits(edges_df(spark, pairs), length, walks, 7, sources=lone).collect()
+        assert {(r["source"], r["visited"]): r[f"c{i}"] for r in shared if r[f"c{i}"]} == {(r["source"], r["visited"]): r["cnt"] for r in single}
+
+
+def test_sweep_shares_walks(spark):
+    """Precision of every model is what the model alone gets."""
+    from graphsig.plans import evaluation as P
+    from graphsig.plans.models import SimHashSketch
+
+    pairs = [(f"u{i}", f"p{(i * k) % 11}") for i in range(14) for k in (1, 2, 5)]
+    models = [SimHashSketch(32), SimHashSketch(32, random_walk_length=2, number_of_walks=6), SimHashSketch(32, random_walk_length=3, number_of_walks=4)]
+    rows = P.sweep(edges_df(spark, pairs), [(m.name, m) for m in models], "toy", keep_connected=False).collect()
+    split = P.make_split(edges_df(spark, pairs), seed=42, keep_connected=False, negatives=False)
+    for row, m in zip(rows, models, strict=True):
+        assert row["precision"] == P.precision_at_100(split, m)[0].first()["precision"]
