@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,38 +61,40 @@ def walk_steps(
     bucket_size: int = 1_000_000,
     adjacency: DataFrame | None = None,
 ) -> DataFrame:
-    """``(source, visited, walk, step)``: every step of every walk of :func:`random_walk_visits`."""
+    """``(source, visited, walk, step)``: every step of every walk of :func:`random_walk_visits`.
+
+    A walker is one row that carries the nodes it came through, so a walk is ``length`` shuffled joins in
+    one plan with no table between them. The finished walkers are dealt by source before their steps
+    are taken apart: counts for each source then need no shuffle of their own, and a source has just
+    ``walks`` rows, however many neighbours.
+    """
     if length < 1:
         raise ValueError("walk length must be at least 1")
     if walks < 1:
         raise ValueError("number of walks must be at least 1")
-    e = cut_lineage(canonical_edges(edges))  # read by several stages: computed once
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if adjacency is None:
+        e = cut_lineage(canonical_edges(edges))  # read by several stages: computed once
         adjacency = adjacency_index(e, closed=True, bucket_size=bucket_size)
-    # hash-partitioned on the step join key and persisted (a cached plan keeps its partitioning, so
-    # every step shuffles only the walkers); it is static and cheap to rebuild from the edge table
-    adj = adjacency.repartition(parts, "node", "idx").persist(StorageLevel.MEMORY_AND_DISK)
+    adj = cut_lineage(adjacency)
     deg = adj.select(F.col("nb").alias("node"), F.col("nb_deg").alias("deg")).distinct()
-    src = sources.select(F.col("node")) if sources is not None else nodes(e)
-    walkers = (
-        # a source without edges has itself as its only neighbour
-        src.join(deg, "node", "left")
-        .select(F.col("node").alias("source"), F.col("node").alias("cur"), F.coalesce("deg", F.lit(1)).cast("long").alias("deg"))
-        .withColumn("walk", F.explode(F.sequence(F.lit(0), F.lit(walks - 1))))
-    )
-    steps = []
+    starts = deg if sources is None else sources.select("node").join(deg, "node", "left")
+    # a source without edges has itself as its only neighbour; a fixed number of partitions, because the few
+    # and small source rows become ``walks`` rows each
+    starts = starts.select(F.col("node").alias("source"), F.col("node").alias("cur"), F.coalesce("deg", F.lit(1)).cast("long").alias("deg")).repartition(parts, "source")
+    walkers = starts.withColumn("walk", F.explode(F.sequence(F.lit(0), F.lit(walks - 1))))
+    path: list[str] = []
     for step in range(length):
         # non-null by construction, so no inferred null filter re-evaluates the hash
         chosen = walkers.withColumn("idx", F.coalesce(F.pmod(step_hash(seed, step), F.col("deg")) + F.lit(1), F.lit(0)))
-        moved = chosen.join(adj.hint("shuffle_hash"), (chosen.cur == adj.node) & (chosen.idx == adj.idx), "left").select(
-            "source", F.coalesce("nb", "cur").alias("cur"), F.coalesce("nb_deg", "deg").alias("deg"), "walk"
-        )
-        walkers = cut_lineage(moved)
-        steps.append(walkers.select("source", F.col("cur").alias("visited"), "walk", F.lit(step).alias("step")))
-    # the steps read only the checkpointed walker tables, so the adjacency can be released now
-    adj.unpersist()
-    return reduce(DataFrame.unionAll, steps)
+        moved = chosen.join(adj.hint("shuffle_hash"), (chosen.cur == adj.node) & (chosen.idx == adj.idx), "left")
+        now = F.coalesce("nb", "cur")
+        last = step == length - 1
+        ahead = [] if last else [now.alias("cur"), F.coalesce("nb_deg", "deg").alias("deg")]
+        walkers = moved.select("source", "walk", *path, now.alias(f"v{step}"), *ahead)
+        path.append(f"v{step}")
+    dealt = walkers.repartition(parts, "source")
+    return dealt.select("source", "walk", F.posexplode(F.array(*path)).alias("step", "visited")).select("source", "visited", "walk", "step")
 
 
 # Fixed-point scale of PageRank mass: 1.0 == 10**12 (integer arithmetic keeps sums exact).

@@ -107,7 +107,7 @@ class SimHashSketch:
             if not self.refresh_endpoints:
                 added = added.join(state.sums.select("node"), "node", "left_anti")
             stale = cut_lineage(U.stale_nodes(state.visits, fresh, self.number_of_walks).unionByName(added).distinct())
-            fresh_visits = random_walk_visits(edges_now, self.random_walk_length, self.number_of_walks, self.seed, sources=stale)
+            fresh_visits = cut_lineage(random_walk_visits(edges_now, self.random_walk_length, self.number_of_walks, self.seed, sources=stale))
             visits = cut_lineage(U.replace_rows(state.visits, fresh_visits, stale, "source"))
             fresh_sums = self._walk_sums(fresh_visits)
             sums = cut_lineage(U.replace_rows(state.sums, fresh_sums, stale, "node"))
