@@ -298,7 +298,7 @@ WALK_SQL = with_edges(CP, Q.walk_visits_sql(E, WALK_LENGTH, WALKS, SEED))
 
 @register("g2_random_walk_visits", WALK_SQL)
 def g2_random_walk_visits(spark, sf_dir):
-    """Visit counts of 100 walks of length 3 from every node (hash-chosen steps)."""
+    """Visit counts of 500 walks of length 3 from every node (hash-chosen steps)."""
     return W.random_walk_visits(cp_edges(spark, sf_dir), length=WALK_LENGTH, walks=WALKS, seed=SEED)
 
 
@@ -545,6 +545,36 @@ def m4_top_pairs_dot_vectors(spark, sf_dir):
 # ---------------------------------------------------------------- splits (hash order, exact counts)
 
 
+def _labels(name: str, links: str) -> str:
+    """CTEs: the smallest node of the component of each end of ``links(src, dst)``; only nodes whose label fell pass it on."""
+    return (
+        f"{name}_s AS MATERIALIZED (SELECT src AS u, dst AS v FROM ({links}) e UNION ALL SELECT dst, src FROM ({links}) e), "
+        f"{name}(node, component) USING KEY (node) AS (SELECT DISTINCT u, u FROM {name}_s UNION SELECT s.v, min({name}.component) FROM {name} "
+        f"JOIN {name}_s s ON s.u = {name}.node JOIN recurring.{name} AS k ON k.node = s.v WHERE {name}.component < k.component GROUP BY s.v)"
+    )
+
+
+#: Each round at least halves the components that are not whole, so these do for 2**24 nodes.
+FOREST_ROUNDS = 24
+
+
+def forest_sql(edges: str, seed: int = SEED, rounds: int = FOREST_ROUNDS) -> str:
+    """Each component's lightest edge out of it is in the forest; then the joined components are one."""
+    parts = [
+        f"e AS MATERIALIZED (SELECT src, dst, md5('{seed}|' || src || '|' || dst) AS w FROM ({edges}) p)",
+        "m0 AS MATERIALIZED (SELECT src AS node, src AS comp FROM e UNION SELECT dst, dst FROM e)",
+    ]
+    for t in range(rounds):
+        parts += [
+            f"x{t} AS MATERIALIZED (SELECT e.w, a.comp AS src, b.comp AS dst FROM e JOIN m{t} a ON a.node = e.src JOIN m{t} b ON b.node = e.dst WHERE a.comp <> b.comp)",
+            f"k{t} AS MATERIALIZED (SELECT w, src, dst FROM x{t} WHERE w IN (SELECT min(w) FROM (SELECT src AS comp, w FROM x{t} UNION ALL SELECT dst, w FROM x{t}) y GROUP BY comp))",
+            _labels(f"c{t}", f"SELECT src, dst FROM k{t}"),
+            f"m{t + 1} AS MATERIALIZED (SELECT m.node, coalesce(c.component, m.comp) AS comp FROM m{t} m LEFT JOIN c{t} c ON c.node = m.comp)",
+        ]
+    chosen = " UNION ALL ".join(f"SELECT w FROM k{t}" for t in range(rounds))
+    return f"WITH RECURSIVE {', '.join(parts)} SELECT src, dst FROM e WHERE w IN ({chosen})"
+
+
 SPLIT_CTES = ", ".join(
     [
         f"e AS ({CP})",
@@ -561,8 +591,27 @@ SPLIT_CTES = ", ".join(
 )
 
 
-def split_sql(body: str, extra: str = "") -> str:
-    return f"WITH {SPLIT_CTES}{', ' + extra if extra else ''} SELECT * FROM ({body}) q"
+def connected_ctes(name: str, edges: str, p: float, seed: int) -> str:
+    """CTE ``name``: the edges held out of ``edges`` (which names no ``e``) beside its spanning forest."""
+    forest = f"{name}_forest AS MATERIALIZED (SELECT * FROM ({forest_sql(edges, seed)}) f)"
+    return f"{forest}, {name} AS MATERIALIZED ({Q.holdout_connected_sql(edges, f'SELECT src, dst FROM {name}_forest', p, seed)})"
+
+
+ALL_EDGES, TEST_EDGES = "SELECT src, dst FROM all_edges", "SELECT src, dst FROM g_test"
+CONNECTED_CTES = ", ".join(
+    [
+        f"all_edges AS MATERIALIZED ({CP})",
+        connected_ctes("test_pos", ALL_EDGES, HOLDOUT_P, SEED),
+        f"g_test AS MATERIALIZED ({Q.minus_sql(ALL_EDGES, 'SELECT src, dst FROM test_pos')})",
+        connected_ctes("train_pos", TEST_EDGES, HOLDOUT_P, SEED + 100),
+        f"g_train AS MATERIALIZED ({Q.minus_sql(TEST_EDGES, 'SELECT src, dst FROM train_pos')})",
+        f"nd AS ({Q.nodes_sql(ALL_EDGES)})",
+    ]
+)
+
+
+def split_sql(body: str, extra: str = "", ctes: str = SPLIT_CTES) -> str:
+    return f"WITH {ctes}{', ' + extra if extra else ''} SELECT * FROM ({body}) q"
 
 
 _SPLIT_CACHE: dict[tuple[str, str], object] = {}
@@ -585,7 +634,7 @@ def h1_holdout_edges(spark, sf_dir):
     return held
 
 
-@register("h1_holdout_connected")
+@register("h1_holdout_connected", f"WITH all_edges AS MATERIALIZED ({CP}), {connected_ctes('held', ALL_EDGES, HOLDOUT_P, SEED)} SELECT src, dst FROM held")
 def h1_holdout_connected(spark, sf_dir):
     """H1 with keep_connected: spanning-forest edges are never held out."""
     held, _ = H.holdout_edges(cp_edges(spark, sf_dir), HOLDOUT_P, SEED, keep_connected=True)
@@ -626,7 +675,7 @@ def h4_random_split(spark, sf_dir):
     return H.random_split(rows, 0.75, SEED, key_cols=["src", "dst", "label"])
 
 
-@register("h5_stream_split")
+@register("h5_stream_split", f"WITH all_edges AS MATERIALIZED ({CP}), {connected_ctes('held', ALL_EDGES, 0.5, SEED)} SELECT src, dst FROM held")
 def h5_stream_split(spark, sf_dir):
     """H5: base graph (50%) and stream edges, spanning forest kept in the base."""
     _, stream = H.stream_split(cp_edges(spark, sf_dir), 0.5, SEED, keep_connected=True)
@@ -655,7 +704,10 @@ def r2_precision_at_100(spark, sf_dir):
     return L.precision_at_hits(vec, sp.graph, sp.g_train, 100, f=F_EXPERIMENT)
 
 
-@register("r3_precision_at_100_connected")
+@register(
+    "r3_precision_at_100_connected",
+    split_sql(Q.precision_sql("SELECT * FROM ranked", ALL_EDGES, "SELECT src, dst FROM g_train"), f"{TW}, {RANKED}", CONNECTED_CTES),
+)
 def r3_precision_at_100_connected(spark, sf_dir):
     """R3 with the reference's keep_connected splits (spanning forest kept in every split)."""
     from graphsig.plans.evaluation import precision_at_100
@@ -804,15 +856,6 @@ def bought_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cp_edges(spark, sf_dir).unionByName(G.canonical_edges(pairs.select("src", "dst")))
 
 
-def _labels(name: str, links: str) -> str:
-    """CTEs: the smallest node of the component of each end of ``links(src, dst)``; only nodes whose label fell pass it on."""
-    return (
-        f"{name}_s AS MATERIALIZED (SELECT src AS u, dst AS v FROM ({links}) e UNION ALL SELECT dst, src FROM ({links}) e), "
-        f"{name}(node, component) USING KEY (node) AS (SELECT DISTINCT u, u FROM {name}_s UNION SELECT s.v, min({name}.component) FROM {name} "
-        f"JOIN {name}_s s ON s.u = {name}.node JOIN recurring.{name} AS k ON k.node = s.v WHERE {name}.component < k.component GROUP BY s.v)"
-    )
-
-
 def components_sql(edges: str) -> str:
     return f"WITH RECURSIVE e AS MATERIALIZED ({edges}), {_labels('c', E)} SELECT node, component FROM c"
 
@@ -823,27 +866,6 @@ def g8_connected_components(spark, sf_dir):
     return C.connected_components(bought_edges(spark, sf_dir))
 
 
-#: Each round at least halves the components that are not whole, so these do for 2**24 nodes.
-FOREST_ROUNDS = 24
-
-
-def forest_sql(edges: str, seed: int = SEED, rounds: int = FOREST_ROUNDS) -> str:
-    """Each component's lightest edge out of it is in the forest; then the joined components are one."""
-    parts = [
-        f"e AS MATERIALIZED (SELECT src, dst, md5('{seed}|' || src || '|' || dst) AS w FROM ({edges}) p)",
-        "m0 AS MATERIALIZED (SELECT src AS node, src AS comp FROM e UNION SELECT dst, dst FROM e)",
-    ]
-    for t in range(rounds):
-        parts += [
-            f"x{t} AS MATERIALIZED (SELECT e.w, a.comp AS src, b.comp AS dst FROM e JOIN m{t} a ON a.node = e.src JOIN m{t} b ON b.node = e.dst WHERE a.comp <> b.comp)",
-            f"k{t} AS MATERIALIZED (SELECT w, src, dst FROM x{t} WHERE w IN (SELECT min(w) FROM (SELECT src AS comp, w FROM x{t} UNION ALL SELECT dst, w FROM x{t}) y GROUP BY comp))",
-            _labels(f"c{t}", f"SELECT src, dst FROM k{t}"),
-            f"m{t + 1} AS MATERIALIZED (SELECT m.node, coalesce(c.component, m.comp) AS comp FROM m{t} m LEFT JOIN c{t} c ON c.node = m.comp)",
-        ]
-    chosen = " UNION ALL ".join(f"SELECT w FROM k{t}" for t in range(rounds))
-    return f"WITH RECURSIVE {', '.join(parts)} SELECT src, dst FROM e WHERE w IN ({chosen})"
-
-
 @register("g7_spanning_forest", forest_sql(BOUGHT))
 def g7_spanning_forest(spark, sf_dir):
     """Minimum spanning forest of the purchase graphs under md5 edge weights."""

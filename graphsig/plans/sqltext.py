@@ -133,6 +133,15 @@ def holdout_sql(edges: str, p: float, seed: int) -> str:
     )
 
 
+def holdout_connected_sql(edges: str, forest: str, p: float, seed: int) -> str:
+    """First floor(p*|E|) edges outside ``forest`` by (md5 order, src, dst)."""
+    return (
+        f"SELECT src, dst FROM (SELECT src, dst, row_number() OVER (ORDER BY h, src, dst) AS rn FROM "
+        f"(SELECT src, dst, {hash_order_sql(seed, 'src', 'dst')} AS h FROM ({minus_sql(edges, forest)}) e) x) y "
+        f"WHERE rn <= (SELECT CAST(floor(CAST({p!r} AS DOUBLE) * count(*)) AS BIGINT) FROM ({edges}) e)"
+    )
+
+
 def minus_sql(edges: str, removed: str) -> str:
     return f"SELECT src, dst FROM ({edges}) e WHERE NOT EXISTS (SELECT 1 FROM ({removed}) r WHERE r.src = e.src AND r.dst = e.dst)"
 
