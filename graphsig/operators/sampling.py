@@ -128,7 +128,14 @@ def random_split(df: DataFrame, train_size: float = 0.75, seed: int = 42, key_co
     return indexed.withColumn("part", F.when(F.col("__pos") < n_train, "train").otherwise("selection")).drop("__h", "__pos")
 
 
-def stream_split(edges: DataFrame, base: float = 0.5, seed: int = 42, keep_connected: bool = True) -> tuple[DataFrame, DataFrame]:
-    """H5: ``(base_graph, stream_edges)`` with ``1 - base`` of the edges held out as the stream."""
-    held, rest = holdout_edges(edges, 1 - base, seed, keep_connected)
+def stream_split(
+    edges: DataFrame, base: float = 0.5, seed: int = 42, keep_connected: bool = True, negatives: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """H5: ``(base_graph, stream_edges)`` with ``1 - base`` of the edges held out as the stream. With
+    ``negatives`` the stream has a ``label`` and as many non-edges of the whole graph (label 0) as edges."""
+    e = canonical_edges(edges)
+    held, rest = holdout_edges(e, 1 - base, seed, keep_connected)
+    if negatives:
+        fake = negative_edges(e, held.count(), seed + 1, node_table=nodes(e))
+        held = labelled_split(held, fake, "stream").drop("split")
     return cut_lineage(rest), held

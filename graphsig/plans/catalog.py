@@ -682,6 +682,18 @@ def h5_stream_split(spark, sf_dir):
     return stream
 
 
+@register(
+    "h5_stream_labelled",
+    f"WITH all_edges AS MATERIALIZED ({CP}), {connected_ctes('held', ALL_EDGES, 0.5, SEED)}, "
+    f"fake AS ({Q.negatives_sql(ALL_EDGES, 'SELECT count(*) FROM held', SEED + 1)}) "
+    "SELECT src, dst, 1 AS label FROM held UNION ALL SELECT src, dst, 0 AS label FROM fake",
+)
+def h5_stream_labelled(spark, sf_dir):
+    """H5 with negatives: the stream's edges (label 1) and as many non-edges of the graph (label 0)."""
+    _, stream = H.stream_split(cp_edges(spark, sf_dir), 0.5, SEED, keep_connected=True, negatives=True)
+    return stream
+
+
 # ---------------------------------------------------------------- precision, AUC, features
 
 TRAIN_WORDS = f"SELECT node, {Q.sig_words_sql(F_EXPERIMENT)} FROM ({Q.bit_sums_sql(feats('SELECT src, dst FROM g_train', 'SELECT node FROM nd'), F_EXPERIMENT)}) s"
@@ -1018,7 +1030,8 @@ def t5_stream_sketch(spark, sf_dir):
 @register("t1_stream_replay")
 def t1_stream_replay(spark, sf_dir):
     """Replay the stream half of the customer–part graph in batches of 1,000 edges into the
-    neighbour model, with precision@100 (32 bits) after every batch, the last partial one included."""
+    neighbour model, with precision@100 (32 bits) of the base graph (batch -1) and after every batch,
+    the last partial one included."""
     from graphsig.plans.models import SimHashSketch
     from graphsig.session import scratch_path
     from graphsig.streaming.edges import run_edge_stream, write_stream_files

@@ -96,6 +96,27 @@ def test_edge_stream_replay(spark):
     assert sum(r["added"] for r in metrics) == len(all_edges) - len({tuple(sorted(p)) for p in base if p[0] != p[1]})
 
 
+def test_replay_evaluates_the_base_graph_first(spark):
+    """Batch -1 has the base graph's own metric, is written once, and a stream of one-edge files has a row for each."""
+    from graphsig.streaming.edges import run_edge_stream, write_stream_files
+
+    base, stream = [("a", "b"), ("b", "c")], [("c", "d"), ("a", "c")]
+    folder = tempfile.mkdtemp(prefix="graphsig-initial-")
+    sdf = edges_df(spark, stream).withColumn("ts", F.lit(None).cast("timestamp"))
+    write_stream_files(sdf, os.path.join(folder, "in"), 1, ["src", "dst"])
+    seen = []
+
+    def evaluate(state, edges):
+        seen.append(state.embedding().count())
+        return float(edges.count())
+
+    for _ in range(2):  # the second run finds nothing new
+        res = run_edge_stream(spark, os.path.join(folder, "in"), os.path.join(folder, "state"), SimHashSketch(32), edges_df(spark, base), evaluate)
+    rows = spark.read.parquet(res.metrics).orderBy("batch_id").collect()
+    assert [(r["batch_id"], r["added"], r["edge_count"], r["precision"]) for r in rows] == [(-1, 0, 2, 2.0), (0, 1, 3, 3.0), (1, 1, 4, 4.0)]
+    assert seen[0] == 3 and len(seen) == 3
+
+
 def test_replay_goes_on_after_a_restart(spark):
     """Stopping between batches loses no edge, and the metrics equal those of one run."""
     from graphsig.streaming.edges import run_edge_stream, write_stream_files
