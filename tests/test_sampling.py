@@ -44,3 +44,15 @@ def test_nested_split_and_random_split(spark):
     rs = H.random_split(train.select("src", "dst", "label"), 0.75, 1)
     n = train.count()
     assert rs.filter("part = 'train'").count() == int(0.75 * n)
+
+
+def test_stream_split_with_negatives(spark):
+    """Half of the edges as label 1, as many pairs that are no edges of the whole graph as label 0; no edge is lost."""
+    rng = random.Random(5)
+    whole = {tuple(sorted(rng.sample([f"n{i}" for i in range(40)], 2))) for _ in range(60)}
+    base, stream = H.stream_split(edges_df(spark, sorted(whole)), 0.5, 3, keep_connected=False, negatives=True)
+    rows = [(r["src"], r["dst"], r["label"]) for r in stream.collect()]
+    held = {(a, b) for a, b, x in rows if x == 1}
+    fake = [(a, b) for a, b, x in rows if x == 0]
+    assert held | {tuple(r) for r in base.select("src", "dst").collect()} == whole
+    assert len(held) == len(whole) // 2 == len(fake) == len(set(fake)) and not set(fake) & whole
