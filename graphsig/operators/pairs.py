@@ -1,11 +1,12 @@
 """Pair similarity: scores for given pairs, exact global top-k over all pairs, banded candidates.
 
 All-pairs ranking is quadratic by definition. ``top_pairs`` never materialises the pairs: nodes are
-hashed into blocks of about ``block_size``; each node is sent to the block-pairs it belongs to (B rows
-per node), and one ``applyInPandas`` task per block-pair scores its two blocks with numpy and emits
-only its own top ``k`` (ties broken by (a, b)). A final ``orderBy(...).limit(k)`` merges them
-(``TakeOrderedAndProject``: per-partition top-k, then one k-row merge). Tasks hold at most
-2 * block_size vectors whatever the skew of the graph, and the output is bounded by k per block-pair.
+hashed into blocks, each node is sent to the block-pairs it belongs to (B rows per node), and one
+``applyInPandas`` task per block-pair scores its two blocks with numpy, a strip of about 2^18 cells at a
+time. A floor under the k-th similarity, read off the blocks that meet themselves, leaves each task
+with few pairs to emit; sorted by ones, norm or angle to a pivot, rows that no bound lets reach the
+floor are not compared. A final ``orderBy(...).limit(k)`` merges (``TakeOrderedAndProject``). Tasks hold
+two blocks, one strip and at most a few k pairs whatever the skew of the graph.
 """
 
 from __future__ import annotations
@@ -84,102 +85,165 @@ def _matrix(values: pd.DataFrame | pd.Series, kind: str, f: int | None) -> np.nd
 
 def _scores(x: np.ndarray, y: np.ndarray, kind: str, measure: str, f: int | None) -> np.ndarray:
     if kind == "bits":
-        if measure == "hamming":
-            diff = np.zeros((len(x), len(y)), dtype=np.int32)
-            for w in range(x.shape[1]):
-                diff += np.bitwise_count(x[:, w, None] ^ y[None, :, w]).astype(np.int32)
-            return f - diff
-        common = np.zeros((len(x), len(y)), dtype=np.int32)
+        small = np.uint8 if f <= 255 else np.int32  # a strip of bytes stays in the processor's cache
+        count = np.zeros((len(x), len(y)), dtype=small)
         for w in range(x.shape[1]):
-            common += np.bitwise_count(x[:, w, None] & y[None, :, w]).astype(np.int32)
+            mixed = x[:, w, None] ^ y[None, :, w] if measure == "hamming" else x[:, w, None] & y[None, :, w]
+            count += np.bitwise_count(mixed)
+        if measure == "hamming":
+            return small(f) - count
         if measure == "dot_product":
-            return common
-        ox = sum(np.bitwise_count(x[:, w]).astype(np.float64) for w in range(x.shape[1]))
-        oy = sum(np.bitwise_count(y[:, w]).astype(np.float64) for w in range(y.shape[1]))
-        denom = np.sqrt(ox[:, None] * oy[None, :])
+            return count
+        denom = np.sqrt(_ones(x)[:, None] * _ones(y)[None, :])
         with np.errstate(divide="ignore", invalid="ignore"):
-            out = np.where(denom == 0, 0.0, common / denom)
+            out = np.where(denom == 0, 0.0, count / denom)
         return np.round(out, 6)
     if measure == "hamming":
-        return (x[:, None, :] == y[None, :, :]).sum(axis=2).astype(np.int32)
+        count = np.zeros((len(x), len(y)), dtype=np.int32)
+        for d in range(x.shape[1]):
+            count += x[:, d, None] == y[None, :, d]
+        return count
     xf, yf = x.astype(np.float64), y.astype(np.float64)
     d = xf @ yf.T
     if measure == "dot_product":
         return np.round(d, 6) if kind == "float" else d.astype(np.int64)
-    nx_ = np.sqrt((xf * xf).sum(axis=1))
-    ny_ = np.sqrt((yf * yf).sum(axis=1))
-    denom = nx_[:, None] * ny_[None, :]
+    denom = _norms(xf)[:, None] * _norms(yf)[None, :]
     with np.errstate(divide="ignore", invalid="ignore"):
         out = np.where(denom == 0, 0.0, d / denom)
     return np.round(out, 6)
 
 
-def _block_pairs(pdf: pd.DataFrame, kind: str, measure: str, f: int | None):
-    """Scores of all pairs of one block-pair: (keys a, keys b, index arrays, scores)."""
+def _ones(x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x).sum(axis=1, dtype=np.float64)
+
+
+def _norms(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x * x).sum(axis=1))
+
+
+#: Room for rounding in the bounds: scores are rounded to 6 decimals, angles suffer near 0.
+SLACK = 1e-6
+STRIP_CELLS = 1 << 18
+
+
+def _sizes(x: np.ndarray, y: np.ndarray, kind: str, measure: str) -> tuple[np.ndarray, np.ndarray]:
+    """One number a vector that bounds similarities: set bits, norm, or angle to the mean direction of both blocks."""
+    if kind == "bits":
+        return _ones(x), _ones(y)
+    if measure == "hamming":
+        return np.zeros(len(x)), np.zeros(len(y))
+    xf, yf = x.astype(np.float64), y.astype(np.float64)
+    nx, ny = _norms(xf), _norms(yf)
+    if measure == "dot_product":
+        return nx, ny
+    ux, uy = (v / np.where(n == 0, 1.0, n)[:, None] for v, n in ((xf, nx), (yf, ny)))
+    pivot = ux.sum(axis=0) + uy.sum(axis=0)
+    length = np.sqrt(pivot @ pivot)
+    pivot = pivot / length if length else pivot
+    return np.arccos(np.clip(ux @ pivot, -1.0, 1.0)), np.arccos(np.clip(uy @ pivot, -1.0, 1.0))
+
+
+def _window(low: float, high: float, kind: str, measure: str, f: int | None, floor: float) -> tuple[float, float]:
+    """Sizes on the other side that can reach ``floor`` with a vector of size ``low`` to ``high``."""
+    every = (-np.inf, np.inf)
+    if kind == "bits" and measure == "hamming":  # the distance is at least the difference of ones
+        return low - (f - floor), high + (f - floor)
+    if floor <= SLACK or (kind == "array" and measure == "hamming"):
+        return every
+    if measure == "dot_product":
+        if kind == "bits":  # at most the ones of the poorer vector are common
+            return (floor, np.inf) if high >= floor else (np.inf, np.inf)
+        need = floor - SLACK  # Cauchy and Schwarz
+        return (need / high * (1 - SLACK), np.inf) if high > 0 else (np.inf, np.inf)
+    least = floor - SLACK
+    if kind == "bits":  # cosine <= sqrt(fewer ones / more ones)
+        return low * least * least, high / (least * least)
+    turn = np.arccos(min(1.0, least)) + 2e-6  # angles obey the triangle inequality
+    return low - turn, high + turn
+
+
+def _strips(x: np.ndarray, y: np.ndarray | None, kind: str, measure: str, f: int | None, floor):
+    """``(rows, columns, scores, valid)`` for strips of the matrix of two blocks, or of one block with itself
+    (``y`` is None; then ``valid`` marks each pair once). ``floor()`` is asked before each strip; rows that the
+    bound keeps below it are left out."""
+    same = y is None
+    sx, sy = _sizes(x, x if same else y, kind, measure)
+    left = np.argsort(sx, kind="stable")
+    right = left if same else np.argsort(sy, kind="stable")
+    y = x if same else y
+    sx, sy = sx[left], sy[right]
+    xs, ys = x[left], y[right]
+    step = max(1, STRIP_CELLS // max(1, len(ys)))
+    for lo in range(0, len(xs), step):
+        hi = min(lo + step, len(xs))
+        first, last = (lo + 1 if same else 0), len(ys)
+        bound = floor()
+        if bound is not None:
+            least, most = _window(sx[lo], sx[hi - 1], kind, measure, f, bound)
+            first = max(first, int(np.searchsorted(sy, least, "left")))
+            last = int(np.searchsorted(sy, most, "right"))
+        if first >= last:
+            continue
+        valid = None
+        if same:
+            valid = np.arange(first, last)[None, :] > np.arange(lo, hi)[:, None]
+        yield left[lo:hi], right[first:last], _scores(xs[lo:hi], ys[first:last], kind, measure, f), valid
+
+
+def _blocks_of(pdf: pd.DataFrame, kind: str, f: int | None):
+    """``(keys a, vectors a, keys b, vectors b)`` of a block-pair; no vectors b for a block with itself."""
     left = pdf[pdf["__side"] == 0]
     same = len(pdf) > 0 and int(pdf["__bi"].iloc[0]) == int(pdf["__bj"].iloc[0])
     right = left if same else pdf[pdf["__side"] == 1]
     if len(left) == 0 or len(right) == 0 or (same and len(left) < 2):
         return None
+    cols = [c for c in pdf.columns if c.startswith("__w")] if kind == "bits" else "__vec"
+    x = _matrix(left[cols], kind, f)
     ka = left["__key"].to_numpy(dtype=object)
-    kb = right["__key"].to_numpy(dtype=object)
-    cols = [c for c in pdf.columns if c.startswith("__w")] if kind == "bits" else ["__vec"]
-    lv = left[cols] if kind == "bits" else left["__vec"]
-    rv = right[cols] if kind == "bits" else right["__vec"]
-    s = _scores(_matrix(lv, kind, f), _matrix(rv, kind, f), kind, measure, f)
-    if same:
-        ii, jj = np.triu_indices(len(ka), k=1)
-    else:
-        ii, jj = np.indices(s.shape).reshape(2, -1)
-    return ka, kb, ii, jj, s[ii, jj]
-
-
-def _ordered_frame(ka, kb, ii, jj, vals) -> pd.DataFrame:
-    x, y = ka[ii], kb[jj]
-    swap = x < y
-    return pd.DataFrame({"a": np.where(swap, y, x), "b": np.where(swap, x, y), "sim": vals})
+    return (ka, x, ka, None) if same else (ka, x, right["__key"].to_numpy(dtype=object), _matrix(right[cols], kind, f))
 
 
-def _block_topk(kind: str, measure: str, f: int | None, k: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = _block_pairs(pdf, kind, measure, f)
-        if got is None:
-            return pd.DataFrame({"a": [], "b": [], "sim": []})
-        ka, kb, ii, jj, vals = got
-        if len(vals) > k:
-            cut = np.partition(vals, len(vals) - k)[len(vals) - k]
-            keep = vals >= cut
-            ii, jj, vals = ii[keep], jj[keep], vals[keep]
-        out = _ordered_frame(ka, kb, ii, jj, vals)
-        return out.sort_values(["sim", "a", "b"], ascending=[False, True, True], kind="mergesort").head(k)
-
-    return run
+def _no_pairs() -> pd.DataFrame:
+    none = np.array([], dtype=object)  # untyped empty columns cannot be turned into strings
+    return pd.DataFrame({"a": none, "b": none, "sim": np.array([], dtype=np.int64)})
 
 
-def _block_histogram(kind: str, measure: str, f: int | None):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = _block_pairs(pdf, kind, measure, f)
-        if got is None:
-            return pd.DataFrame({"sim": np.array([], dtype=np.int32), "n": np.array([], dtype=np.int64)})
-        vals = got[4]
-        counts = np.bincount(vals.astype(np.int64), minlength=f + 1)
-        nz = np.nonzero(counts)[0]
-        return pd.DataFrame({"sim": nz.astype(np.int32), "n": counts[nz].astype(np.int64)})
+def _best(parts: list[tuple], k: int) -> tuple:
+    """The first ``k`` of the given pairs ``(a, b, sim)`` by (sim desc, a, b), as arrays."""
+    a, b, sim = (np.concatenate(p) for p in zip(*parts))
+    if len(sim) > k:
+        kept = sim >= np.partition(sim, len(sim) - k)[len(sim) - k]
+        a, b, sim = a[kept], b[kept], sim[kept]
+    order = pd.DataFrame({"a": a, "b": b, "sim": sim}).sort_values(["sim", "a", "b"], ascending=[False, True, True], kind="mergesort").index[:k]
+    return a[order], b[order], sim[order]
 
-    return run
 
+def _block_topk(kind: str, measure: str, f: int | None, k: int, floor=None):
+    """A block-pair's first ``k`` pairs at or above ``floor``; the floor rises as better pairs are found."""
 
-def _block_above(kind: str, measure: str, f: int | None, threshold: int, ties: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = _block_pairs(pdf, kind, measure, f)
+        got = _blocks_of(pdf, kind, f)
         if got is None:
-            return pd.DataFrame({"a": [], "b": [], "sim": []})
-        ka, kb, ii, jj, vals = got
-        keep = vals >= threshold
-        out = _ordered_frame(ka, kb, ii[keep], jj[keep], vals[keep])
-        above = out[out["sim"] > threshold]
-        tied = out[out["sim"] == threshold].sort_values(["a", "b"], kind="mergesort").head(ties)
-        return pd.concat([above, tied], ignore_index=True)
+            return _no_pairs()
+        ka, x, kb, y = got
+        bound, parts, held = floor, [], 0
+        for rows, cols, s, valid in _strips(x, y, kind, measure, f, lambda: bound):
+            hit = np.ones(s.shape, dtype=bool) if bound is None else s >= bound
+            if valid is not None:
+                hit &= valid
+            i, j = np.nonzero(hit)
+            if not len(i):
+                continue
+            p, q = ka[rows[i]], kb[cols[j]]
+            swap = p < q
+            vals = s[i, j].astype(np.float64 if s.dtype.kind == "f" else np.int64)
+            parts.append((np.where(swap, q, p), np.where(swap, p, q), vals))
+            held += len(i)
+            if held > 2 * k + STRIP_CELLS:
+                parts = [_best(parts, k)]
+                held = len(parts[0][2])
+                bound = parts[0][2][-1]
+        return pd.DataFrame(dict(zip(("a", "b", "sim"), _best(parts, k)))) if parts else _no_pairs()
 
     return run
 
@@ -204,6 +268,33 @@ def _route(vectors: DataFrame, key: str, vector: str, B: int, kind: str = "", f:
     )
 
 
+def _block_count(n: int, block_size: int | None) -> int:
+    """Blocks for ``n`` nodes: of at most 16,384, so that a node is sent to few block-pairs, but of 2,048 as long as
+    sixteen of them are not reached, so that the block-pairs of a small graph occupy all cores."""
+    if block_size is not None:
+        return max(1, math.ceil(n / block_size))
+    return max(1, math.ceil(n / 16384), min(16, math.ceil(n / 2048)))
+
+
+def _sampled_floor(base: DataFrame, n: int, k: int, kind: str, measure: str, f: int | None, schema: str, blocks: int):
+    """``(estimate, proof)`` of a floor under the k-th best similarity, from the pairs inside blocks.
+
+    Nodes are dealt by hash, so pairs inside blocks are a sample of all pairs; half as many again as the
+    sample's share of k (and four deviations) give the estimate. The sample's own k-th value is a proof,
+    since more pairs can only raise the k-th value. None where the sample is too small."""
+    inside = n * (n / blocks - 1) / 2
+    share = min(1.0, max(inside, 1.0) / (n * (n - 1) / 2))
+    want = math.ceil(1.5 * k * share + 4 * math.sqrt(k * share) + 4)
+    sample = base.filter("__bi = __bj").groupBy("__bi", "__bj").applyInPandas(_block_topk(kind, measure, f, k), schema=schema)
+    ranks = cut_lineage(sample.select("sim").orderBy(F.col("sim").desc()).limit(k))
+
+    def value_at(rank: int):
+        got = ranks.orderBy(F.col("sim").desc()).limit(rank).agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("t")).first()
+        return got["t"] if got["n"] == rank else None
+
+    return (value_at(want) if want <= k else None), (lambda: value_at(k))
+
+
 def top_pairs(
     vectors: DataFrame,
     k: int = 100_000,
@@ -211,56 +302,43 @@ def top_pairs(
     f: int | None = None,
     key: str = "node",
     vector: str = "sig",
-    block_size: int = 2048,
+    block_size: int | None = None,
     num_blocks: int | None = None,
     freeze: bool = True,
 ) -> DataFrame:
     """M7/M8: exact global top-k pairs ``(a, b, sim)`` with ``a > b``, ordered by (sim desc, a, b).
 
-    Integer similarities of bit signatures (Hamming, dot) over more than 8 block-pairs take two
-    passes: a per-block-pair histogram of the f+1 possible values gives the exact k-th value ``t``
-    (a few hundred rows reach the driver), then block-pairs emit only pairs above ``t`` plus their
-    first ties. Otherwise each block-pair emits its own top k (at most 8k rows for small inputs).
-    ``num_blocks`` defaults to ceil(n / block_size).
+    Over several blocks, the pairs inside blocks give a floor under the k-th similarity
+    (:func:`_sampled_floor`). One pass over all block-pairs emits what reaches it, each at most its first
+    k; if these are fewer than k, the pass runs again with the floor that the sample proves, so the
+    rows never depend on the estimate. A single block needs no floor.
     """
     SIM.check_measure(measure)
     kind = _vector_kind(vectors, vector, f)
     if kind == "bits" and f is None:
         raise ValueError("f is required for bit signatures")
-    from graphsig.session import cut_lineage
 
-    # frozen once: the count and both passes read the same n rows instead of recomputing the sketch
+    # frozen once: the count and all passes read the same n rows instead of recomputing the sketch
     # (``freeze=False`` when the caller's vectors already come from a checkpointed table)
     vectors = vectors.select(key, vector)
     if freeze:
         vectors = cut_lineage(vectors)
-    if num_blocks is None:
-        n = vectors.count()
-        num_blocks = max(1, math.ceil(n / block_size))
-    B = int(num_blocks)
+    n = vectors.count()
+    B = int(num_blocks) if num_blocks is not None else _block_count(n, block_size)
     routed = _route(vectors, key, vector, B, kind, f)
-    sim_type = _sim_type(kind, measure)
-    schema = PAIR_SCHEMA_DBL if sim_type == "double" else PAIR_SCHEMA_INT
-    grouped = routed.groupBy("__bi", "__bj")
-    groups = B * (B + 1) // 2
-    if kind == "bits" and sim_type == "int" and groups > 8:
-        hist = grouped.applyInPandas(_block_histogram(kind, measure, f), schema="sim int, n long")
-        counts = {r["sim"]: r["n"] for r in hist.groupBy("sim").agg(F.sum("n").alias("n")).collect()}
-        above, threshold = 0, None
-        for value in sorted(counts, reverse=True):
-            if above + counts[value] >= k:
-                threshold = value
-                break
-            above += counts[value]
-        if threshold is None:  # fewer than k pairs in total: keep them all
-            threshold = min(counts) if counts else 0
-            ties = counts.get(threshold, 0)
-        else:
-            ties = k - above
-        scored = grouped.applyInPandas(_block_above(kind, measure, f, int(threshold), int(ties)), schema=schema)
+    schema = PAIR_SCHEMA_DBL if _sim_type(kind, measure) == "double" else PAIR_SCHEMA_INT
+
+    def scored(floor) -> DataFrame:
+        return routed.groupBy("__bi", "__bj").applyInPandas(_block_topk(kind, measure, f, k, floor), schema=schema)
+
+    if B == 1 or n < 2:
+        found = scored(None)
     else:
-        scored = grouped.applyInPandas(_block_topk(kind, measure, f, k), schema=schema)
-    return scored.orderBy(F.col("sim").desc(), "a", "b").limit(k)
+        floor, proof = _sampled_floor(routed, n, k, kind, measure, f, schema, B)
+        found = cut_lineage(scored(floor)) if floor is not None else None
+        if found is None or found.count() < k:
+            found = scored(proof())
+    return found.orderBy(F.col("sim").desc(), "a", "b").limit(k)
 
 
 def _block_ahead(kind: str, measure: str, f: int | None, bound: tuple):
@@ -268,27 +346,32 @@ def _block_ahead(kind: str, measure: str, f: int | None, bound: tuple):
     sim, a, b = bound
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = _block_pairs(pdf, kind, measure, f)
+        got = _blocks_of(pdf, kind, f)
         if got is None:
             return pd.DataFrame({"n": np.array([], dtype=np.int64)})
-        ka, kb, ii, jj, vals = got
-        tied = np.flatnonzero(vals == sim)
-        x, y = ka[ii[tied]], kb[jj[tied]]
-        swap = x < y
-        hi, lo = np.where(swap, y, x), np.where(swap, x, y)
-        up_to = (hi < a) | ((hi == a) & (lo <= b))
-        return pd.DataFrame({"n": np.array([int((vals > sim).sum()) + int(up_to.sum())], dtype=np.int64)})
+        ka, x, kb, y = got
+        n = 0
+        for rows, cols, s, valid in _strips(x, y, kind, measure, f, lambda: sim):
+            above, tied = s > sim, s == sim
+            if valid is not None:
+                above, tied = above & valid, tied & valid
+            i, j = np.nonzero(tied)
+            p, q = ka[rows[i]], kb[cols[j]]
+            swap = p < q
+            hi, lo = np.where(swap, q, p), np.where(swap, p, q)
+            n += int(np.count_nonzero(above)) + int(((hi < a) | ((hi == a) & (lo <= b))).sum())
+        return pd.DataFrame({"n": np.array([n], dtype=np.int64)})
 
     return run
 
 
 def pairs_ahead(
-    vectors: DataFrame, bound: tuple, measure: str = "hamming", f: int | None = None, key: str = "node", vector: str = "sig", block_size: int = 2048
+    vectors: DataFrame, bound: tuple, measure: str = "hamming", f: int | None = None, key: str = "node", vector: str = "sig", block_size: int | None = None
 ) -> int:
     """How many of all node pairs rank up to ``bound = (sim, a, b)`` by (sim desc, a, b): each
     block-pair counts its own, so no ranking is stored and any rank can be asked for."""
     kind = _vector_kind(vectors, vector, f)
-    blocks = max(1, math.ceil(vectors.count() / block_size))
+    blocks = _block_count(vectors.count(), block_size)
     grouped = _route(vectors, key, vector, blocks, kind, f).groupBy("__bi", "__bj")
     return grouped.applyInPandas(_block_ahead(kind, measure, f, bound), schema="n long").agg(F.sum("n")).first()[0] or 0
 

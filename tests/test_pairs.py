@@ -98,3 +98,92 @@ def test_band_links_equal_brute_force(spark, chunk_rows):
                 want.add((a, b, 32 - (x ^ y).bit_count()))
     got = [tuple(r) for r in PR.band_links(df, 32, 4, chunk_rows=chunk_rows).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def brute_pairs(rows, sim):
+    out = []
+    for i, (a, x) in enumerate(rows):
+        for b, y in rows[:i]:
+            out.append((max(a, b), min(a, b), sim(x, y)))
+    return sorted(out, key=lambda t: (-t[2], t[0], t[1]))
+
+
+@pytest.mark.parametrize("measure", ["hamming", "dot_product", "cosine"])
+@pytest.mark.parametrize("k", [1, 40, 5000])
+def test_top_pairs_of_bits_over_blocks(spark, measure, k):
+    rng = random.Random(7)
+    rows = [(f"n{i:03d}", rng.getrandbits(32) & (rng.getrandbits(32) if i % 2 else -1)) for i in range(90)]
+    rows += [("zero", 0), ("copy", rows[0][1]), ("zz", 0)]
+
+    def sim(x, y):
+        if measure == "hamming":
+            return 32 - (x ^ y).bit_count()
+        common = (x & y).bit_count()
+        if measure == "dot_product":
+            return common
+        both = x.bit_count() * y.bit_count()
+        return round(common / both**0.5, 6) if both else 0.0
+
+    df = spark.createDataFrame(rows, "node string, sig long")
+    got = [tuple(r) for r in PR.top_pairs(df, k=k, measure=measure, f=32, block_size=12).collect()]
+    want = brute_pairs(rows, sim)[:k]
+    assert got == (want if measure != "cosine" else [(a, b, pytest.approx(s)) for a, b, s in want])
+
+
+def test_top_pairs_all_equal_vectors(spark):
+    df = spark.createDataFrame([(f"n{i:02d}", 5) for i in range(40)], "node string, sig long")
+    got = [tuple(r) for r in PR.top_pairs(df, k=30, measure="hamming", f=8, block_size=6).collect()]
+    assert got == brute_pairs([(f"n{i:02d}", 0) for i in range(40)], lambda x, y: 8)[:30]
+
+
+def test_floor_below_estimate_runs_again(spark, monkeypatch):
+    """An estimate above the k-th value gives too few pairs; the proven floor then gives the same rows."""
+    rng = random.Random(3)
+    vecs = {f"n{i:03d}": rng.getrandbits(16) for i in range(60)}
+    df = spark.createDataFrame(list(vecs.items()), "node string, sig long")
+    sampled = PR._sampled_floor
+    monkeypatch.setattr(PR, "_sampled_floor", lambda *a: (16, sampled(*a)[1]))
+    got = [tuple(r) for r in PR.top_pairs(df, k=50, f=16, block_size=9).collect()]
+    assert got == brute_top(vecs, 50, 16)
+
+
+@pytest.mark.parametrize(
+    "kind, measure, f", [("bits", "hamming", 64), ("bits", "dot_product", 64), ("bits", "cosine", 64), ("float", "cosine", None), ("float", "dot_product", None), ("array", "hamming", None)]
+)
+def test_strips_lose_no_pair_above_the_floor(kind, measure, f):
+    """Bounds leave out cells, never one that reaches the floor."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    if kind == "bits":
+        draw = lambda n: (rng.integers(0, 1 << 62, (n, 1)) & rng.choice([3, (1 << 40) - 1, -1], (n, 1))).view(np.uint64)
+    elif kind == "float":
+        draw = lambda n: rng.normal(0, 1, (n, 6)) * rng.choice([0.0, 0.1, 1.0, 4.0], (n, 1)) + rng.choice([-1.0, 1.0], (n, 1)) * [3, 0, 0, 0, 0, 0]
+    else:
+        draw = lambda n: rng.integers(0, 3, (n, 6))
+    x, y = draw(300), draw(200)
+    whole = PR._scores(x, y, kind, measure, f).astype(float)
+    inner = PR._scores(x, x, kind, measure, f).astype(float)
+    skipped = {}
+    for share in (0.5, 0.99, 1.0):
+        floor = float(np.quantile(whole, share))
+        floor = floor if kind == "float" or measure == "cosine" else int(floor)
+        seen, cells = set(), 0
+        PR_CELLS, PR.STRIP_CELLS = PR.STRIP_CELLS, 2000
+        try:
+            for rows, cols, s, _ in PR._strips(x, y, kind, measure, f, lambda: floor):
+                cells += s.size
+                seen |= {(rows[i], cols[j]) for i, j in zip(*np.nonzero(s >= floor))}
+            once = [
+                tuple(sorted((rows[i], cols[j])))
+                for rows, cols, s, valid in PR._strips(x, None, kind, measure, f, lambda: floor)
+                for i, j in zip(*np.nonzero((s >= floor) & valid))
+            ]
+        finally:
+            PR.STRIP_CELLS = PR_CELLS
+        assert seen == set(zip(*np.nonzero(whole >= floor)))
+        i, j = np.nonzero(inner >= floor)
+        assert len(once) == len(set(once)) and set(once) == {(p, q) for p, q in zip(i, j) if p < q}
+        skipped[share] = 1 - cells / whole.size
+    if kind != "array":
+        assert skipped[1.0] > 0.2
