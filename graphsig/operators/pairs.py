@@ -268,6 +268,25 @@ def _route(vectors: DataFrame, key: str, vector: str, B: int, kind: str = "", f:
     )
 
 
+def _block_values(kind: str, measure: str, f: int | None, k: int):
+    """The ``k`` highest similarities of a block-pair, without their pairs."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = _blocks_of(pdf, kind, f)
+        best, bound = np.array([], dtype=np.int64), None
+        if got is not None:
+            for _, _, s, valid in _strips(got[1], got[3], kind, measure, f, lambda: bound):
+                vals = s.ravel() if valid is None else s[valid]
+                vals = vals if bound is None else vals[vals > bound]  # ties with the k-th value change nothing
+                best = np.concatenate([best.astype(vals.dtype), vals]) if len(best) else vals
+                if len(best) > k:
+                    best = np.partition(best, len(best) - k)[len(best) - k :]
+                    bound = best.min()
+        return pd.DataFrame({"sim": best})
+
+    return run
+
+
 def _block_count(n: int, block_size: int | None) -> int:
     """Blocks for ``n`` nodes: of at most 16,384, so that a node is sent to few block-pairs, but of 2,048 as long as
     sixteen of them are not reached, so that the block-pairs of a small graph occupy all cores."""
@@ -276,20 +295,19 @@ def _block_count(n: int, block_size: int | None) -> int:
     return max(1, math.ceil(n / 16384), min(16, math.ceil(n / 2048)))
 
 
-def _sampled_floor(base: DataFrame, n: int, k: int, kind: str, measure: str, f: int | None, schema: str, blocks: int):
+def _sampled_floor(routed: DataFrame, n: int, k: int, kind: str, measure: str, f: int | None, schema: str, blocks: int):
     """``(estimate, proof)`` of a floor under the k-th best similarity, from the pairs inside blocks.
 
     Nodes are dealt by hash, so pairs inside blocks are a sample of all pairs; half as many again as the
-    sample's share of k (and four deviations) give the estimate. The sample's own k-th value is a proof,
-    since more pairs can only raise the k-th value. None where the sample is too small."""
-    inside = n * (n / blocks - 1) / 2
-    share = min(1.0, max(inside, 1.0) / (n * (n - 1) / 2))
+    sample's share of k (and four deviations) give the estimate. ``proof()`` is the sample's own k-th value:
+    more pairs can only raise the k-th value. None where the sample is too small."""
+    inside = routed.filter("__bi = __bj").groupBy("__bi", "__bj")
+    share = min(1.0, max(n / blocks - 1, 1.0) / (n - 1))
     want = math.ceil(1.5 * k * share + 4 * math.sqrt(k * share) + 4)
-    sample = base.filter("__bi = __bj").groupBy("__bi", "__bj").applyInPandas(_block_topk(kind, measure, f, k), schema=schema)
-    ranks = cut_lineage(sample.select("sim").orderBy(F.col("sim").desc()).limit(k))
 
     def value_at(rank: int):
-        got = ranks.orderBy(F.col("sim").desc()).limit(rank).agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("t")).first()
+        sample = inside.applyInPandas(_block_values(kind, measure, f, rank), schema=f"sim {schema.rsplit(' ', 1)[1]}")
+        got = sample.orderBy(F.col("sim").desc()).limit(rank).agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("t")).first()
         return got["t"] if got["n"] == rank else None
 
     return (value_at(want) if want <= k else None), (lambda: value_at(k))
