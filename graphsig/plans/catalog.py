@@ -575,20 +575,25 @@ def forest_sql(edges: str, seed: int = SEED, rounds: int = FOREST_ROUNDS) -> str
     return f"WITH RECURSIVE {', '.join(parts)} SELECT src, dst FROM e WHERE w IN ({chosen})"
 
 
-SPLIT_CTES = ", ".join(
-    [
-        f"e AS ({CP})",
-        f"test_pos AS ({Q.holdout_sql(E, HOLDOUT_P, SEED)})",
-        f"g_test AS ({Q.minus_sql(E, 'SELECT src, dst FROM test_pos')})",
-        f"test_neg AS ({Q.negatives_sql(E, 'SELECT count(*) FROM test_pos', SEED + 1)})",
-        f"train_pos AS ({Q.holdout_sql('SELECT src, dst FROM g_test', HOLDOUT_P, SEED + 100)})",
-        f"g_train AS ({Q.minus_sql('SELECT src, dst FROM g_test', 'SELECT src, dst FROM train_pos')})",
-        f"train_neg AS ({Q.negatives_sql('SELECT src, dst FROM g_test', 'SELECT count(*) FROM train_pos', SEED + 101)})",
-        f"nd AS ({Q.nodes_sql(E)})",
-        "test_rows AS (SELECT src, dst, 1 AS label FROM test_pos UNION ALL SELECT src, dst, 0 AS label FROM test_neg)",
-        "train_rows AS (SELECT src, dst, 1 AS label FROM train_pos UNION ALL SELECT src, dst, 0 AS label FROM train_neg)",
-    ]
-)
+def split_ctes(seed: int) -> str:
+    """The nested split drawn with ``seed`` and its labelled rows."""
+    return ", ".join(
+        [
+            f"e AS ({CP})",
+            f"test_pos AS ({Q.holdout_sql(E, HOLDOUT_P, seed)})",
+            f"g_test AS ({Q.minus_sql(E, 'SELECT src, dst FROM test_pos')})",
+            f"test_neg AS ({Q.negatives_sql(E, 'SELECT count(*) FROM test_pos', seed + 1)})",
+            f"train_pos AS ({Q.holdout_sql('SELECT src, dst FROM g_test', HOLDOUT_P, seed + 100)})",
+            f"g_train AS ({Q.minus_sql('SELECT src, dst FROM g_test', 'SELECT src, dst FROM train_pos')})",
+            f"train_neg AS ({Q.negatives_sql('SELECT src, dst FROM g_test', 'SELECT count(*) FROM train_pos', seed + 101)})",
+            f"nd AS ({Q.nodes_sql(E)})",
+            "test_rows AS (SELECT src, dst, 1 AS label FROM test_pos UNION ALL SELECT src, dst, 0 AS label FROM test_neg)",
+            "train_rows AS (SELECT src, dst, 1 AS label FROM train_pos UNION ALL SELECT src, dst, 0 AS label FROM train_neg)",
+        ]
+    )
+
+
+SPLIT_CTES = split_ctes(SEED)
 
 
 def connected_ctes(name: str, edges: str, p: float, seed: int) -> str:
@@ -1073,6 +1078,29 @@ def r9_sweep(spark, sf_dir):
     return sweep(cp_edges(spark, sf_dir), [(m.name, m) for m in models], "customer-part", iterations=1, keep_connected=False)
 
 
+#: Splits that the experiment's mean precision is taken over.
+REPEATS = 10
+
+
+def average_precision_sql(repeats: int) -> str:
+    runs = [split_sql(Q.precision_counts_sql(E, "SELECT src, dst FROM g_train", F_EXPERIMENT), TW, split_ctes(SEED + i)) for i in range(repeats)]
+    return (
+        f"SELECT 'customer-part' AS dataset, 'SimHashSketch' AS algorithm, {F_EXPERIMENT} AS dimensions, "
+        f"round(avg(precision), 6) AS avg_precision, count(*) AS runs FROM ({' UNION ALL '.join(f'SELECT * FROM ({r}) r' for r in runs)}) p"
+    )
+
+
+@register("r8_average_precision", average_precision_sql(REPEATS))
+def r8_average_precision(spark, sf_dir):
+    """Mean precision at the 100th hit of the 128-bit neighbour sketch over ten splits, each with its own seed."""
+    from graphsig.plans.evaluation import sweep
+    from graphsig.plans.models import SimHashSketch
+
+    model = SimHashSketch(dimensions=F_EXPERIMENT)
+    runs = sweep(cut_lineage(cp_edges(spark, sf_dir)), [("SimHashSketch", model)], "customer-part", REPEATS, SEED, keep_connected=False)
+    return L.average_precision(runs, ["dataset", "algorithm", "dimensions"])
+
+
 @register("s9_state_roundtrip", Q.node_sketch_sql(CP, F_DEFAULT).replace("CAST(cnt - 1 AS BIGINT) AS degree, ", ""))
 def s9_state_roundtrip(spark, sf_dir):
     """Save the base state (version 0), update with the stream half, save version 1, reload the latest."""

@@ -281,3 +281,18 @@ def precision_sql(ranked: str, truth: str, train: str, hits: int = 100) -> str:
         f"CAST(coalesce(stop, rows) AS BIGINT) AS traversed, "
         f"round(CAST(CASE WHEN stop IS NOT NULL THEN {hits} ELSE all_hits END AS DOUBLE) / nullif(coalesce(stop, rows), 0), 6) AS precision FROM s"
     )
+
+
+def precision_counts_sql(truth: str, train: str, f: int, hits: int = 100, words: str = "tw") -> str:
+    """Precision at the ``hits``-th true edge outside ``train``, by counting the pairs of ``words`` up to it."""
+    sim = hamming_sim_sql(f)
+    scored = f"SELECT x.node AS a, y.node AS b, {sim} AS sim FROM ({{}}) p JOIN {words} x ON x.node = greatest(p.src, p.dst) JOIN {words} y ON y.node = least(p.src, p.dst)"
+    up_to = "(bound.sim IS NULL OR t.sim > bound.sim OR (t.sim = bound.sim AND (t.a < bound.a OR (t.a = bound.a AND t.b <= bound.b))))"
+    best = f"SELECT a, b, sim, row_number() OVER (ORDER BY sim DESC, a, b) AS rank FROM ({scored.format(minus_sql(truth, train))}) h QUALIFY rank <= {hits}"
+    at = ", ".join(f"max(CASE WHEN rank = {hits} THEN {c} END) AS {c}" for c in ("sim", "a", "b"))
+    return (
+        f"WITH bound AS MATERIALIZED (SELECT count(*) AS tp, {at} FROM ({best}) h), "
+        f"n AS (SELECT (SELECT count(*) FROM ({top_pairs_sql(f'SELECT * FROM {words}', f, None)}) t, bound WHERE {up_to}) "
+        f"- (SELECT count(*) FROM ({scored.format(train)}) t, bound WHERE {up_to}) AS traversed) "
+        f"SELECT CAST(tp AS BIGINT) AS tp, CAST(traversed AS BIGINT) AS traversed, round(CAST(tp AS DOUBLE) / nullif(traversed, 0), 6) AS precision FROM bound, n"
+    )
