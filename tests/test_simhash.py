@@ -117,3 +117,31 @@ def test_sketch_independent_of_partitioning(spark):
     b = {r["node"]: r["sig"] for r in S.node_sketch(edges_df(spark, pairs).repartition(11), f=64).collect()}
     c = {r["node"]: r["sig"] for r in S.node_sketch(edges_df(spark, pairs).coalesce(1), f=64).collect()}
     assert a == b == c
+
+
+@pytest.mark.parametrize("placed", [None, "task", "together"])
+def test_bit_sums_wherever_the_rows_are(spark, placed):
+    import hashlib
+    from collections import defaultdict
+
+    rows = [("hub", f"x{i}", 1 + i % 3) for i in range(3000)] + [(f"k{i % 97}", f"y{i}", None if i % 5 == 0 else i) for i in range(2000)]
+    rows += [("none", "z", None), (None, "n", 7), ("k1", None, 4)]
+    df = spark.createDataFrame(rows, "node string, feature string, w long").repartition(5, "feature")
+    plain, weighted = defaultdict(lambda: [0, [0] * 128]), defaultdict(lambda: [None, [0] * 128])
+    for node, feature, w in rows:
+        digest = int(hashlib.md5(feature.encode()).hexdigest(), 16) if feature else 0
+        bits = [digest >> (127 - k) & 1 for k in range(128)]
+        for state, by in ((plain[node], 1), (weighted[node], w)):
+            if by is not None:
+                state[0] = (state[0] or 0) + by
+                state[1] = [s + b * by for s, b in zip(state[1], bits)]
+    for weight, want in ((None, plain), ("w", weighted)):
+        got = S.bit_sums(df, "node", 128, weight=weight, placed=placed).collect()
+        assert len(got) == len(want)
+        assert {r["node"]: [r["cnt"], r["sums"]] for r in got} == {**want}
+
+
+def test_bit_sums_shuffle_features_not_sums(spark):
+    sk = S.sketch_state(edges_df(spark, [("a", "b"), ("b", "c")]), 128, canonical=False)
+    plan = sk._jdf.queryExecution().executedPlan().toString()
+    assert "sum(" not in plan and "HashAggregate" not in plan
