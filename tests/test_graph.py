@@ -142,3 +142,69 @@ def test_reference_ratings_graph_is_bipartite(spark):
     from graphsig.sources.tables import ratings_standin
 
     assert C.is_bipartite(ratings_to_edges(ratings_standin(spark, SF_SMALL), 3.0))
+
+
+def test_contraction_against_brute_force_carries_only_crossing_edges(spark, monkeypatch):
+    """Dense, sparse and odd-cycled parts: forest, sides and components by brute force; no double cover is
+    made and no round after the first carries inner edges again."""
+    import hashlib
+    import random
+
+    rng = random.Random(5)
+    wide = [(f"l{i}", f"r{j}") for i in range(12) for j in range(30)]  # many edges for each node, bipartite
+    path = [(f"p{i:02d}", f"p{i + 1:02d}") for i in range(20)]
+    odd = [("o1", "o2"), ("o2", "o3"), ("o3", "o1"), ("o3", "o4")]
+    loose = [(f"x{rng.randrange(40)}", f"x{rng.randrange(40)}") for _ in range(30)]
+    pairs = sorted({(min(p), max(p)) for p in wide + path + odd + loose if p[0] != p[1]})
+    rows: list[int] = []
+    cut = C.cut_lineage
+
+    def counted(df):
+        out = cut(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(C, "cut_lineage", counted)
+
+    parent: dict[str, str] = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    forest = []
+    for _, s, d in sorted((hashlib.md5(f"42|{s}|{d}".encode()).hexdigest(), s, d) for s, d in pairs):
+        if find(s) != find(d):
+            parent[find(s)] = find(d)
+            forest.append((s, d))
+    assert sorted(tuple(r) for r in C.spanning_forest(edges_df(spark, pairs)).collect()) == sorted(forest)
+
+    near: dict[str, list[str]] = {}
+    for s, d in pairs:
+        near.setdefault(s, []).append(d)
+        near.setdefault(d, []).append(s)
+    colour: dict[str, int] = {}
+    least: dict[str, str] = {}
+    for start in sorted(near):
+        if start in colour:
+            continue
+        colour[start], todo, members, clash = 0, [start], [start], False
+        for v in todo:
+            for w in near[v]:
+                if w not in colour:
+                    colour[w] = 1 - colour[v]
+                    todo.append(w)
+                    members.append(w)
+                clash |= colour[w] == colour[v]
+        for v in members:
+            least[v] = start
+            colour[v] = None if clash else colour[v]
+            colour[v] = colour[v] if colour[v] is not None else -1
+    rows.clear()
+    sides = {r["node"]: -1 if r["side"] is None else r["side"] for r in C.bipartite_sides(edges_df(spark, pairs)).collect()}
+    assert sides == colour
+    assert max(rows) <= len(pairs)
+    rows.clear()
+    assert {r["node"]: r["component"] for r in C.connected_components(edges_df(spark, pairs)).collect()} == least
+    assert sum(n > len(near) for n in rows) <= 1  # all edges once, then at most one row for each node
