@@ -64,3 +64,18 @@ def test_component_queries_read_every_purchase(spark, duck, name):
     assert {x for x, in bought} <= seen
     rel = duck.sql(entry.oracle_sql()[name])
     assert normalise(df.columns, got) == normalise(rel.columns, rel.fetchall())
+
+
+def test_edge_scores_make_one_sketch(spark, tmp_path):
+    """Edges and sketch are made once, not for each end: what is left to run holds no join of orders and no sketching."""
+    from graphsig.plans.catalog import QUERIES
+
+    spark.createDataFrame([(i, i % 5) for i in range(30)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(i % 30, i * 7 % 11) for i in range(90)], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = {}
+    for name in ("m2_similarity_from_counts", "m11_edge_hamming", "m6_complement_dot"):
+        got = QUERIES[name](spark, str(tmp_path))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" not in plan and "parquet" not in plan, name
+        found[name] = {(r["src"], r["dst"]): r[2] for r in got.collect()}
+    assert found["m2_similarity_from_counts"] == found["m11_edge_hamming"] and len(found["m11_edge_hamming"]) == len({(i % 30 % 5, i * 7 % 11) for i in range(90)})
