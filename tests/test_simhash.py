@@ -145,3 +145,29 @@ def test_bit_sums_shuffle_features_not_sums(spark):
     sk = S.sketch_state(edges_df(spark, [("a", "b"), ("b", "c")]), 128, canonical=False)
     plan = sk._jdf.queryExecution().executedPlan().toString()
     assert "sum(" not in plan and "HashAggregate" not in plan
+
+
+def test_shingle_counts_are_not_shuffled(spark):
+    """Counts equal a plain count, for ids that occur once, twice or are null, and for documents over several batches; without
+    shared ids no shuffle of shingles is in the plan."""
+    from collections import Counter
+
+    from graphsig.operators import simhash as S
+
+    rows = [(1, "abcabcabcd"), (2, "Ab c"), (3, None), (4, ""), (5, "xyz" * 9000), (6, "xyz" * 9000), (None, "abcdabcd")]
+    more = [*rows, (1, "abcabc"), (None, "cdab"), (4, None)]
+
+    def plain(table):
+        want = Counter()
+        for i, text in table:
+            if text is not None:
+                t = "".join(x for x in text.lower() if x.isalnum())
+                want.update((i, t[k : k + 4]) for k in range(max(1, len(t) - 3)))
+        return want
+
+    for table in (rows, more):
+        got = S.shingle_counts(spark.createDataFrame(table, "doc_id long, text string").coalesce(1))
+        assert Counter({(r["doc_id"], r["shingle"]): r["cnt"] for r in got.collect()}) == plain(table) and got.count() == len(plain(table))
+    once = S.shingle_counts(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert "hashpartitioning" not in once._jdf.queryExecution().executedPlan().toString()
+    assert S.shingle_counts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
