@@ -56,3 +56,18 @@ def test_stream_split_with_negatives(spark):
     fake = [(a, b) for a, b, x in rows if x == 0]
     assert held | {tuple(r) for r in base.select("src", "dst").collect()} == whole
     assert len(held) == len(whole) // 2 == len(fake) == len(set(fake)) and not set(fake) & whole
+
+
+def test_edges_are_made_once(spark):
+    """However often a split reads the graph, the rows behind it are read once."""
+    pairs = sorted({(f"a{i % 9}", f"b{i * 7 % 23}") for i in range(90)})
+    for split in (
+        lambda e: H.holdout_edges(e, 0.2, 1, keep_connected=False)[0],
+        lambda e: H.negative_edges(e, 20, 1),
+        lambda e: H.nested_link_split(e, 0.1, 1, keep_connected=False)["labelled"],
+        lambda e: H.stream_split(e, 0.5, 1, keep_connected=False)[1],
+    ):
+        read = spark.sparkContext.accumulator(0)
+        rows = spark.sparkContext.parallelize(pairs, 2).map(lambda x, read=read: (read.add(1), x)[1])
+        assert split(spark.createDataFrame(rows, "src string, dst string")).count() > 0
+        assert read.value == len(pairs)
