@@ -146,3 +146,15 @@ def test_state_save_load_versions(spark):
     latest = load_state(spark, folder)
     assert sigs(latest.embedding()) == sigs(S.node_sketch(edges_df(spark, pairs), 32))
     assert sigs(load_state(spark, folder, 0).embedding()) == sigs(st.embedding())
+
+
+def test_update_compares_new_edges_with_the_graph_once(spark, monkeypatch):
+    pairs = random_graph(spark, seed=3)
+    m = SimHashSketch(dimensions=64)
+    st = m.fit(edges_df(spark, pairs[:60]))
+
+    def again(*args, **kwargs):
+        raise AssertionError("the update knows its new edges")
+
+    monkeypatch.setattr(U, "new_edges", again)
+    assert sigs(m.update(st, edges_df(spark, pairs[50:])).embedding()) == sigs(S.node_sketch(edges_df(spark, pairs), 64))

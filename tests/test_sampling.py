@@ -71,3 +71,15 @@ def test_edges_are_made_once(spark):
         rows = spark.sparkContext.parallelize(pairs, 2).map(lambda x, read=read: (read.add(1), x)[1])
         assert split(spark.createDataFrame(rows, "src string, dst string")).count() > 0
         assert read.value == len(pairs)
+
+
+def test_holdout_is_the_first_by_hash_without_a_join(spark):
+    import hashlib
+
+    e = graph(spark)
+    every = sorted({tuple(sorted(x)) for x in e.collect() if x[0] != x[1]}, key=lambda x: (hashlib.md5(f"7|{x[0]}|{x[1]}".encode()).hexdigest()[:15], x))
+    for p in (0.01, 0.3, 0.99):
+        held, rest = H.holdout_edges(e, p, 7, keep_connected=False)
+        n = int(p * len(every))
+        assert {tuple(x) for x in held.collect()} == set(every[:n]) and {tuple(x) for x in rest.collect()} == set(every[n:])
+        assert "Join" not in rest._jdf.queryExecution().toString()
