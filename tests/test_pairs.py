@@ -187,3 +187,15 @@ def test_strips_lose_no_pair_above_the_floor(kind, measure, f):
         skipped[share] = 1 - cells / whole.size
     if kind != "array":
         assert skipped[1.0] > 0.2
+
+
+def test_cosines_under_the_floor_are_not_made():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    x, y = (rng.integers(0, 1 << 62, (n, 2)).view(np.uint64) for n in (90, 70))
+    y[:3], x[0] = 0, 0
+    whole = PR._scores(x, y, "bits", "cosine", 128)
+    floor = float(np.quantile(whole, 0.9))
+    some = PR._scores(x, y, "bits", "cosine", 128, floor)
+    assert (some[whole >= floor] == whole[whole >= floor]).all() and (some[whole < floor] < floor).all() and (some == -1).any()
