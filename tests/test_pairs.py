@@ -199,3 +199,18 @@ def test_cosines_under_the_floor_are_not_made():
     floor = float(np.quantile(whole, 0.9))
     some = PR._scores(x, y, "bits", "cosine", 128, floor)
     assert (some[whole >= floor] == whole[whole >= floor]).all() and (some[whole < floor] < floor).all() and (some == -1).any()
+
+
+def test_crowded_bands_do_not_meet_whole(spark):
+    """Signatures that are equal in one band only share no two of the finer ranges; those within the radius do."""
+    rng = random.Random(12)
+    sigs = {f"n{i:03d}": (rng.getrandbits(47) << 16) | 0xABCD for i in range(300)}
+    base = sigs["n000"]
+    sigs.update({f"z{i:02d}": base ^ sum(1 << b for b in rng.sample(range(63), 3)) for i in range(40)})
+    df = spark.createDataFrame(list(sigs.items()), "node string, sig long")
+    shared = {}
+    for r in PR.paired_values(df, 64, 3).collect():
+        shared.setdefault((r["band"], r["value"]), set()).add(r["node"])
+    met = {(a, b) for group in shared.values() for a in group for b in group if a < b}
+    assert all(("n000", f"z{i:02d}") in met for i in range(40))
+    assert sum(a[0] == b[0] == "n" for a, b in met) < 300  # of 44,850 that share the band
