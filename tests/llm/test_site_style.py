@@ -70,3 +70,14 @@ def test_constant_heads_and_layouts_are_seen(spark):
     rows = [(i, f"http://h.org/{i}", page.replace("{i}", str(i)).replace("{more}", f"<p>And so on {i}.</p>" * (1 + i % 4))) for i in range(40)]
     got = {r["page_id"]: r["text"] for r in site_style.extract(spark.createDataFrame(rows, PAGES)).collect()}
     assert all("our place" not in t and t.startswith(f"Story {i} one.") for i, t in got.items())
+
+
+def test_every_segment_of_a_block_counts(spark, monkeypatch):
+    """A block whose first and last words change but whose middle is constant is mostly constant, on no page its article."""
+    assert len(site_style.features("One. Two. Three · Four. One.")) == 4
+    page = "<body><div class='k1'>Day {i} · Our place · Open at nine · Call us · Follow us · Seen {i} times</div><div class='k2'><p>Story {i} one. Then {i}. Last {i}.</p>{more}</div></body>"
+    rows = [(i, f"http://h.org/{i}", page.replace("{i}", str(i)).replace("{more}", f"<p>And so on {i}.</p>" * (1 + i % 4))) for i in range(40)]
+    got = {r["page_id"]: r["text"] for r in site_style.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert all("Our place" not in t and t.startswith(f"Story {i} one.") for i, t in got.items())
+    monkeypatch.setattr(site_style, "LISTED", 0)  # joined by shuffle
+    assert got == {r["page_id"]: r["text"] for r in site_style.extract(spark.createDataFrame(rows, PAGES)).collect()}
