@@ -148,3 +148,31 @@ def test_sweep_shares_walks(spark):
     split = P.make_split(edges_df(spark, pairs), seed=42, keep_connected=False, negatives=False)
     for row, m in zip(rows, models, strict=True):
         assert row["precision"] == P.precision_at_100(split, m)[0].first()["precision"]
+
+
+def test_walks_shuffle_neither_walkers_nor_visits(spark):
+    """Counts come from one stage behind the graph files; names of any length, hubs numbered by buckets and sources named twice or null."""
+    from graphsig.operators.graph import adjacency_index, canonical_edges
+
+    pairs = [("hub", f"l{i}") for i in range(30)] + [("l1", "\u00e9" * 40), ("l2", "x"), ("x", "y" * 47), ("y" * 47, "")]
+    edges = edges_df(spark, pairs)
+    visits = W.random_walk_visits(edges, 3, 120, 42)
+    plan = visits._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Exchange") and plan.count("Exchange") == 1  # the sources' own
+    assert {(r["source"], r["visited"]): r["cnt"] for r in visits.collect()} == walk_brute(pairs, 3, 120, 42)
+    # hubs: the numbering of adjacency_index
+    adj = {}
+    for r in adjacency_index(canonical_edges(edges), bucket_size=8).orderBy("idx").collect():
+        adj.setdefault(r["node"], []).append(r["nb"])
+    want = {}
+    for w in range(50):
+        h = int(hashlib.md5(f"1|hub|{w}|0".encode()).hexdigest()[:8], 16)
+        want[adj["hub"][h % 31]] = want.get(adj["hub"][h % 31], 0) + 1
+    some = spark.createDataFrame([("hub",), ("hub",), ("lone",), (None,)], "node string")
+    got = W.random_walk_visits(edges, 1, 50, 1, sources=some, bucket_size=8).collect()
+    assert {r["visited"]: r["cnt"] for r in got if r["source"] == "hub"} == {k: 2 * n for k, n in want.items()}
+    assert sorted((r["visited"] or "", r["cnt"]) for r in got if r["source"] != "hub") == [("", 50), ("lone", 50)]
+    given = W.random_walk_visits(edges, 1, 50, 1, sources=some, adjacency=adjacency_index(canonical_edges(edges), bucket_size=8)).collect()
+    assert sorted(map(str, given)) == sorted(map(str, got))
+    empty = edges_df(spark, pairs).limit(0)
+    assert W.random_walk_visits(empty, 2, 5).count() == 0
