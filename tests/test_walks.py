@@ -176,3 +176,18 @@ def test_walks_shuffle_neither_walkers_nor_visits(spark):
     assert sorted(map(str, given)) == sorted(map(str, got))
     empty = edges_df(spark, pairs).limit(0)
     assert W.random_walk_visits(empty, 2, 5).count() == 0
+
+
+def test_ppr_rounds_shuffle_no_masses(spark):
+    """More sources than stand in one row, named twice or without edges: masses are exact, a reached node keeps its row at
+    mass 0, and they are read from files without an exchange."""
+    pairs = [(f"n{i:03d}", f"n{(i * 7 + 1) % 140:03d}") for i in range(140)] + [("n000", "n001"), ("far", "away")]
+    names = [f"n{i:03d}" for i in range(0, 140, 2)] + ["far"]
+    sources = spark.createDataFrame([(x,) for x in [*names, "far", "lone", None]], "node string")
+    got = W.personalized_pagerank(edges_df(spark, pairs), iterations=7, sources=sources, scale=1000)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {k: m for k, m in ppr_brute(pairs, 7, scale=1000).items() if k[0] in names} | {("lone", "lone"): None}
+    rows = {(r["source"], r["node"]): r["mass"] for r in got.collect()}
+    assert rows.keys() == want.keys() and 0 in rows.values()
+    assert all(m is None or rows[k] == m for k, m in want.items())
+    assert W.personalized_pagerank(edges_df(spark, pairs).limit(0)).count() == 0 and W.pagerank_bit_sums(edges_df(spark, pairs).limit(0), 32).count() == 0
